@@ -227,9 +227,11 @@ def score(
         rows = rows.join(
             origin.withColumnRenamed("forecast_origin", "week_start").select(*on), on, "left_semi"
         )
-    # One model row per horizon.
-    params = F.broadcast(model.select("model_name", "horizon", "intercept", "coefficients"))
-    made = _predict(rows.join(params, F.lit(True)), features)
+    # One model row per horizon, carried as one array.
+    fields = ["model_name", "horizon", "intercept", "coefficients"]
+    params = model.agg(F.collect_list(F.struct(*fields))).scalar()
+    per_horizon = rows.withColumn("_models", params).withColumn("_m", F.explode("_models"))
+    made = _predict(per_horizon.select(*table.columns, *[f"_m.{c}" for c in fields]), features)
     value = F.col("prediction")
     targets = [c for c in table.columns if c.startswith("target_h")]
     by_name = F.create_map(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Model names and the loss each one minimises.
-LOSSES = {"lightgbm": "squared", "catboost": "absolute"}
+LOSSES = {"gbt_squared": "squared", "gbt_absolute": "absolute"}
 
 
 def boosted(model_name: str, features: Sequence[str], target: str, **params) -> Pipeline:
@@ -35,7 +35,7 @@ def trees(
     table: DataFrame,
     windows: DataFrame,
     features: Sequence[str],
-    model_name: str = "lightgbm",
+    model_name: str = "gbt_squared",
     last_origins: int = 4,
     **params,
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.columns import plus_weeks
@@ -126,3 +126,22 @@ def infer_horizon(frame: DataFrame) -> DataFrame:
     that repeats an id again.
     """
     return frame.where(~F.col("is_history")).agg(F.countDistinct("week_start").alias("horizon"))
+
+
+def slice_sizes(panel: DataFrame, windows: DataFrame) -> DataFrame:
+    """Training and prediction rows of each window.
+
+    "All rows up to the training end" is a range predicate; with the rows counted per
+    week first, it becomes a running sum over weeks and an equi-join.
+    """
+    per_week = panel.groupBy("week_start").agg(F.count(F.lit(1)).alias("predict_rows"))
+    # One row per week of the calendar.
+    so_far = Window.orderBy("week_start").rowsBetween(Window.unboundedPreceding, 0)
+    running = per_week.select(
+        F.col("week_start").alias("train_end"), F.sum("predict_rows").over(so_far).alias("train_rows")
+    )
+    return (
+        windows.join(running, "train_end")
+        .join(per_week.withColumnRenamed("week_start", "forecast_origin"), "forecast_origin")
+        .select("horizon", "forecast_origin", "train_end", "train_rows", "predict_rows")
+    )
