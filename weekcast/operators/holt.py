@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weekcast.operators.baselines import at_origin
 from weekcast.operators.features import series_order
+from weekcast.operators.seasonality import spread
 
 # The grid of level and trend weights, and the shortest fitted history.
 ALPHAS = tuple(k / 10 for k in range(1, 11))
@@ -77,7 +78,7 @@ def holt_states(
             for start in range(0, len(batch), _CHUNK):
                 yield _run_chunk(batch.iloc[start : start + _CHUNK], keys, grid)
 
-    return series.mapInPandas(run, schema)
+    return spread(series, keys).mapInPandas(run, schema)
 
 
 def _run_chunk(chunk: pd.DataFrame, keys: list[str], grid: np.ndarray) -> pd.DataFrame:

@@ -39,6 +39,16 @@ def histories(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFra
 
 
 
+def spread(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Whole-series rows over all shuffle partitions.
+
+    The rows are few bytes but much work; adaptive execution would merge them into a
+    few tasks by size.
+    """
+    n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return series.repartition(n, *keys)
+
+
 def _residuals(series: DataFrame) -> DataFrame:
     """Add ``n``, ``e`` = values minus their mean, and ``ss`` = the sum of squares."""
     return (
@@ -186,39 +196,39 @@ def adf_p_value(stat: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
-def _least_squares(x: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    beta, *_ = np.linalg.lstsq(x, d, rcond=None)
-    gap = d - x @ beta
-    return beta, np.linalg.pinv(x.T @ x), float(gap @ gap)
-
-
 def _adf_statistic(y: np.ndarray) -> float:
-    """t statistic of the level, lagged differences chosen by AIC over a common sample."""
+    """t statistic of the level, lagged differences chosen by AIC over a common sample.
+
+    The candidate models are nested, so one QR factorisation of the largest gives the
+    residual sum of squares of all of them.
+    """
     n = len(y)
     top = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
     d = np.diff(y)
 
-    def design(lags: int, skip: int) -> np.ndarray:
-        rows = np.arange(skip, len(d))
+    def design(lags: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.arange(lags, len(d))
         columns = [np.ones(len(rows)), y[rows], *[d[rows - j] for j in range(1, lags + 1)]]
-        return np.column_stack(columns)
-
-    best, chosen = math.inf, 0
-    for lags in range(top + 1):
-        x = design(lags, top)
-        *_, rss = _least_squares(x, d[top:])
-        m = len(x)
-        aic = m * math.log(max(rss, 1e-300) / m) + 2 * x.shape[1]
-        if aic < best:
-            best, chosen = aic, lags
-    x = design(chosen, chosen)
-    beta, inverse, rss = _least_squares(x, d[chosen:])
-    return float(beta[1] / math.sqrt(rss / (len(x) - x.shape[1]) * inverse[1, 1]))
+        return np.column_stack(columns), d[rows]
+
+    x, target = design(top)
+    q, _ = np.linalg.qr(x)
+    explained = np.cumsum((q.T @ target) ** 2)[1:]
+    rss = np.maximum(target @ target - explained, 1e-300)
+    m = len(x)
+    aic = m * np.log(rss / m) + 2 * np.arange(2, top + 3)
+    x, target = design(int(np.argmin(aic)))
+    q, r = np.linalg.qr(x)
+    beta = np.linalg.solve(r, q.T @ target)
+    gap = target - x @ beta
+    inverse = np.linalg.inv(r)
+    variance = (gap @ gap) / (len(x) - x.shape[1]) * (inverse[1] @ inverse[1])
+    return float(beta[1] / math.sqrt(variance))
 
 
 def adf(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Augmented Dickey–Fuller test with AIC lag choice; one array of weeks per row."""
-    series = histories(panel, keys)
+    series = spread(histories(panel, keys), keys)
     schema = ", ".join(
         [*[f"{k} {dict(series.dtypes)[k]}" for k in keys], "adf_stat double", "adf_pvalue double"]
     )
