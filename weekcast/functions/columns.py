@@ -36,6 +36,13 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
+def correlation_of(left: str | Column, right: str | Column) -> Column:
+    """Aggregate: Pearson correlation over complete pairs; null when a side is constant."""
+    both = col(left).isNotNull() & col(right).isNotNull()
+    x, y = F.when(both, col(left)), F.when(both, col(right))
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def dot(left: Column, right: Column) -> Column:
     """Inner product of two equally long arrays."""
     return F.aggregate(

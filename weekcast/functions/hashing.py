@@ -6,7 +6,7 @@ overflows under ANSI arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The multiplier of the 32-bit mixer and the golden-ratio increment.
@@ -22,20 +22,28 @@ def mix_int(x: int) -> int:
     return (x >> 16) ^ x
 
 
-def mix(df: DataFrame, name: str) -> DataFrame:
-    """The mixer on a column; one projection per step keeps the expressions small."""
-    folded = F.shiftright(name, 16).bitwiseXOR(F.col(name))
-    scrambled = (folded * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK))
-    return df.withColumn(name, scrambled).withColumn(name, scrambled).withColumn(name, folded)
+def _fold(x: Column) -> Column:
+    return F.shiftright(x, 16).bitwiseXOR(x)
 
 
-def draw63(df: DataFrame, seed: int, rep: str, index: str, out: str) -> DataFrame:
-    """A 63-bit number per (seed, rep, index)."""
+def mix(x: Column) -> Column:
+    """The mixer on a column.
+
+    Each step uses its input twice; a fold over two rounds binds it once, where plain
+    nesting would double the expression with every step.
+    """
+    rounds = F.array(F.lit(1), F.lit(2))
+    return F.aggregate(
+        rounds, x, lambda v, _: (_fold(v) * F.lit(MULTIPLIER)).bitwiseAND(F.lit(MASK)), _fold
+    )
+
+
+def draw63(seed: int, rep: str, index: str) -> Column:
+    """A 63-bit number per (seed, rep, index); ``index`` is a bigint column."""
     mask = F.lit(MASK)
-    low = F.col(index).bitwiseAND(mask)
-    df = mix(df.withColumn("_a", F.col(rep).cast("bigint").bitwiseXOR(F.lit(mix_int(seed)))), "_a")
-    df = mix(df.withColumn("_b", low.bitwiseXOR(F.col("_a"))), "_b")
-    df = mix(df.withColumn("_c", (low + F.col("_a") + F.lit(INCREMENT)).bitwiseAND(mask)), "_c")
-    df = mix(df.withColumn("_c", F.shiftright(index, 32).bitwiseXOR(F.col("_c"))), "_c")
-    high = F.col("_b").bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(2**32)
-    return df.withColumn(out, high + F.col("_c")).drop("_a", "_b", "_c")
+    i = F.col(index)
+    a = mix(F.col(rep).cast("bigint").bitwiseXOR(F.lit(mix_int(seed))))
+    b = mix(i.bitwiseAND(mask).bitwiseXOR(a))
+    c = mix((i.bitwiseAND(mask) + a + F.lit(INCREMENT)).bitwiseAND(mask))
+    c = mix(F.shiftright(i, 32).bitwiseXOR(c))
+    return b.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(2**32) + c

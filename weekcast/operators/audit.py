@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.functions.columns import clean, ratio, share
+from weekcast.functions.columns import correlation_of, ratio, share
 from weekcast.operators import segments as seg
 from weekcast.operators.features import calendar_columns, series_order
 from weekcast.operators.panel import resample
@@ -156,7 +156,7 @@ def _autocorrelation(lagged: str, lag: int) -> Column:
     return (
         F.when(F.count(F.lit(1)) <= lag, F.lit(None).cast("double"))
         .when(F.stddev_pop(y) == 0, 0.0)
-        .otherwise(clean(F.corr(y, F.col(lagged))))
+        .otherwise(correlation_of(y, lagged))
     )
 
 
@@ -227,7 +227,7 @@ def correlation(weekly: DataFrame) -> DataFrame:
         a.join(b, "week_start")
         .where(F.col("category_a") <= F.col("category_b"))
         .groupBy("category_a", "category_b")
-        .agg(clean(F.corr("_a", "_b")).alias("correlation"))
+        .agg(correlation_of("_a", "_b").alias("correlation"))
     )
     sides = F.when(
         F.col("category_a") == F.col("category_b"),

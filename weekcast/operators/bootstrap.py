@@ -49,15 +49,16 @@ def _draws(blocks: DataFrame, n_bootstrap: int, seed: int, method: str) -> DataF
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("rep")
     if method == "poisson":
         # Inverse distribution function of Poisson(1) at a hashed uniform, to weight 12.
-        slots = draw63(blocks.select(reps, "block_id", "models"), seed, "rep", "block_id", "_u")
+        slots = blocks.select(reps, "block_id", "models").withColumn(
+            "_u", draw63(seed, "rep", "block_id")
+        )
         cumulative = [sum(math.exp(-1) / math.factorial(k) for k in range(j + 1)) for j in range(13)]
         passed = [F.when(F.col("_u") >= int(c * 2**63), 1).otherwise(0) for c in cumulative[:-1]]
-        # Zero weights stay in: filtering on the weight would push the hash steps into one
-        # giant predicate, and a zero adds nothing to the sums.
+        # Zero weights stay in; they add nothing to the sums.
         return slots.select("rep", sum(passed[1:], passed[0]).alias("weight"), "models")
     slots = blocks.select(reps, F.col("block_id").alias("i"), "total_rows")
-    drawn = draw63(slots, seed, "rep", "i", "_u").select(
-        "rep", (F.col("_u") % F.col("total_rows")).alias("block_id")
+    drawn = slots.select(
+        "rep", (draw63(seed, "rep", "i") % F.col("total_rows")).alias("block_id")
     )
     # Repeats are counted first; the join then needs no further shuffle of the draws.
     times = drawn.groupBy("block_id", "rep").agg(F.count(F.lit(1)).alias("weight"))
@@ -132,6 +133,6 @@ def _median_per_replicate(
     """Weighted exact median of the absolute errors; needs the errors, not their sums."""
     drawn = _draws(block_sums(predictions), n_bootstrap, seed, method)
     errors = drawn.select("rep", "weight", F.inline("models")).select(
-        "rep", "model_name", "abs_error", F.explode(F.array_repeat(F.lit(1), F.col("weight")))
+        "rep", "model_name", "abs_error", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int")))
     )
     return exact_quantiles(errors, "abs_error", ["rep", "model_name"], {"value": 0.5})
