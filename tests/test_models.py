@@ -207,14 +207,26 @@ def test_audit_plan(spark):
 
 
 def test_scenario_refit(spark):
-    from weekcast.operators.scenarios import roll_up
-    from weekcast.plans.predict import predict, refit
+    from weekcast.operators.scenarios import full_panel, roll_up
+    from weekcast.plans.predict import KEYS, predict, refit
     from weekcast.sources.star import star_scenarios
 
     frame = cut_lineage(roll_up(star_scenarios(spark, "/root/testdata/sf0.001", 3)))
     names = f.feature_names(frame.columns, f.Features())
     made = refit(frame, names, 3).toPandas()
-    assert len(made) == 3 * 6 * 3 and (made["prediction"] >= 0).all()
+    assert (made["prediction"] >= 0).all()
+    # Every series with a full set of features at the origin, for each horizon.
+    table = f.supervised(
+        full_panel(frame), segment_series(full_panel(frame), KEYS), horizons=(1,), keys=KEYS
+    ).toPandas()
+    origin = made["forecast_origin"].unique()
+    known = table[table["week_start"].isin(origin)].dropna(subset=names)
+    assert len(origin) == 1 and len(made) == 3 * len(known)
+    # One scenario alone gives the same forecasts: no row of another one is trained on.
+    alone = refit(frame.where("scenario_name = 'A'"), names, 3).toPandas()
+    both = made.merge(alone, on=["scenario_name", "series_id", "horizon"])
+    assert len(both) == len(alone)
+    assert np.allclose(both["prediction_x"], both["prediction_y"], rtol=1e-6)
     panel = frame.where("scenario_name = 'A'")
     table = cut_lineage(f.supervised(panel, segment_series(panel), horizons=(1,)))
     tables = predict(frame, r.fit(table, names, (1,)), names, 3)

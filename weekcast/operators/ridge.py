@@ -31,12 +31,16 @@ def _centres(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
 
 
 def weekly_moments(
-    table: DataFrame, features: Sequence[str], horizons: Sequence[int]
+    table: DataFrame,
+    features: Sequence[str],
+    horizons: Sequence[int],
+    pools: Sequence[str] = (),
 ) -> tuple[DataFrame, np.ndarray]:
     """Per week: the sums of zᵀ[z, y_h…] with z = [1, features], flattened, and the centres.
 
-    A task keeps one small matrix per week, whatever its number of rows.
+    A task keeps one small matrix per week (and pool), whatever its number of rows.
     """
+    by = [*pools, "week_start"]
     features, targets = list(features), [f"target_h{h}" for h in horizons]
     rows = _complete(table, features)
     centres = _centres(rows, [*features, *targets])
@@ -50,22 +54,25 @@ def weekly_moments(
             # A target is missing only in the last weeks, which no window of it trains on.
             values = np.where(np.isnan(values), 0.0, values)
             design = np.column_stack([np.ones(len(values)), values])
-            for week, index in batch.groupby("week_start").indices.items():
+            for key, index in batch.groupby(by).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
                 part = design[index]
-                if week not in sums:
-                    sums[week] = np.zeros(shape)
-                sums[week] += part[:, : p + 1].T @ part
+                if key not in sums:
+                    sums[key] = np.zeros(shape)
+                sums[key] += part[:, : p + 1].T @ part
         if sums:
-            yield pd.DataFrame(
-                {"week_start": list(sums), "moments": [m.ravel() for m in sums.values()]}
-            )
+            out = pd.DataFrame(list(sums), columns=by)
+            out["moments"] = [m.ravel() for m in sums.values()]
+            yield out
 
-    partial = rows.select("week_start", *[F.col(c).cast("double") for c in [*features, *targets]])
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "moments array<double>"])
+    partial = rows.select(*by, *[F.col(c).cast("double") for c in [*features, *targets]])
     summed = (
-        partial.mapInPandas(accumulate, "week_start date, moments array<double>")
-        .groupBy("week_start")
+        partial.mapInPandas(accumulate, schema)
+        .groupBy(*by)
         .agg(Summarizer.sum(array_to_vector("moments")).alias("_v"))
-        .select("week_start", vector_to_array("_v").alias("moments"))
+        .select(*by, vector_to_array("_v").alias("moments"))
     )
     return summed, centres
 
@@ -99,14 +106,16 @@ def coefficients(
     features: Sequence[str],
     horizons: Sequence[int] = tuple(range(1, 9)),
     alpha: float = 1.0,
+    pools: Sequence[str] = (),
 ) -> DataFrame:
     """One row per window: horizon, forecast_origin, intercept, coefficients.
 
-    The table is read twice; hand in a written one. Weekly sums and windows both grow
-    with the calendar only, so one group per horizon is small.
+    ``pools`` names columns whose values get a model of their own. The table is read
+    twice; hand in a written one. Weekly sums and windows both grow with the calendar
+    only, so one group per pool and horizon is small.
     """
-    features, horizons = list(features), list(horizons)
-    weekly, centres = weekly_moments(table, features, horizons)
+    features, horizons, pools = list(features), list(horizons), list(pools)
+    weekly, centres = weekly_moments(table, features, horizons, pools)
     p = len(features)
     shape = (p + 1, p + 1 + len(horizons))
 
@@ -125,22 +134,24 @@ def coefficients(
                 slot = horizons.index(window.horizon)
                 made = _solve(running[upto - 1].reshape(shape), p, slot, centres, alpha)
                 if made:
-                    rows.append((window.horizon, window.forecast_origin, *made))
+                    pool = [getattr(window, c) for c in pools]
+                    rows.append((*pool, window.horizon, window.forecast_origin, *made))
         return pd.DataFrame(
-            rows, columns=["horizon", "forecast_origin", "intercept", "coefficients"]
+            rows, columns=[*pools, "horizon", "forecast_origin", "intercept", "coefficients"]
         )
 
     per_horizon = weekly.withColumn(
         "horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))
     )
-    wanted = windows.select("horizon", "forecast_origin", "train_end")
+    wanted = windows.select(*pools, "horizon", "forecast_origin", "train_end")
+    kinds = dict(table.dtypes)
+    schema = "".join(f"{c} {kinds[c]}, " for c in pools) + (
+        "horizon int, forecast_origin date, intercept double, coefficients array<double>"
+    )
     return (
-        per_horizon.groupBy("horizon")
-        .cogroup(wanted.groupBy("horizon"))
-        .applyInPandas(
-            solve_all,
-            "horizon int, forecast_origin date, intercept double, coefficients array<double>",
-        )
+        per_horizon.groupBy(*pools, "horizon")
+        .cogroup(wanted.groupBy(*pools, "horizon"))
+        .applyInPandas(solve_all, schema)
     )
 
 
@@ -157,12 +168,16 @@ def ridge(
     alpha: float = 1.0,
     keys: Sequence[str] = ("series_id",),
 ) -> DataFrame:
-    """Backtest predictions of every window from the supervised table."""
-    made = coefficients(table, windows, features, horizons, alpha)
+    """Backtest predictions of every window from the supervised table.
+
+    Key columns that the windows carry too, such as the scenario, are fitted apart.
+    """
     extra = [k for k in keys if k != "series_id"]
-    rows = at_origin(_complete(table, features), windows, horizons)
+    pools = [k for k in extra if k in windows.columns]
+    made = coefficients(table, windows, features, horizons, alpha, pools)
+    rows = at_origin(_complete(table, features), windows, horizons, pools)
     # One coefficient row per window: bounded by weeks × horizons.
-    joined = rows.join(F.broadcast(made), ["horizon", "forecast_origin"])
+    joined = rows.join(F.broadcast(made), [*pools, "horizon", "forecast_origin"])
     return _predict(joined, features).select(
         *extra,
         F.lit("ridge").alias("model_name"),

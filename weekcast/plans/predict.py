@@ -55,10 +55,7 @@ def score_ridge(
 def predict(
     frame: DataFrame, model: DataFrame, feature_columns: Sequence[str], horizon_weeks: int
 ) -> dict[str, DataFrame]:
-    """Predictions with their metrics; refits on the scenarios when the model falls short.
-
-    The refit trains one ridge on all scenarios' history, pooled.
-    """
+    """Predictions with their metrics; refits on the scenarios when the model falls short."""
     frame = cut_lineage(frame)
     made = cut_lineage(score_ridge(frame, model, feature_columns))
     if not sc.missing_horizons(made, frame, horizon_weeks).isEmpty():
@@ -75,10 +72,10 @@ def predict(
 def refit(
     frame: DataFrame, feature_columns: Sequence[str], horizon_weeks: int, features: Features = Features()
 ) -> DataFrame:
-    """Train on each scenario's history and forecast its future weeks."""
+    """One ridge per scenario, trained on its history, for its future weeks."""
     horizons = tuple(range(1, horizon_weeks + 1))
     segments = segment_series(sc.full_panel(frame), KEYS)
     table = cut_lineage(supervised(sc.full_panel(frame), segments, features, horizons, KEYS))
-    windows = future_windows(frame, horizon_weeks)
+    windows = future_windows(frame, horizon_weeks, ("scenario_name",))
     made = ridge.ridge(table, windows, feature_columns, horizons, keys=KEYS)
     return made.withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
