@@ -321,7 +321,7 @@ def register(q: Registry) -> None:
         """sales_rank:i series_id category segment_label total_sales_units:2 sales_share:8
            cumulative_sales_share:8 mean_sales_units:4 median_sales_units:4 zero_share:6
            outlier_share:6 coefficient_of_variation:6 trend_strength:6""",
-        lambda sp, d: a.sku_ranking(a.series_summary(panel_table(sp, d, "sku"))),
+        lambda sp, d: a.sku_ranking(summary_table(sp, d)),
         s.with_([*summary_sql("sku"), RANKED], "SELECT * FROM ranked"),
     )
     add(
@@ -670,7 +670,7 @@ def register(q: Registry) -> None:
     add(
         "v8_cumulative_share",
         "sales_rank:i series_id cumulative_sales_share:8",
-        lambda sp, d: c.cumulative_share(a.series_summary(panel_table(sp, d, "sku"))),
+        lambda sp, d: c.cumulative_share(summary_table(sp, d)),
         s.with_(
             [*summary_sql("sku"), RANKED], "SELECT * FROM ranked WHERE sales_rank <= 200"
         ),

@@ -11,8 +11,9 @@ def col(c: str | Column) -> Column:
 
 
 def monday(date: str | Column) -> Column:
-    """The Monday on or before ``date``."""
-    return F.to_date(F.date_trunc("week", col(date)))
+    """The Monday on or before ``date``; day arithmetic only, no timestamps or zones."""
+    day = F.to_date(col(date))
+    return F.date_sub(day, F.weekday(day))
 
 
 def plus_weeks(date: str | Column, weeks: int | Column) -> Column:

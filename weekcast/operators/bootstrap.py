@@ -21,22 +21,16 @@ _SUMS = ("n", "abs_error", "error", "sq_error", "abs_actual", "smape_term")
 
 
 def block_sums(predictions: DataFrame, block: Sequence[str] = BLOCK) -> DataFrame:
-    """One row per block with the error sums of each model, and its 0-based number.
+    """One row per block with the error terms of each model, and its 0-based number.
 
-    Numbers follow the sorted block keys; they come from the range-partitioned
-    ranking, since the number of blocks grows with the series.
+    A block holds a handful of rows, one per model. Numbers follow the sorted block
+    keys; they come from the range-partitioned ranking, since the number of blocks
+    grows with the series.
     """
-    terms = error_terms()
-    per_model = (
-        predictions.withColumns(terms)
-        .groupBy(*block, "model_name")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(t).alias(t) for t in terms],
-            F.sum(F.col("error") * F.col("error")).alias("sq_error"),
-        )
+    terms = predictions.withColumns(error_terms()).withColumns(
+        {"n": F.lit(1), "sq_error": F.col("error") * F.col("error")}
     )
-    per_block = per_model.groupBy(*block).agg(
+    per_block = terms.groupBy(*block).agg(
         F.collect_list(F.struct("model_name", *_SUMS)).alias("models")
     )
     return running(per_block, [F.col(b) for b in block]).select(

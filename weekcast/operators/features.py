@@ -99,7 +99,7 @@ def encode(panel: DataFrame, segments: DataFrame, keys: Sequence[str]) -> DataFr
     labelled = series.join(segments.select(*keys, "segment_label"), list(keys), "left").withColumn(
         "_label", F.coalesce("segment_label", F.lit("unknown"))
     )
-    out = labelled.join(codes(panel, "category", "category_code"), "category").join(
+    out = labelled.join(codes(series, "category", "category_code"), "category").join(
         _label_codes(labelled), "_label"
     )
     if "sku" in statics:
@@ -172,11 +172,13 @@ def supervised(
 
 def example_series(panel: DataFrame) -> DataFrame:
     """The highest-volume series of each category, ties by ``series_id``."""
-    totals = panel.groupBy("category", "series_id").agg(
-        F.sum("sales_units").alias("total_sales_units")
+    totals = panel.groupBy("category", "series_id").agg(F.sum("sales_units").alias("total"))
+    best = F.min(F.struct((-F.col("total")).alias("minus"), "series_id"))
+    return (
+        totals.groupBy("category")
+        .agg(best.alias("b"))
+        .select("category", "b.series_id", (-F.col("b.minus")).alias("total_sales_units"))
     )
-    best = Window.partitionBy("category").orderBy(F.desc("total_sales_units"), "series_id")
-    return totals.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
 def feature_snapshot(panel: DataFrame, segments: DataFrame, rows: int = 20) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.columns import monday, plus_weeks, ratio
+from weekcast.session import is_small
 
 LEVELS = ("category", "sku")
 PANEL_KEY = ("series_id", "week_start")
@@ -34,7 +35,8 @@ def wide_to_long(sales_wide: DataFrame, calendar: DataFrame) -> DataFrame:
     days = [c for c in sales_wide.columns if c.startswith("d_")]
     ids = [c for c in sales_wide.columns if c not in days]
     long = sales_wide.unpivot(ids, days, "d", "units")
-    return long.join(calendar.select("d", "date"), "d").select(
+    # One calendar row per day.
+    return long.join(F.broadcast(calendar.select("d", "date")), "d").select(
         *ids, "d", "date", F.col("units").cast("double").alias("units")
     )
 
@@ -42,18 +44,22 @@ def wide_to_long(sales_wide: DataFrame, calendar: DataFrame) -> DataFrame:
 def weekly_sales(sales: DataFrame, items: DataFrame, level: str) -> DataFrame:
     """Units per series and Monday week.
 
-    Sales are summed per item and week before the item table is joined, so a hot item
-    enters the join with at most one row per week.
+    A small item table is broadcast to the sales lines: at category level they then meet
+    only partial sums in the shuffle. A larger one is joined after the lines are summed
+    per item and week, so a hot item enters the join with at most one row per week.
     """
-    per_item = sales.groupBy("item_id", monday("date").alias("week_start")).agg(
-        F.sum("units").alias("units")
-    )
-    joined = per_item.join(items.select("item_id", "cat_id"), "item_id")
-    if level == "category":
-        joined = joined.groupBy("cat_id", "week_start").agg(F.sum("units").alias("units"))
+    _level_keys(level)
+    week = monday("date").alias("week_start")
+    units = F.sum("units").alias("units")
+    names = items.select("item_id", "cat_id")
+    if level == "category" and is_small(names):
+        summed = sales.join(F.broadcast(names), "item_id").groupBy("cat_id", week).agg(units)
+    elif level == "category":
+        per_item = sales.groupBy("item_id", week).agg(units)
+        summed = per_item.join(names, "item_id").groupBy("cat_id", "week_start").agg(units)
     else:
-        _level_keys(level)
-    return joined.select(
+        summed = sales.groupBy("item_id", week).agg(units).join(names, "item_id")
+    return summed.select(
         *_level_columns(level), "week_start", F.col("units").cast("double").alias("sales_units")
     )
 
@@ -66,10 +72,14 @@ def day_counts(calendar: DataFrame) -> DataFrame:
 
 
 def item_store_price(prices: DataFrame, items: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Day-weighted price per item, store and Monday week."""
+    """Day-weighted price per item, store and Monday week.
+
+    The day counts have two rows per calendar week; joined by shuffle, the price rows
+    would land in as many partitions as there are weeks.
+    """
     return (
         prices.join(items.select("item_id", "cat_id"), "item_id")
-        .join(day_counts(calendar), "wm_yr_wk")
+        .join(F.broadcast(day_counts(calendar)), "wm_yr_wk")
         .groupBy("item_id", "cat_id", "store_id", "week_start")
         .agg(
             ratio(F.sum(F.col("sell_price") * F.col("day_count")), F.sum("day_count")).alias("price")

@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekcast.session import shared_folder
+
 # Model names and the loss each one minimises.
 LOSSES = {"gbt_squared": "squared", "gbt_absolute": "absolute"}
 
@@ -45,6 +47,10 @@ def trees(
     window is a distributed fit of its own; the loop is over windows, not over data.
     The table is read once per window: hand in a written one.
     """
+    context = table.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # Long boosting runs cut their lineage every few trees.
+        context.setCheckpointDir(shared_folder(table.sparkSession))
     recent = [
         r[0]
         for r in windows.select("forecast_origin")

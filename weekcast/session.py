@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,6 @@ def build_session(app: str = "weekcast", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -29,15 +29,37 @@ def build_session(app: str = "weekcast", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_scratch: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only when that is unset (single-machine tests) a temporary folder stands in.
+    """
+    global _scratch
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if _scratch is None:
+        _scratch = tempfile.mkdtemp(prefix="weekcast-")
+    return _scratch
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and continue from the files.
+    """Write ``df`` once to the shared folder and continue from the files.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only when
-    that is unset (single-machine tests) is a temporary folder used.
+    Later steps that read it several times do not repeat the work behind it, a lost
+    executor costs a re-read and not a re-run, and Parquet keeps column pruning, filter
+    pushdown and size statistics, which a checkpointed RDD loses.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weekcast-checkpoint-"))
-    return df.checkpoint(eager=True)
+    run = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/weekcast/{run}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def is_small(df: DataFrame, rows: int = 200_000) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; stops counting beyond."""
+    return df.limit(rows + 1).count() <= rows
