@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from catalog import sqlbase as s
 from catalog.model_queries import SCENARIO_PREDICTIONS
 from catalog.registry import Registry
-from catalog.tables import baseline_table, scenario_table
+from catalog.tables import baseline_rows, baseline_table, scenario_table
 from weekcast.functions import hashing
 from weekcast.operators import bootstrap as bs
 from weekcast.operators import charts as c
@@ -73,8 +75,6 @@ def bootstrap_sql(metric: str, method: str = "multinomial") -> str:
     if method == "multinomial":
         weights = f"SELECT rep, u % n AS block_id, COUNT(*) AS w FROM ({drawn}) GROUP BY 1, 2"
     else:
-        import math
-
         cumulative = [
             int(sum(math.exp(-1) / math.factorial(k) for k in range(j + 1)) * 2**63)
             for j in range(12)
@@ -123,7 +123,7 @@ def register(q: Registry) -> None:
         add(
             name,
             f"{spec} {SPEC}",
-            lambda sp, d, keys=keys, level=level: ev.metrics(baseline_table(sp, d, level), keys),
+            lambda sp, d, keys=keys, level=level: ev.metrics(baseline_rows(sp, d, level), keys),
             s.with_(s.predictions(level), s.metrics(by)),
         )
     for name, metric in {
@@ -135,7 +135,7 @@ def register(q: Registry) -> None:
         add(
             name,
             f"model_name series_id {metric}",
-            lambda sp, d: ev.metrics(baseline_table(sp, d, "p_brand"), ["model_name", "series_id"]),
+            lambda sp, d: ev.metrics(baseline_rows(sp, d, "p_brand"), ["model_name", "series_id"]),
             s.with_(s.predictions("p_brand"), s.metrics("model_name, series_id")),
         )
     add(
@@ -239,7 +239,7 @@ def register(q: Registry) -> None:
         "h14_best_per_segment",
         "segment_label model_name WAPE:6",
         lambda sp, d: ev.best_per_segment(
-            ev.metrics(baseline_table(sp, d, "sku"), ["model_name", "segment_label"])
+            ev.metrics(baseline_rows(sp, d, "sku"), ["model_name", "segment_label"])
         ),
         s.with_(
             [*s.predictions("sku"), f"scores AS ({s.metrics('model_name, segment_label')})"],
@@ -283,7 +283,7 @@ def register(q: Registry) -> None:
         "v11_wape_model_horizon",
         "model_name " + " ".join(f"horizon_{h}:6" for h in s.HORIZONS),
         lambda sp, d: c.wape_matrix(
-            ev.metrics(baseline_table(sp, d), ["model_name", "horizon"]),
+            ev.metrics(baseline_rows(sp, d), ["model_name", "horizon"]),
             "model_name",
             "horizon",
             s.HORIZONS,
@@ -302,7 +302,7 @@ def register(q: Registry) -> None:
         "v11_wape_segment_model",
         "segment_label " + " ".join(f"model_name_{m}:6" for m in models),
         lambda sp, d: c.wape_matrix(
-            ev.metrics(baseline_table(sp, d, "sku"), ["model_name", "segment_label"]),
+            ev.metrics(baseline_rows(sp, d, "sku"), ["model_name", "segment_label"]),
             "segment_label",
             "model_name",
             models,

@@ -44,9 +44,16 @@ def setup(spark: SparkSession, sf_dir: str, level: str = "p_type", backtest: Bac
     return Setup(panel, segment_series(panel), rolling_windows(panel, backtest))
 
 
+def baseline_rows(
+    spark: SparkSession, sf_dir: str, level: str = "p_type", alignment: str = "reference"
+) -> DataFrame:
+    """Predictions of both baselines, for queries that scan them once."""
+    s = setup(spark, sf_dir, level)
+    return baselines(s.panel, s.segments, s.windows, alignment=alignment)
+
+
 def baseline_table(
     spark: SparkSession, sf_dir: str, level: str = "p_type", alignment: str = "reference"
 ) -> DataFrame:
     """Predictions of both baselines, written once."""
-    s = setup(spark, sf_dir, level)
-    return cut_lineage(baselines(s.panel, s.segments, s.windows, alignment=alignment))
+    return cut_lineage(baseline_rows(spark, sf_dir, level, alignment))

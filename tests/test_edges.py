@@ -41,6 +41,25 @@ def test_densify_needs_no_join_or_cross_product(make_panel):
     assert "Join" not in plan and "Cartesian" not in plan
 
 
+def test_large_item_tables_give_the_same_panel(spark, monkeypatch):
+    from weekcast.sources.star import star_raw
+
+    raw = star_raw(spark, "/root/testdata/sf0.001")
+    order = ["series_id", "week_start"]
+    small = p.weekly_sales(raw.sales, raw.items, "category").orderBy(*order).collect()
+    monkeypatch.setattr(p, "is_small", lambda df: False)
+    large = p.weekly_sales(raw.sales, raw.items, "category").orderBy(*order).collect()
+    assert small == large
+    with pytest.raises(ValueError, match="level must be"):
+        p.weekly_sales(raw.sales, raw.items, "store")
+
+
+def test_is_small(spark):
+    from weekcast.session import is_small
+
+    assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
+
+
 def test_contract_raises(make_panel):
     panel = make_panel({"a": [1, 2]})
     with pytest.raises(ValueError, match="lacks columns"):
@@ -189,6 +208,16 @@ def test_metric_corners(spark):
     assert made["n"].sMAPE == 200.0 and made["n"].WAPE is None
 
 
+def test_no_lag_unit_root_on_a_constant_series(make_panel):
+    from weekcast.operators import seasonality as se
+
+    panel = make_panel({"flat": [4] * 30, "noise": [1, 5, 2, 8, 3, 9] * 5})
+    made = by_series(se.adf_no_lags(panel))
+    assert made["flat"].adf_stat is None and made["noise"].adf_stat < 0
+    assert by_series(se.kpss(panel))["flat"].kpss_stat is None
+    assert {r.series_id for r in se.acf(panel).collect()} == {"noise"}
+
+
 def test_error_cases_without_baseline(spark):
     table = spark.createDataFrame(
         [("m", "s", "c", "stable", datetime.date(2020, 1, 6), datetime.date(2020, 1, 13), 1, 1.0, 2.0)],

@@ -15,7 +15,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(REGISTRY.sql))
 def test_same_table(spark, con, name):
-    assert difference(REGISTRY.queries[name](spark, SF), con, REGISTRY.sql[name]) is None
+    df = REGISTRY.queries[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert difference(df, con, REGISTRY.sql[name]) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY.queries) - set(REGISTRY.sql)))

@@ -41,9 +41,13 @@ def histogram(long: DataFrame, bins: int) -> DataFrame:
         F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_lo"),
         F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_hi"),
     )
-    position = F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
+    # The bounds of all measures travel as one map value.
+    edges = F.struct(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    lookup = bounds.agg(F.map_from_entries(F.collect_list(F.struct("measure", edges)))).scalar()
+    position = F.floor((F.col("value") - F.col("_b.lo")) / (F.col("_b.hi") - F.col("_b.lo")) * bins)
     counted = (
-        known.join(F.broadcast(bounds), "measure")
+        known.withColumn("_lookup", lookup)
+        .withColumn("_b", F.element_at("_lookup", F.col("measure")))
         .withColumn("bin", F.least(position + 1, F.lit(bins)).cast("int"))
         .groupBy("measure", "bin")
         .agg(F.count(F.lit(1)).alias("count"))
