@@ -32,6 +32,7 @@ HEADLINE = (
     "g2_seasonal_naive",
     "g3_holt",
     "g4_ridge",
+    "g7_backtest_all_models",
     "g9_ridge_final_fit",
     "g12_scenario_baselines",
     "g12_scenario_ridge",

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import sqlbase as s
 from catalog.registry import Registry
-from catalog.tables import baseline_table, panel_table, scenario_table, setup
+from catalog.tables import baseline_rows, baseline_table, panel_table, scenario_table, setup
 from weekcast.operators import baselines as b
 from weekcast.operators import evaluate as ev
 from weekcast.operators import features as f
@@ -20,7 +20,8 @@ from weekcast.operators import trees as t
 from weekcast.operators import windows as w
 from weekcast.operators.segments import segment_series
 from weekcast.plans.predict import score_baselines, score_ridge
-from weekcast.session import cut_lineage
+from weekcast.plans.experiment import Experiment, backtest
+from weekcast.session import cut_lineage, shared_folder
 from weekcast.sources.sinks import write_table
 
 PREDICTION_SPEC = """model_name model_family series_id category segment_label forecast_origin
@@ -167,6 +168,35 @@ def register(q: Registry) -> None:
             "SELECT * FROM predictions WHERE actual IS NULL OR prediction IS NULL",
         ),
     )
+    add(
+        "g7_backtest_all_models",
+        f"model_name {s.METRIC_SPEC}",
+        lambda sp, d: ev.overall(backtest(cut_lineage(panel_table(sp, d)), Experiment())),
+    )
+
+    def written(sp, d):
+        path = write_table(
+            baseline_rows(sp, d),
+            f"{shared_folder(sp)}/tables",
+            uuid.uuid4().hex,
+            "predictions",
+            ["model_name"],
+        )
+        table = sp.read.parquet(path).where("model_name = 'naive'")
+        return table.groupBy("horizon").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("prediction").alias("predicted")
+        )
+
+    add(
+        "a4_partitioned_table",
+        "horizon:i rows:i predicted:2",
+        written,
+        s.with_(
+            s.predictions(),
+            """SELECT horizon, COUNT(*) AS rows, SUM(prediction) AS predicted
+               FROM predictions WHERE model_name = 'naive' GROUP BY 1""",
+        ),
+    )
     add(
         "g8_best_model",
         "model_name WAPE:6",
@@ -186,9 +216,8 @@ def register(q: Registry) -> None:
     )
 
     def saved(sp, d):
-        root = tempfile.mkdtemp(prefix="weekcast-model-")
         model = r.fit(supervised_table(sp, d), NAMES)
-        path = write_table(model, root, "check", "model")
+        path = write_table(model, f"{shared_folder(sp)}/models", uuid.uuid4().hex, "model")
         return sp.read.parquet(path).select(
             "*", F.size("features").alias("feature_count"), F.size("coefficients").alias("size")
         )
