@@ -206,6 +206,30 @@ def test_audit_plan(spark):
         assert tables[name].count() > 0, name
 
 
+def test_scenario_scoring_needs_only_recent_weeks(spark):
+    """Trimming the weeks before scoring leaves the forecasts as they are on all weeks."""
+    from weekcast.operators.scenarios import full_panel, history_panel, roll_up
+    from weekcast.operators.windows import future_windows
+    from weekcast.plans.predict import KEYS, score_ridge
+    from weekcast.sources.star import star_scenarios
+
+    frame = cut_lineage(roll_up(star_scenarios(spark, "/root/testdata/sf0.001", 3)))
+    names = f.feature_names(frame.columns, f.Features())
+    panel = frame.where("scenario_name = 'A'")
+    train = cut_lineage(f.supervised(panel, segment_series(panel), horizons=(1, 2)))
+    model = cut_lineage(r.fit(train, names, (1, 2)))
+    made = score_ridge(frame, model, names).toPandas()
+    everything = f.supervised(
+        full_panel(frame), segment_series(history_panel(frame), KEYS), keys=KEYS
+    )
+    origin = future_windows(frame, 1, ("scenario_name",))
+    want = r.score(model, everything, names, origin, KEYS, 0.0).toPandas()
+    both = made.merge(want, on=["scenario_name", "series_id", "horizon"])
+    assert len(both) == len(want) == len(made) > 0
+    assert np.allclose(both["prediction_x"], both["prediction_y"])
+    assert (both["actual_x"] == both["actual_y"]).all()
+
+
 def test_scenario_refit(spark):
     from weekcast.operators.scenarios import full_panel, roll_up
     from weekcast.plans.predict import KEYS, predict, refit

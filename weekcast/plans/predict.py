@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekcast.functions.columns import plus_weeks
 from weekcast.operators import evaluate as ev
 from weekcast.operators import ridge
 from weekcast.operators import scenarios as sc
@@ -44,10 +45,22 @@ def score_baselines(
 def score_ridge(
     frame: DataFrame, model: DataFrame, feature_columns: Sequence[str], features: Features = Features()
 ) -> DataFrame:
-    """A saved coefficient table on each scenario's last observed week, clipped at zero."""
+    """A saved coefficient table on each scenario's last observed week, clipped at zero.
+
+    Features of that week look back a bounded number of weeks, so earlier weeks are cut
+    off before the feature windows; a filter on the week cannot pass them by itself.
+    """
     segments = segment_series(sc.history_panel(frame), KEYS)
-    table = supervised(sc.full_panel(frame), segments, features, keys=KEYS)
     origin = future_windows(frame, 1, ("scenario_name",)).select("scenario_name", "forecast_origin")
+    reach = max((*features.lags, *features.rolling_windows))
+    first = origin.agg(F.min("forecast_origin")).scalar()
+    recent = (
+        sc.full_panel(frame)
+        .withColumn("_first", first)
+        .where(F.col("week_start") >= plus_weeks("_first", -reach))
+        .drop("_first")
+    )
+    table = supervised(recent, segments, features, keys=KEYS)
     made = ridge.score(model, table, feature_columns, origin, KEYS, floor=0.0)
     return made.where(F.col("actual").isNotNull())
 
