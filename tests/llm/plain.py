@@ -85,16 +85,24 @@ def figures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), n_dup, len(covered), failed
 
 
-def substrings_removed(docs, size=50):
-    """docs: (id, bytes) pairs. Bytes covered by a string that starts in a smaller id."""
+def removed_places(docs, size=50):
+    """docs: (id, bytes) pairs. For every byte whether a string of ``size`` bytes covers it
+    that also starts in a smaller id."""
     seen, out = set(), {}
     for d, data in sorted(docs):
         own = [data[k : k + size] for k in range(len(data) - size + 1)]
-        gone = [False] * len(data)
+        out[d] = [False] * len(data)
         for k, x in enumerate(own):
             if x in seen:
-                gone[k : k + size] = [True] * size
+                out[d][k : k + size] = [True] * size
         seen.update(own)
+    return out
+
+
+def substrings_removed(docs, size=50):
+    places, out = removed_places(docs, size), {}
+    for d, data in docs:
+        gone = places[d]
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         kept = bytes(b for b, g in zip(data, gone) if not g)
         out[d] = (len(data), sum(gone), runs, hashlib.sha256(kept).hexdigest())

@@ -38,6 +38,38 @@ def test_sql_twin(spark, name):
     assert difference(QUERIES[name](spark, SF), connect(SF), SQL[name]) is None
 
 
+def test_op1(rows, docs):
+    from weekcast.llm import bpe, token_counts
+
+    model = bpe.load(bpe.tokenizer_path())
+    count = lambda t: sum(len(model.merge(p.encode())) for p in model.pieces(t))
+    got = {r["doc_id"]: (r["n_tokens"], r["n_edits"], r["n_tokens_after"]) for r in rows("op1_token_counts")}
+    want = {}
+    for d, t in docs.items():
+        edits, new = token_counts.redactions(t or ""), t or ""
+        for a, b, x in edits:
+            new = new[:a] + x + new[b:]
+        want[d] = (count(t or ""), len(edits), count(new))
+    assert got == want and any(x[1] for x in want.values())
+
+
+def test_op3(rows, docs):
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{SF}/labels.parquet").to_pylist()}
+    got = {r["doc_id"]: r for r in rows("op3_quality_gam")}
+    assert set(got) == set(docs)
+    for d, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+    told = [(got[d]["predicted"], q) for d, q in labels.items() if got[d]["held_out"]]
+    assert told and sum(p == q for p, q in told) >= 0.85 * len(told)
+
+
+def test_op6(rows, docs):
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = {r["doc_id"]: tuple(r[n] for n in names) for r in rows("op6_suffix_dedup")}
+    assert got == plain.substrings_removed([(d, (t or "").encode()) for d, t in docs.items()])
+
+
 def test_op4(rows, docs):
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     want = plain.decontaminated(docs.items(), items)

@@ -16,6 +16,7 @@ import json
 import re
 from array import array
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -95,12 +96,18 @@ class Bpe:
         self.pairs = np.array(order, np.int64)
         self.pair_ranks = np.array([self.rank[k] for k in order], np.int64)
         self.made_ids, self.byte_ids = np.array(self.made, np.int64), np.array(self.byte_id, np.int64)
-        self.known, self.parts = Remembered(), Remembered()
+        self.known, self.parts, self.cuts = Remembered(), Remembered(), Remembered()
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
         return self.pattern.findall(text)
 
+    def pieces_many(self, texts: list[str]) -> list[list[str]]:
+        """The same for many texts; what lies between spaces is cut once and remembered."""
+        parts = [_between_spaces(t) for t in texts]
+        cut = self.cuts.lookup(set().union(*parts), lambda new: [tuple(self.pattern.findall(p)) for p in new])
+        return [list(chain.from_iterable(map(cut.__getitem__, x))) for x in parts]
+
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
         ids = [self.byte_id[b] for b in data]

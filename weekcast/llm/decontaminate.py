@@ -18,9 +18,12 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +104,21 @@ def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(int(starts[a]), int(ends[b - 1])) for a, b in runs]
 
 
+def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[Callable[[], list[tuple[str | None, bytes]]]]:
+    """Each part's (item, text) pairs, when called: about ``part_bytes`` and one item at most."""
+    bench = benchmark.select(
+        benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("binary").alias("words")
+    ).where("words IS NOT NULL")
+    total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    n = total // part_bytes + 1
+
+    def share(part: int) -> list[tuple[str | None, bytes]]:
+        rows = bench.where(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == part).collect()
+        return [(r["item"], bytes(r["words"])) for r in rows]
+
+    return [partial(share, k) for k in range(n)]
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -112,19 +130,14 @@ def contamination(
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``, and ``spans``: the
     byte offsets of the hit passages in the original text. No shuffle."""
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    bench = benchmark.select(
-        benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("binary").alias("words")
-    ).where("words IS NOT NULL")
-    total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    parts = total // part_bytes + 1
+    shares = benchmark_parts(benchmark, part_bytes)
     key = dict(texts.dtypes)["doc_id"]
     runs = "runs array<struct<first:bigint,end:bigint>>, items array<string>"
     state = texts.selectExpr("*", "CAST(array() AS array<struct<first:bigint,end:bigint>>) AS runs", "CAST(array() AS array<string>) AS items")
-    for part in range(parts):
-        rows = bench.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part).collect()
-        shared = docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in rows])
+    for part, share in enumerate(shares):
+        shared, last = docs.sparkSession.sparkContext.broadcast(share()), part == len(shares) - 1
 
-        def start(shared=shared, last=part == parts - 1):
+        def start(shared=shared, last=last):
             scanner = Scanner(shared.value, window)
 
             def look(batch: dict) -> tuple[list, list, list]:
@@ -158,7 +171,7 @@ def contamination(
 
             return ready if last else more
 
-        if part < parts - 1:
+        if not last:
             state = write_once(map_texts(state, f"doc_id {key}, text binary, {runs}", start))
         else:
             state = map_texts(
@@ -168,3 +181,25 @@ def contamination(
                 start,
             )
     return state
+
+
+def _hit(shared, window: int):
+    @F.pandas_udf("boolean")
+    def hit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = Scanner(shared.value, window)
+        for texts in parts:
+            yield pd.Series([bool(scanner.scan(words(t or b""))[0]) for t in texts], dtype=bool)
+
+    return hit
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a hit, columns as they are; each text is scanned where it
+    lies."""
+    shares = benchmark_parts(benchmark, part_bytes)
+    for part, share in enumerate(shares):
+        hit = _hit(docs.sparkSession.sparkContext.broadcast(share()), window)
+        docs = docs.where(~hit(docs[text_col].cast("binary")))
+        if part < len(shares) - 1:
+            docs = write_once(docs)
+    return docs

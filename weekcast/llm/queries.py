@@ -6,17 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekcast.llm import bpe, decontaminate, ring, simhash, token_store, url_filter, weak_rules
+from weekcast.llm import (
+    bpe,
+    decontaminate,
+    quality_gam,
+    ring,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    token_store,
+    url_filter,
+    weak_rules,
+)
 from weekcast.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its personal data are redacted."""
+    edits = token_counts.with_redactions(read(spark, sf_dir, "documents"))
+    return token_counts.edited_counts(edits, with_text=False)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -27,6 +48,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
@@ -46,9 +71,12 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
+    "op3_quality_gam": op3_quality_gam,
     "op4_decontamination": op4_decontamination,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_weak_rules": op7_weak_rules,
     "op8_token_store": op8_token_store,
     "op9_bpe": op9_bpe,

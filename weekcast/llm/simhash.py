@@ -316,3 +316,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of each component the row of its smallest doc_id, columns as they are; of repeated
+    rows one. Rows without a doc_id stay."""
+    found = near_duplicates(docs, radius)
+    losers = write_once(found.where("doc_id <> component_id").select("doc_id").distinct())
+    left = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    again = write_once(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    repeated = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(repeated)
