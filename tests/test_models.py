@@ -75,6 +75,43 @@ def test_ridge_equals_one_fit_per_window(panel, table):
             assert x.prediction == pytest.approx(y.mean() + q @ beta, abs=1e-6)
 
 
+def test_ridge_trains_only_on_known_targets(make_panel):
+    """Gaps inside the series: no row without its target is trained on."""
+    rng = np.random.default_rng(3)
+    series = {
+        f"s{k}": [None if n % 15 == 7 + k else 130 + 10 * np.sin(n / 5 + k) + rng.normal(0, 3) for n in range(140)]
+        for k in range(4)
+    }
+    panel = make_panel(series)
+    segments = segment_series(panel)
+    names = ["lag_1", "lag_2", "rolling_4_mean"]
+    table = cut_lineage(f.supervised(panel, segments, horizons=HORIZONS))
+    windows = w.rolling_windows(table, BACKTEST)
+    made = r.ridge(table, windows, names, HORIZONS).toPandas()
+    rows = table.toPandas().dropna(subset=names)
+    ends = windows.toPandas().set_index(["horizon", "forecast_origin"])["train_end"]
+    assert len(made) and rows["target_h1"].isna().sum() > 30
+    for x in made.itertuples():
+        train = rows[rows["week_start"] <= ends[x.horizon, x.forecast_origin]].dropna(subset=[f"target_h{x.horizon}"])
+        z, y = train[names].to_numpy(float), train[f"target_h{x.horizon}"].to_numpy(float)
+        mean, std = z.mean(0), z.std(0)
+        beta = np.linalg.solve(((z - mean) / std).T @ ((z - mean) / std) + np.eye(3), ((z - mean) / std).T @ (y - y.mean()))
+        test = rows[(rows["week_start"] == x.forecast_origin) & (rows["series_id"] == x.series_id)]
+        want = y.mean() + ((test[names].to_numpy(float)[0] - mean) / std) @ beta
+        assert x.prediction == pytest.approx(want, abs=1e-6)
+
+
+def test_trees_have_the_windows_of_all_models(panel):
+    chosen = Experiment(
+        models={"seasonal_naive": {}, "gbt_squared": {"maxIter": 2, "maxDepth": 2}},
+        backtest=w.Backtest(min_train_weeks=64, horizon_max=2, step_weeks=8, max_windows=3),
+    )
+    made = backtest(panel, chosen).toPandas()
+    keys = ["series_id", "forecast_origin", "horizon", "target_date", "actual"]
+    parts = [set(map(tuple, p[keys].to_numpy().tolist())) for _, p in made.groupby("model_name")]
+    assert len(parts) == 2 and parts[0] == parts[1] and made["forecast_origin"].nunique() == 3
+
+
 def test_ridge_final_fit_and_score(panel, table):
     names = f.feature_names(panel.columns, f.Features())
     model = r.fit(table, names, HORIZONS)
@@ -257,3 +294,38 @@ def test_scenario_refit(spark):
     # The saved model knows one horizon only, so a refit supplies the rest.
     assert set(tables["metrics_by_horizon"].toPandas()["horizon"]) == {1, 2, 3}
     assert isinstance(tables["coverage"].toPandas(), pd.DataFrame)
+
+
+def test_scenario_horizons(spark):
+    """No more horizons than asked for, and as many as the model has, past eight too."""
+    from weekcast.operators.scenarios import roll_up
+    from weekcast.plans.predict import predict, score_ridge
+    from weekcast.sources.star import star_scenarios
+
+    frame = cut_lineage(roll_up(star_scenarios(spark, "/root/testdata/sf0.001", 12)))
+    names = ["lag_1", "lag_52"]
+    panel = frame.where("scenario_name = 'A' AND is_history")
+    long = tuple(range(1, 13))
+    model = cut_lineage(r.fit(cut_lineage(f.supervised(panel, segment_series(panel), horizons=long)), names, long))
+    assert {x.horizon for x in score_ridge(frame, model, names).select("horizon").distinct().collect()} == set(long)
+    made = predict(frame, model, names, 3)["predictions"]
+    assert {x.horizon for x in made.select("horizon").distinct().collect()} == {1, 2, 3}
+
+
+def test_only_the_short_scenario_is_refitted(spark, monkeypatch):
+    from weekcast.operators.scenarios import roll_up
+    from weekcast.plans import predict as pp
+    from weekcast.sources.star import star_scenarios
+
+    frame = cut_lineage(roll_up(star_scenarios(spark, "/root/testdata/sf0.001", 3)))
+    names = ["lag_1", "lag_52"]
+    panel = frame.where("scenario_name = 'A' AND is_history")
+    model = cut_lineage(r.fit(cut_lineage(f.supervised(panel, segment_series(panel), horizons=(1, 2, 3))), names, (1, 2, 3)))
+    score = pp.score_ridge
+    monkeypatch.setattr(pp, "score_ridge", lambda *a, **k: score(*a, **k).where("scenario_name <> 'A' OR horizon < 3"))
+    key = lambda df: {(x.scenario_name, x.series_id, x.horizon): round(x.prediction, 6) for x in df.collect()}
+    made = key(pp.predict(frame, model, names, 3)["predictions"])
+    saved = key(score(frame, model, names))
+    anew = key(pp.refit(frame, names, 3))
+    assert made == {k: (anew if k[0] == "A" else saved)[k] for k in made}
+    assert {k[0] for k in made} == {k[0] for k in saved} and len({k[0] for k in made}) == 3

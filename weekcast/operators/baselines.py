@@ -11,18 +11,6 @@ from weekcast.functions.columns import plus_weeks
 from weekcast.operators.features import series_order
 
 SEASON = 52
-PREDICTION_COLUMNS = (
-    "model_name",
-    "model_family",
-    "series_id",
-    "category",
-    "segment_label",
-    "forecast_origin",
-    "target_date",
-    "horizon",
-    "actual",
-    "prediction",
-)
 
 
 def at_origin(
@@ -30,8 +18,8 @@ def at_origin(
 ) -> DataFrame:
     """Rows of the origin weeks, one per window, with the target of its horizon.
 
-    The window list grows with the calendar only (weeks × horizons), so it is joined
-    by broadcast on the week.
+    Without keys the window list grows with the calendar only (weeks × horizons), so it
+    is joined by broadcast; with keys, such as scenarios, Spark picks the join by size.
     """
     targets = F.array(*[F.col(f"target_h{h}") for h in horizons])
     slot = F.array_position(F.array(*[F.lit(h) for h in horizons]), F.col("horizon"))
@@ -39,7 +27,7 @@ def at_origin(
         *keys, F.col("forecast_origin").alias("week_start"), "horizon", "test_start"
     )
     return (
-        table.join(F.broadcast(wanted), [*keys, "week_start"])
+        table.join(wanted if keys else F.broadcast(wanted), [*keys, "week_start"])
         .withColumn("actual", F.element_at(targets, slot.cast("int")))
         .where(F.col("actual").isNotNull())
         .withColumnsRenamed({"week_start": "forecast_origin", "test_start": "target_date"})

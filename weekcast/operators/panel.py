@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.columns import monday, plus_weeks, ratio
-from weekcast.session import is_small
 
 LEVELS = ("category", "sku")
 PANEL_KEY = ("series_id", "week_start")
@@ -44,21 +43,15 @@ def wide_to_long(sales_wide: DataFrame, calendar: DataFrame) -> DataFrame:
 def weekly_sales(sales: DataFrame, items: DataFrame, level: str) -> DataFrame:
     """Units per series and Monday week.
 
-    A small item table is broadcast to the sales lines: at category level they then meet
-    only partial sums in the shuffle. A larger one is joined after the lines are summed
-    per item and week, so a hot item enters the join with at most one row per week.
+    The lines are summed per item and week before the items are joined, so a hot item
+    enters the join with at most one row per week.
     """
     _level_keys(level)
     week = monday("date").alias("week_start")
     units = F.sum("units").alias("units")
-    names = items.select("item_id", "cat_id")
-    if level == "category" and is_small(names):
-        summed = sales.join(F.broadcast(names), "item_id").groupBy("cat_id", week).agg(units)
-    elif level == "category":
-        per_item = sales.groupBy("item_id", week).agg(units)
-        summed = per_item.join(names, "item_id").groupBy("cat_id", "week_start").agg(units)
-    else:
-        summed = sales.groupBy("item_id", week).agg(units).join(names, "item_id")
+    summed = sales.groupBy("item_id", week).agg(units).join(items.select("item_id", "cat_id"), "item_id")
+    if level == "category":
+        summed = summed.groupBy("cat_id", "week_start").agg(units)
     return summed.select(
         *_level_columns(level), "week_start", F.col("units").cast("double").alias("sales_units")
     )

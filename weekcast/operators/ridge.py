@@ -30,76 +30,98 @@ def _centres(rows: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return np.array([float(row[c]) for c in columns])
 
 
+#: Matrices that a task holds before it hands them on: weeks times pools may be many.
+_HELD = 1_000
+
+
 def weekly_moments(
     table: DataFrame,
     features: Sequence[str],
     horizons: Sequence[int],
     pools: Sequence[str] = (),
 ) -> tuple[DataFrame, np.ndarray]:
-    """Per week: the sums of zᵀ[z, y_h…] with z = [1, features], flattened, and the centres.
+    """Per week, with z = [1, features], and the centres.
 
-    A task keeps one small matrix per week (and pool), whatever its number of rows.
+    ``missing`` 0 holds zᵀ[z, y_h…] of all rows, a missing target counting as zero after
+    centring. ``missing`` h holds zᵀz of the rows without the target of horizon h, which
+    that horizon subtracts: no row trains without its target. Such rows are few in a dense
+    panel (the last weeks), and gaps inside a series cost one small matrix per week.
     """
     by = [*pools, "week_start"]
     features, targets = list(features), [f"target_h{h}" for h in horizons]
     rows = _complete(table, features)
     centres = _centres(rows, [*features, *targets])
     p = len(features)
-    shape = (p + 1, p + 1 + len(targets))
 
     def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
+
+        def handed() -> pd.DataFrame:
+            out = pd.DataFrame(list(sums), columns=[*by, "missing"])
+            out["moments"] = [m.ravel() for m in sums.values()]
+            return out
+
         for batch in batches:
             values = batch[[*features, *targets]].to_numpy(dtype=float) - centres
-            # A target is missing only in the last weeks, which no window of it trains on.
+            unknown = np.isnan(values[:, p:])
             values = np.where(np.isnan(values), 0.0, values)
             design = np.column_stack([np.ones(len(values)), values])
             for key, index in batch.groupby(by).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
                 part = design[index]
-                if key not in sums:
-                    sums[key] = np.zeros(shape)
-                sums[key] += part[:, : p + 1].T @ part
+                found = [((*key, 0), part[:, : p + 1].T @ part)]
+                for slot in np.flatnonzero(unknown[index].any(axis=0)):
+                    z = part[unknown[index, slot], : p + 1]
+                    found.append(((*key, horizons[slot]), z.T @ z))
+                for k, m in found:
+                    sums[k] = sums[k] + m if k in sums else m
+            if len(sums) > _HELD:
+                yield handed()
+                sums.clear()
         if sums:
-            out = pd.DataFrame(list(sums), columns=by)
-            out["moments"] = [m.ravel() for m in sums.values()]
-            yield out
+            yield handed()
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "moments array<double>"])
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in by], "missing int", "moments array<double>"])
     partial = rows.select(*by, *[F.col(c).cast("double") for c in [*features, *targets]])
     summed = (
         partial.mapInPandas(accumulate, schema)
-        .groupBy(*by)
+        .groupBy(*by, "missing")
         .agg(Summarizer.sum(array_to_vector("moments")).alias("_v"))
-        .select(*by, vector_to_array("_v").alias("moments"))
+        .select(*by, "missing", vector_to_array("_v").alias("moments"))
     )
     return summed, centres
 
 
 def _solve(
-    moments: np.ndarray, features: int, target: int, centres: np.ndarray, alpha: float
+    zz: np.ndarray, zy: np.ndarray, centre_y: float, centres: np.ndarray, alpha: float
 ) -> tuple[float, np.ndarray] | None:
     """Intercept and coefficients, in original units, of the standardised ridge."""
-    p = features
-    n = moments[0, 0]
+    n = zz[0, 0]
     if n < 1:
         return None
-    sx, sxx = moments[0, 1 : p + 1], moments[1 : p + 1, 1 : p + 1]
-    column = p + 1 + target
-    sy, sxy = moments[0, column], moments[1 : p + 1, column]
-    mean_x, mean_y = sx / n, sy / n
+    sx, sxx = zz[0, 1:], zz[1:, 1:]
+    mean_x, mean_y = sx / n, zy[0] / n
     cov = sxx - n * np.outer(mean_x, mean_x)
     variance = np.diag(cov) / n
     constant = variance <= 1e-12 * (1.0 + mean_x**2)
     scale = np.where(constant, 1.0, np.sqrt(np.where(constant, 1.0, variance)))
-    gram = cov / np.outer(scale, scale) + alpha * np.eye(p)
-    beta = np.linalg.solve(gram, (sxy - n * mean_x * mean_y) / scale) / scale
+    gram = cov / np.outer(scale, scale) + alpha * np.eye(len(sx))
+    beta = np.linalg.solve(gram, (zy[1:] - n * mean_x * mean_y) / scale) / scale
     beta[constant] = 0.0
-    intercept = mean_y + centres[p + target] - beta @ (mean_x + centres[:p])
+    intercept = mean_y + centre_y - beta @ (mean_x + centres)
     return float(intercept), beta
 
 
+def _running(rows: pd.DataFrame, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Weeks in order, and the matrices summed up to each of them."""
+    rows = rows.sort_values("week_start")
+    weeks = pd.to_datetime(rows["week_start"]).to_numpy()
+    if not len(rows):
+        return weeks, np.zeros((0, *shape))
+    return weeks, np.cumsum(np.stack(rows["moments"].to_numpy()).reshape(-1, *shape), axis=0)
+
+
 def coefficients(
     table: DataFrame,
     windows: DataFrame,
@@ -117,31 +139,29 @@ def coefficients(
     features, horizons, pools = list(features), list(horizons), list(pools)
     weekly, centres = weekly_moments(table, features, horizons, pools)
     p = len(features)
-    shape = (p + 1, p + 1 + len(horizons))
 
     def solve_all(sums: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
-        if len(sums) and len(wanted):
-            sums = sums.sort_values("week_start")
-            weeks = pd.to_datetime(sums["week_start"]).to_numpy()
-            running = np.cumsum(np.stack(sums["moments"].to_numpy()), axis=0)
-            ends = pd.to_datetime(wanted["train_end"]).to_numpy()
-            for window, upto in zip(
-                wanted.itertuples(), np.searchsorted(weeks, ends, side="right")
-            ):
-                if upto == 0:
-                    continue
-                slot = horizons.index(window.horizon)
-                made = _solve(running[upto - 1].reshape(shape), p, slot, centres, alpha)
-                if made:
-                    pool = [getattr(window, c) for c in pools]
-                    rows.append((*pool, window.horizon, window.forecast_origin, *made))
+        weeks, running = _running(sums[sums["missing"] == 0], (p + 1, p + 1 + len(horizons)))
+        gaps, without = _running(sums[sums["missing"] > 0], (p + 1, p + 1))
+        ends = pd.to_datetime(wanted["train_end"]).to_numpy()
+        upto, gone = np.searchsorted(weeks, ends, side="right"), np.searchsorted(gaps, ends, side="right")
+        for window, k, g in zip(wanted.itertuples(), upto, gone):
+            if k == 0:
+                continue
+            slot = horizons.index(window.horizon)
+            zz = running[k - 1][:, : p + 1] - (without[g - 1] if g else 0.0)
+            made = _solve(zz, running[k - 1][:, p + 1 + slot], centres[p + slot], centres[:p], alpha)
+            if made:
+                pool = [getattr(window, c) for c in pools]
+                rows.append((*pool, window.horizon, window.forecast_origin, *made))
         return pd.DataFrame(
             rows, columns=[*pools, "horizon", "forecast_origin", "intercept", "coefficients"]
         )
 
+    every = F.array(*[F.lit(h) for h in horizons])
     per_horizon = weekly.withColumn(
-        "horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))
+        "horizon", F.explode(F.when(F.col("missing") == 0, every).otherwise(F.array("missing")))
     )
     wanted = windows.select(*pools, "horizon", "forecast_origin", "train_end")
     kinds = dict(table.dtypes)
@@ -176,8 +196,9 @@ def ridge(
     pools = [k for k in extra if k in windows.columns]
     made = coefficients(table, windows, features, horizons, alpha, pools)
     rows = at_origin(_complete(table, features), windows, horizons, pools)
-    # One coefficient row per window: bounded by weeks × horizons.
-    joined = rows.join(F.broadcast(made), [*pools, "horizon", "forecast_origin"])
+    # Without pools there is one coefficient row per week and horizon of the calendar.
+    bounded = made if pools else F.broadcast(made)
+    joined = rows.join(bounded, [*pools, "horizon", "forecast_origin"])
     return _predict(joined, features).select(
         *extra,
         F.lit("ridge").alias("model_name"),

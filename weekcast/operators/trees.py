@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekcast.functions.columns import plus_weeks
 from weekcast.session import shared_folder
 
 # Model names and the loss each one minimises.
@@ -33,57 +36,51 @@ def boosted(model_name: str, features: Sequence[str], target: str, **params) ->
     )
 
 
+def _forecasts(model: PipelineModel, rows: DataFrame, model_name: str, horizon: int) -> DataFrame:
+    target = f"target_h{horizon}"
+    actual = F.col(target) if target in rows.columns else F.lit(None).cast("double")
+    return model.transform(rows).select(
+        F.lit(model_name).alias("model_name"),
+        F.lit("ml").alias("model_family"),
+        "series_id",
+        "category",
+        "segment_label",
+        F.col("week_start").alias("forecast_origin"),
+        plus_weeks("week_start", horizon).alias("target_date"),
+        F.lit(horizon).alias("horizon"),
+        actual.alias("actual"),
+        "prediction",
+    )
+
+
 def trees(
     table: DataFrame,
     windows: DataFrame,
     features: Sequence[str],
     model_name: str = "gbt_squared",
-    last_origins: int = 4,
     **params,
 ) -> DataFrame:
-    """Backtest predictions over the last few origins.
+    """Backtest predictions of every window given.
 
     Unlike the ridge sums, trees cannot be carried from one window to the next, so each
-    window is a distributed fit of its own; the loop is over windows, not over data.
-    The table is read once per window: hand in a written one.
+    window is a distributed fit of its own; the loop is over windows, not over data, and
+    each fit's forecasts are written as it ends. ``Backtest.step_weeks`` and
+    ``max_windows`` set the number of windows for all models of an experiment alike. The
+    table is read once per window: hand in a written one.
     """
-    context = table.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        # Long boosting runs cut their lineage every few trees.
-        context.setCheckpointDir(shared_folder(table.sparkSession))
-    recent = [
-        r[0]
-        for r in windows.select("forecast_origin")
-        .distinct()
-        .orderBy(F.desc("forecast_origin"))
-        .limit(last_origins)
-        .collect()
-    ]
-    wanted = windows.where(F.col("forecast_origin").isin(recent)).orderBy(
-        "forecast_origin", "horizon"
-    )
-    made: DataFrame | None = None
-    for w in wanted.collect():  # last_origins × horizons rows
-        target = f"target_h{w.horizon}"
-        rows = table.dropna(subset=[*features, target])
-        train = rows.where(F.col("week_start") <= F.lit(w.train_end))
-        model = boosted(model_name, features, target, **params).fit(train)
-        part = model.transform(rows.where(F.col("week_start") == F.lit(w.forecast_origin))).select(
-            F.lit(model_name).alias("model_name"),
-            F.lit("ml").alias("model_family"),
-            "series_id",
-            "category",
-            "segment_label",
-            F.col("week_start").alias("forecast_origin"),
-            F.lit(w.test_start).alias("target_date"),
-            F.lit(int(w.horizon)).alias("horizon"),
-            F.col(target).alias("actual"),
-            "prediction",
-        )
-        made = part if made is None else made.unionByName(part)
-    if made is None:
+    folder = f"{shared_folder(table.sparkSession)}/trees/{uuid.uuid4().hex}"
+    wanted = windows.orderBy("forecast_origin", "horizon").collect()  # weeks × horizons rows
+    if not wanted:
         raise ValueError("no windows")
-    return made
+    made = None
+    for w in wanted:
+        horizon = int(w.horizon)
+        rows = table.dropna(subset=[*features, f"target_h{horizon}"])
+        train = rows.where(F.col("week_start") <= F.lit(w.train_end))
+        model = boosted(model_name, features, f"target_h{horizon}", **params).fit(train)
+        made = _forecasts(model, rows.where(F.col("week_start") == F.lit(w.forecast_origin)), model_name, horizon)
+        made.write.mode("append").parquet(folder)
+    return table.sparkSession.read.schema(made.schema).parquet(folder)
 
 
 def fit_trees(
@@ -97,3 +94,14 @@ def fit_trees(
         saved[h] = f"{path}/model_name={model_name}/horizon={h}"
         model.write().save(saved[h])
     return saved
+
+
+def score_trees(table: DataFrame, features: Sequence[str], model_name: str, saved: Mapping[int, str]) -> DataFrame:
+    """Forecasts of saved models from the last week; no actuals are needed. One part of the
+    plan per horizon."""
+    last = table.agg(F.max("week_start")).scalar()
+    rows = table.dropna(subset=list(features)).withColumn("_last", last).where("week_start = _last").drop("_last")
+    parts = [_forecasts(PipelineModel.load(path), rows, model_name, h) for h, path in sorted(saved.items())]
+    if not parts:
+        raise ValueError("no saved models")
+    return reduce(DataFrame.unionByName, parts)

@@ -43,13 +43,22 @@ def score_baselines(
 
 
 def score_ridge(
-    frame: DataFrame, model: DataFrame, feature_columns: Sequence[str], features: Features = Features()
+    frame: DataFrame,
+    model: DataFrame,
+    feature_columns: Sequence[str],
+    features: Features = Features(),
+    horizon_weeks: int | None = None,
 ) -> DataFrame:
     """A saved coefficient table on each scenario's last observed week, clipped at zero.
 
-    Features of that week look back a bounded number of weeks, so earlier weeks are cut
-    off before the feature windows; a filter on the week cannot pass them by itself.
+    The horizons are those of the model, up to ``horizon_weeks``. Features of that week
+    look back a bounded number of weeks, so earlier weeks are cut off before the feature
+    windows; a filter on the week cannot pass them by itself.
     """
+    if horizon_weeks is not None:
+        model = model.where(F.col("horizon") <= horizon_weeks)
+    # One row per horizon of the model.
+    horizons = sorted(r["horizon"] for r in model.select("horizon").distinct().collect())
     segments = segment_series(sc.history_panel(frame), KEYS)
     origin = future_windows(frame, 1, ("scenario_name",)).select("scenario_name", "forecast_origin")
     reach = max((*features.lags, *features.rolling_windows))
@@ -60,19 +69,29 @@ def score_ridge(
         .where(F.col("week_start") >= plus_weeks("_first", -reach))
         .drop("_first")
     )
-    table = supervised(recent, segments, features, keys=KEYS)
+    table = supervised(recent, segments, features, horizons, KEYS)
     made = ridge.score(model, table, feature_columns, origin, KEYS, floor=0.0)
     return made.where(F.col("actual").isNotNull())
 
 
 def predict(
-    frame: DataFrame, model: DataFrame, feature_columns: Sequence[str], horizon_weeks: int
+    frame: DataFrame,
+    model: DataFrame,
+    feature_columns: Sequence[str],
+    horizon_weeks: int,
+    features: Features = Features(),
 ) -> dict[str, DataFrame]:
-    """Predictions with their metrics; refits on the scenarios when the model falls short."""
+    """Predictions with their metrics. A scenario for which the saved model falls short of
+    a horizon is refitted; the others keep the saved model's forecasts."""
     frame = cut_lineage(frame)
-    made = cut_lineage(score_ridge(frame, model, feature_columns))
-    if not sc.missing_horizons(made, frame, horizon_weeks).isEmpty():
-        made = cut_lineage(refit(frame, feature_columns, horizon_weeks))
+    made = cut_lineage(score_ridge(frame, model, feature_columns, features, horizon_weeks))
+    short = cut_lineage(
+        sc.missing_horizons(made, frame, horizon_weeks).select("scenario_name").distinct()
+    )
+    if not short.isEmpty():
+        anew = refit(frame.join(short, "scenario_name", "left_semi"), feature_columns, horizon_weeks, features)
+        kept = made.join(short, "scenario_name", "left_anti")
+        made = cut_lineage(kept.unionByName(anew))
     table = cut_lineage(ev.metrics(made, ["scenario_name", "horizon"]))
     return {
         "predictions": made,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,21 +28,11 @@ def build_session(app: str = "weekcast", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-_scratch: str | None = None
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only when that is unset (single-machine tests) a temporary folder stands in.
-    """
-    global _scratch
+    """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset, one in
+    the warehouse, which executors share as well. Never a folder of one machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if _scratch is None:
-        _scratch = tempfile.mkdtemp(prefix="weekcast-")
-    return _scratch
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -58,8 +47,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/weekcast/{run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def is_small(df: DataFrame, rows: int = 200_000) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; stops counting beyond."""
-    return df.limit(rows + 1).count() <= rows
