@@ -16,7 +16,6 @@ import json
 import re
 from array import array
 from functools import cache
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -102,11 +101,17 @@ class Bpe:
         """Pre-tokens of a text without special tokens."""
         return self.pattern.findall(text)
 
-    def pieces_many(self, texts: list[str]) -> list[list[str]]:
-        """The same for many texts; what lies between spaces is cut once and remembered."""
+    def measured(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """Of each text its parts between spaces, and per pre-token the number of characters
+        and of ids. Parts are cut into pre-tokens and measured once, and remembered."""
         parts = [_between_spaces(t) for t in texts]
-        cut = self.cuts.lookup(set().union(*parts), lambda new: [tuple(self.pattern.findall(p)) for p in new])
-        return [list(chain.from_iterable(map(cut.__getitem__, x))) for x in parts]
+        table = self.cuts.lookup(set().union(*parts), self._measure)
+        return [(x, np.frombuffer(b"".join(map(table.__getitem__, x)), np.uint32).reshape(-1, 2)) for x in parts]
+
+    def _measure(self, parts: list[str]) -> list[bytes]:
+        cut = [self.pattern.findall(p) for p in parts]
+        ids = self.known.lookup(set().union(*cut), self.merge_many)
+        return [array("I", [n for p in x for n in (len(p), len(ids[p]) >> 2)]).tobytes() for x in cut]
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""

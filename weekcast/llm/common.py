@@ -70,7 +70,7 @@ def map_texts(
     return df.mapInArrow(run, out)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterable[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterable[pa.RecordBatch]:
     """The batch in pieces of about ``most_bytes``, so Python objects stay few at a time."""
     rows = batch.num_rows
     step = max(1, rows * most_bytes // max(batch.nbytes, most_bytes))

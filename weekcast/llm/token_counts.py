@@ -19,6 +19,7 @@ an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,19 +33,29 @@ EDIT = "array<struct<first:bigint,end:bigint,replacement:string>>"
 
 
 class CountTree:
-    """``pieces``: the pre-token of each leaf; ``changed``: the pre-tokens of the leaves that
+    """``parts``: the text in parts that end where pre-tokens end; ``sizes``: characters and
+    tokens of each pre-token, one leaf each. ``changed``: the pre-tokens of the leaves that
     edits have touched. ``chars`` and ``tokens`` hold the sums of all nodes, root at 1."""
 
-    def __init__(self, bpe: Bpe, text: str, pieces: list[str] | None = None):
+    def __init__(self, bpe: Bpe, parts: list[str], sizes: np.ndarray):
         self.bpe = bpe
-        self.pieces = bpe.pieces(text) if pieces is None else pieces
+        self.parts = parts
+        self.leaves = len(sizes)
         self.changed: dict[int, list[str]] = {}
-        n = len(self.pieces)
-        self.size = 1 << max(0, n - 1).bit_length()
-        self.chars = self._sums(np.fromiter(map(len, self.pieces), np.int64, n))
-        self.tokens = self._sums(np.array(self._counts(self.pieces), np.int64))
+        self.size = 1 << max(0, self.leaves - 1).bit_length()
+        self.chars = self._sums(sizes[:, 0])
+        self.tokens = self._sums(sizes[:, 1])
         self.encoded = 0
 
+    @classmethod
+    def of(cls, bpe: Bpe, text: str) -> CountTree:
+        return cls(bpe, *bpe.measured([text])[0])
+
+    @cached_property
+    def pieces(self) -> list[str]:
+        """The pre-tokens of the first text; needed only where there are edits."""
+        return [p for part in self.parts for p in self.bpe.pieces(part)]
+
     def _counts(self, pieces: list[str]) -> list[int]:
         ids = self.bpe.known.lookup(set(pieces), self.bpe.merge_many)
         return [len(x) >> 2 for x in map(ids.__getitem__, pieces)]
@@ -71,8 +82,8 @@ class CountTree:
 
     def text(self) -> str:
         if not self.changed:
-            return "".join(self.pieces)
-        return "".join(p for k in range(max(1, len(self.pieces))) for p in self._leaf(k))
+            return "".join(self.parts)
+        return "".join(p for k in range(max(1, self.leaves)) for p in self._leaf(k))
 
     def _leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at ``place``, and the place of the leaf's first."""
@@ -114,7 +125,7 @@ class CountTree:
                 if at >= end:
                     old.add(at + moved - start)
                 at += len(p)
-            if stop >= end and (stop == length or high + 1 >= len(self.pieces)):
+            if stop >= end and (stop == length or high + 1 >= self.leaves):
                 old.add(stop + moved - start)
             region = "".join(pieces)
             whole = region[: max(0, first - start)] + replacement + region[max(0, end - start) :]
@@ -163,10 +174,9 @@ def edited_counts(docs: DataFrame, edits_col: str = "edits", path: str | None =
         def work(batch: dict) -> dict:
             names = ("n_tokens", "n_edits", "n_tokens_after", "n_encoded_chars", "edited")
             out: dict[str, list] = {"doc_id": batch["doc_id"]} | {n: [] for n in names}
-            cut = bpe.pieces_many([t or "" for t in batch["text"]])
-            bpe.known.lookup(set().union(*cut), bpe.merge_many)
-            for text, pieces, edits in zip(batch["text"], cut, batch["edits"]):
-                tree = CountTree(bpe, text or "", pieces)
+            measured = bpe.measured([t or "" for t in batch["text"]])
+            for (parts, sizes), edits in zip(measured, batch["edits"]):
+                tree = CountTree(bpe, parts, sizes)
                 before = tree.total()
                 for e in edits or []:
                     tree.edit(e["first"] or 0, e["end"] or 0, e["replacement"] or "")
