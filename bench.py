@@ -40,7 +40,6 @@ HEADLINE = (
     "h8_rolling_vs_holdout",
     "h10_error_cases",
     "h11_bootstrap_wape",
-    "i2_expected_demand",
 )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from catalog import sqlbase as s
 from catalog.model_queries import SCENARIO_PREDICTIONS
 from catalog.registry import Registry
@@ -17,7 +15,7 @@ from weekcast.plans.predict import score_baselines
 from weekcast.session import cut_lineage
 
 SPEC = s.METRIC_SPEC
-REPS, SEED = 40, 42
+REPS, SEED = 300, 42
 CI_SPEC = """model_a model_b metric mean_difference:6 median_difference:6 ci95_low:6 ci95_high:6
     n_bootstrap:i bootstrap_unit"""
 CASE_SPEC = """case_type model_name series_id category segment_label forecast_origin target_date
@@ -75,11 +73,7 @@ def bootstrap_sql(metric: str, method: str = "multinomial") -> str:
     if method == "multinomial":
         weights = f"SELECT rep, u % n AS block_id, COUNT(*) AS w FROM ({drawn}) GROUP BY 1, 2"
     else:
-        cumulative = [
-            int(sum(math.exp(-1) / math.factorial(k) for k in range(j + 1)) * 2**63)
-            for j in range(12)
-        ]
-        passed = " + ".join(f"CASE WHEN u >= {v} THEN 1 ELSE 0 END" for v in cumulative)
+        passed = " + ".join(f"CASE WHEN u >= {v} THEN 1 ELSE 0 END" for v in bs.poisson_bounds())
         weights = f"SELECT rep, block_id, {passed} AS w FROM ({drawn})"
     if metric == "MedianAE":
         value = f"""SELECT d.rep, p.model_name, QUANTILE_CONT(ABS(p.prediction - p.actual), 0.5) AS value
@@ -135,7 +129,9 @@ def register(q: Registry) -> None:
         add(
             name,
             f"model_name series_id {metric}",
-            lambda sp, d: ev.metrics(baseline_rows(sp, d, "p_brand"), ["model_name", "series_id"]),
+            lambda sp, d, names=[m.partition(":")[0] for m in metric.split()]: ev.metrics(
+                baseline_rows(sp, d, "p_brand"), ["model_name", "series_id"], names
+            ),
             s.with_(s.predictions("p_brand"), s.metrics("model_name, series_id")),
         )
     add(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import sqlbase as s
 from catalog.panel_queries import PRICED_SQL, priced_panel
 from catalog.registry import Registry
-from catalog.tables import panel_table, scenario_table, setup
+from catalog.tables import panel_table, scenario_table, setup, weekly_table
 from weekcast.operators import features as f
 from weekcast.operators import scenarios as sc
 from weekcast.operators import windows as w
@@ -257,23 +257,8 @@ def register(q: Registry) -> None:
     add(
         "d2_short_series_labels",
         "series_id segment_label history_weeks:i short_history",
-        lambda sp, d: segment_series(
-            panel_table(sp, d).where(
-                F.datediff("week_start", F.lit("1995-01-02").cast("date"))
-                < 70 * F.length("series_id")
-                - 210
-            )
-        ),
-        s.with_(
-            [
-                *s.panel(),
-                """cut AS (SELECT * FROM panel
-                   WHERE date_diff('day', DATE '1995-01-02', week_start)
-                         < 70 * LENGTH(series_id) - 210)""",
-                s.segments("cut"),
-            ],
-            "SELECT * FROM segments",
-        ),
+        lambda sp, d: segment_series(weekly_table(sp, d, "sku")),
+        s.with_([s.weekly("sku"), s.segments("weekly")], "SELECT * FROM segments"),
     )
     add(
         "d3_segment_summary",
@@ -301,7 +286,7 @@ def register(q: Registry) -> None:
         add(
             name,
             window_spec,
-            lambda sp, d, b=backtest: w.rolling_windows(panel_table(sp, d), b),
+            lambda sp, d, b=backtest: w.rolling_windows(weekly_table(sp, d), b),
             s.with_(
                 [*s.panel(), *s.windows(**settings)],
                 "SELECT *, test_start AS test_end FROM windows",

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import sqlbase as s
 from catalog.registry import Registry
-from catalog.tables import baseline_rows, baseline_table, panel_table, scenario_table, setup
+from catalog.tables import (
+    baseline_rows,
+    baseline_table,
+    panel_table,
+    scenario_table,
+    setup,
+    weekly_table,
+)
 from weekcast.operators import baselines as b
 from weekcast.operators import evaluate as ev
 from weekcast.operators import features as f
@@ -31,7 +39,7 @@ NAMES = f.feature_names(["series_id"], f.Features())
 
 def supervised_table(sp, d, level="p_brand") -> DataFrame:
     """Written once: the models read it several times."""
-    panel = panel_table(sp, d, level)
+    panel = cut_lineage(panel_table(sp, d, level))
     return cut_lineage(f.supervised(panel, segment_series(panel)))
 
 
@@ -82,6 +90,47 @@ def holt_sql(alignment: str) -> list[str]:
     ]
 
 
+TWO = ["lag_1", "lag_52"]
+
+
+def two_feature_sql() -> list[str]:
+    """Ridge on two lags, alpha 1, in closed form: running sums over weeks, then a 2 x 2
+    system per horizon and last training week. ``coef`` has it by train_end."""
+    sums = {
+        "n": "1", "s1": "x1", "s2": "x2", "sy": "y", "s11": "x1 * x1", "s12": "x1 * x2",
+        "s22": "x2 * x2", "s1y": "x1 * y", "s2y": "x2 * y",
+    }
+    weekly = ", ".join(f"SUM(CAST({e} AS DOUBLE)) AS {c}" for c, e in sums.items())
+    running = ", ".join(f"SUM({c}) OVER upto AS {c}" for c in sums)
+    return [
+        s.features([s.lag_sql(1), s.lag_sql(52)], name="two"),
+        """two_rows AS (
+        SELECT f.week_start, h.horizon, f.lag_1 AS x1, f.lag_52 AS x2, a.sales_units AS y
+        FROM two f CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS horizon) h
+        JOIN panel a ON a.series_id = f.series_id AND a.week_start = f.week_start + INTERVAL 7 DAY * h.horizon
+        WHERE f.lag_52 IS NOT NULL)""",
+        f"two_weeks AS (SELECT horizon, week_start, {weekly} FROM two_rows GROUP BY 1, 2)",
+        f"""two_sums AS (SELECT horizon, week_start AS train_end, {running} FROM two_weeks
+        WINDOW upto AS (PARTITION BY horizon ORDER BY week_start))""",
+        """two_moments AS (
+        SELECT horizon, train_end, n, s1 / n AS m1, s2 / n AS m2, sy / n AS my,
+               SQRT(s11 / n - (s1 / n) * (s1 / n)) AS d1, SQRT(s22 / n - (s2 / n) * (s2 / n)) AS d2,
+               s12 - s1 * s2 / n AS c12, s1y - s1 * sy / n AS c1y, s2y - s2 * sy / n AS c2y
+        FROM two_sums)""",
+        """two_solved AS (
+        SELECT *, ((n + 1) * c1y / d1 - c12 / (d1 * d2) * c2y / d2)
+                 / ((n + 1) * (n + 1) - (c12 / (d1 * d2)) * (c12 / (d1 * d2))) / d1 AS b1,
+               ((n + 1) * c2y / d2 - c12 / (d1 * d2) * c1y / d1)
+                 / ((n + 1) * (n + 1) - (c12 / (d1 * d2)) * (c12 / (d1 * d2))) / d2 AS b2
+        FROM two_moments)""",
+        "coef AS (SELECT horizon, train_end, b1, b2, my - b1 * m1 - b2 * m2 AS intercept FROM two_solved)",
+        # All rows with a known target: those up to so many weeks before the last one.
+        """final AS (
+        SELECT c.* FROM coef c, (SELECT MAX(week_start) AS last FROM panel)
+        WHERE c.train_end = last - INTERVAL 7 DAY * c.horizon)""",
+    ]
+
+
 LAST_WEEK_KEYS = """model_name model_family series_id category segment_label forecast_origin
     target_date horizon:i"""
 
@@ -165,6 +214,10 @@ def register(q: Registry) -> None:
         table = supervised_table(sp, d)
         return r.ridge(table, w.rolling_windows(table), NAMES)
 
+    def two_ridge(sp, d):
+        table = supervised_table(sp, d)
+        return r.ridge(table, w.rolling_windows(table), TWO)
+
     add("g4_ridge", PREDICTION_SPEC, ridge)
 
     def forest(model):
@@ -220,6 +273,32 @@ def register(q: Registry) -> None:
                FROM predictions WHERE model_name = 'naive' GROUP BY 1""",
         ),
     )
+    def reruns(sp, d):
+        """Two runs side by side, and a third write into the first run, which must fail."""
+        root, table = f"{shared_folder(sp)}/tables/{uuid.uuid4().hex}", weekly_table(sp, d)
+        paths = [write_table(table, root, run, "weekly") for run in ("first", "second")]
+        try:
+            write_table(table.limit(0), root, "first", "weekly")
+            refused = False
+        except AnalysisException:
+            refused = True
+        runs = [
+            sp.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.sum("sales_units").alias("units"))
+            .select(F.lit(run).alias("run"), "rows", "units", F.lit(refused).alias("second_write_refused"))
+            for run, path in zip(("first", "second"), paths)
+        ]
+        return runs[0].unionByName(runs[1])
+
+    add(
+        "a5_reruns_stay_apart",
+        "run rows:i units:2 second_write_refused",
+        reruns,
+        s.with_(
+            [s.weekly()],
+            """SELECT run, COUNT(*) AS rows, SUM(sales_units) AS units, TRUE AS second_write_refused
+               FROM weekly CROSS JOIN (SELECT unnest(['first', 'second']) AS run) GROUP BY run""",
+        ),
+    )
     add(
         "g8_best_model",
         "model_name WAPE:6",
@@ -272,6 +351,78 @@ def register(q: Registry) -> None:
         ),
     )
 
+    two_spec = "series_id category segment_label forecast_origin target_date horizon:i prediction:3"
+    add(
+        "g4_ridge_two_features",
+        "series_id category segment_label forecast_origin target_date horizon:i actual:2 prediction:3",
+        lambda sp, d: two_ridge(sp, d),
+        s.with_(
+            [*s.panel("p_brand"), s.segments(), *s.windows(), *two_feature_sql()],
+            """SELECT p.series_id, p.category, g.segment_label, w.forecast_origin,
+                 w.test_start AS target_date, w.horizon, a.sales_units AS actual,
+                 c.intercept + c.b1 * p.lag_1 + c.b2 * p.lag_52 AS prediction
+               FROM windows w JOIN coef c ON c.horizon = w.horizon AND c.train_end = w.train_end
+               JOIN two p ON p.week_start = w.forecast_origin AND p.lag_52 IS NOT NULL
+               JOIN panel a ON a.series_id = p.series_id AND a.week_start = w.test_start
+               LEFT JOIN segments g ON g.series_id = p.series_id""",
+        ),
+    )
+    final_ctes = [*s.panel("p_brand"), s.segments(), *two_feature_sql()]
+    add(
+        "g9_ridge_final_fit_two_features",
+        "model_name horizon:i training_last_week alpha:4 intercept:3 b1:6 b2:6",
+        lambda sp, d: r.fit(supervised_table(sp, d), TWO).select(
+            "*", F.col("coefficients")[0].alias("b1"), F.col("coefficients")[1].alias("b2")
+        ),
+        s.with_(
+            final_ctes,
+            """SELECT 'ridge' AS model_name, horizon, last AS training_last_week, 1 AS alpha, intercept, b1, b2
+               FROM final, (SELECT MAX(week_start) AS last FROM panel)""",
+        ),
+    )
+    scored_sql = s.with_(
+        final_ctes,
+        """SELECT p.series_id, p.category, g.segment_label, p.week_start AS forecast_origin,
+             CAST(p.week_start + INTERVAL 7 DAY * c.horizon AS DATE) AS target_date, c.horizon,
+             c.intercept + c.b1 * p.lag_1 + c.b2 * p.lag_52 AS prediction
+           FROM final c JOIN two p ON p.week_start = (SELECT MAX(week_start) FROM panel)
+           LEFT JOIN segments g ON g.series_id = p.series_id""",
+    )
+
+    def scored_two(sp, d, saved_first: bool):
+        table = supervised_table(sp, d)
+        model = r.fit(table, TWO)
+        if saved_first:
+            model = r.load(sp, write_table(model, f"{shared_folder(sp)}/models", uuid.uuid4().hex, "model"))
+        return r.score(model, table.drop(*[f"target_h{n}" for n in s.HORIZONS]), TWO)
+
+    add("g10_saved_model_scores", two_spec, lambda sp, d: scored_two(sp, d, True), scored_sql)
+    add("g11_score_last_week_two_features", two_spec, lambda sp, d: scored_two(sp, d, False), scored_sql)
+    add(
+        "g12_scenario_ridge_two_features",
+        "scenario_name " + two_spec.replace("prediction", "actual:2 prediction"),
+        lambda sp, d: score_ridge(
+            cut_lineage(sc.roll_up(scenario_table(sp, d))), r.fit(supervised_table(sp, d, "p_type"), TWO), TWO
+        ),
+        s.with_(
+            [
+                *s.panel(),
+                *two_feature_sql(),
+                *[c for c in SCENARIO_PREDICTIONS if not c.startswith("predictions AS")],
+            ],
+            """SELECT p.scenario_name, p.series_id, p.category, g.segment_label, o.forecast_origin,
+                 a.week_start AS target_date, c.horizon, a.sales_units AS actual,
+                 GREATEST(c.intercept + c.b1 * p.lag_1 + c.b2 * p.lag_52, 0) AS prediction
+               FROM origin o
+               JOIN lagged p ON p.scenario_name = o.scenario_name AND p.week_start = o.forecast_origin
+               CROSS JOIN final c
+               JOIN rolled a ON a.scenario_name = p.scenario_name AND a.series_id = p.series_id
+                 AND a.week_start = o.forecast_origin + INTERVAL 7 DAY * c.horizon
+               JOIN segments g ON g.scenario_name = p.scenario_name AND g.series_id = p.series_id
+               WHERE p.lag_52 IS NOT NULL""",
+        ),
+    )
+
     def uncovered(sp, d):
         frame = cut_lineage(sc.roll_up(scenario_table(sp, d)))
         made = score_baselines(frame, 8).where((F.col("horizon") < 7) | (F.col("scenario_name") == "A"))

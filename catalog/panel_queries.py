@@ -12,7 +12,7 @@ from weekcast.operators import panel as p
 from weekcast.operators import scenarios as sc
 from weekcast.session import cut_lineage
 from weekcast.sources import raw as r
-from weekcast.sources.star import star_raw, star_wide
+from weekcast.sources.star import star_raw, star_wide, star_wide_categories
 
 CALENDAR_SQL = """calendar AS (
     SELECT 'd_' || CAST(date_diff('day', lo, day) + 1 AS VARCHAR) AS d, day AS date,
@@ -33,13 +33,10 @@ STORE_PRICE_SQL = """store_price AS (
     FROM prices x JOIN part ON CAST(p_partkey AS VARCHAR) = x.item_id
     JOIN day_map m ON m.wm_yr_wk = x.wm_yr_wk GROUP BY 1, 2, 3, 4)"""
 PRICE_CTES = [CALENDAR_SQL, PRICES_SQL, DAY_MAP_SQL, STORE_PRICE_SQL]
-WIDE_FROM, WIDE_DAYS = "1997-03-03", 28
-
-
 def wide_sql(days: int) -> str:
+    """The first days of all item-stores that ever sell."""
     columns = ", ".join(
-        f"""COALESCE(SUM(CASE WHEN CAST(l_shipdate AS DATE) = DATE '{WIDE_FROM}' + {n - 1}
-            THEN l_quantity END), 0) AS d_{n}"""
+        f"""COALESCE(SUM(CASE WHEN CAST(l_shipdate AS DATE) = lo + {n - 1} THEN l_quantity END), 0) AS d_{n}"""
         for n in range(1, days + 1)
     )
     return f"""wide AS (
@@ -47,7 +44,7 @@ def wide_sql(days: int) -> str:
                CAST(l_suppkey AS VARCHAR) AS store_id, n_name AS state_id, {columns}
         FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
         JOIN nation ON n_nationkey = s_nationkey
-        WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '{WIDE_FROM}' AND DATE '{WIDE_FROM}' + {days - 1}
+        CROSS JOIN (SELECT CAST(MIN(l_shipdate) AS DATE) AS lo FROM lineitem)
         GROUP BY 1, 2, 3, 4, 5)"""
 
 
@@ -149,7 +146,7 @@ def register(q: Registry) -> None:
     add(
         "a6_sales_sample",
         "item_id dept_id cat_id store_id state_id " + " ".join(f"{c}:2" for c in sample),
-        lambda sp, d: r.head(star_wide(sp, d, WIDE_FROM, 8), ["item_id", "store_id"], 10),
+        lambda sp, d: r.head(star_wide(sp, d, 8), ["item_id", "store_id"], 10),
         s.with_([wide_sql(8)], "SELECT * FROM wide ORDER BY item_id, store_id LIMIT 10"),
     )
     add(
@@ -219,22 +216,16 @@ def register(q: Registry) -> None:
     )
     add(
         "b2_wide_to_long",
-        "item_id store_id cat_id d date units:2",
-        lambda sp, d: p.wide_to_long(
-            star_wide(sp, d, WIDE_FROM, WIDE_DAYS),
-            star_raw(sp, d).calendar.select(
-                F.concat(
-                    F.lit("d_"), F.datediff("date", F.lit(WIDE_FROM).cast("date")) + 1
-                ).alias("d"),
-                "date",
-            ),
-        ),
+        "cat_id d date units:2",
+        lambda sp, d: p.wide_to_long(cut_lineage(star_wide_categories(sp, d)), star_raw(sp, d).calendar.select("d", "date")),
         s.with_(
-            [wide_sql(WIDE_DAYS)],
-            f"""SELECT item_id, store_id, cat_id, d, units,
-                  DATE '{WIDE_FROM}' + CAST(substr(d, 3) AS INTEGER) - 1 AS date
-                FROM (UNPIVOT wide ON {', '.join(f'd_{n}' for n in range(1, WIDE_DAYS + 1))}
-                      INTO NAME d VALUE units)""",
+            [CALENDAR_SQL],
+            """SELECT t.cat_id, c.d, c.date, COALESCE(x.units, 0) AS units
+               FROM (SELECT DISTINCT p_type AS cat_id FROM part JOIN lineitem ON l_partkey = p_partkey) t
+               CROSS JOIN calendar c
+               LEFT JOIN (SELECT p_type AS cat_id, CAST(l_shipdate AS DATE) AS date, SUM(l_quantity) AS units
+                          FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) x
+                 ON x.cat_id = t.cat_id AND x.date = c.date""",
         ),
     )
     for level, name in (("p_type", "category"), ("sku", "sku")):
@@ -399,15 +390,15 @@ def register(q: Registry) -> None:
     types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     add(
         "b15_category_matrix",
-        "week_start " + " ".join(f"{t}:2" for t in types),
-        lambda sp, d: p.pivot_categories(panel_table(sp, d), types),
+        "week_start total:2 " + " ".join(f"{t}:2" for t in types),
+        lambda sp, d: p.pivot_categories(cut_lineage(panel_table(sp, d))),
         s.with_(
             s.panel(),
             "SELECT week_start, "
             + ", ".join(
                 f"SUM(CASE WHEN category = '{t}' THEN sales_units END) AS \"{t}\"" for t in types
             )
-            + " FROM panel GROUP BY 1",
+            + ", SUM(sales_units) AS total FROM panel GROUP BY 1",
         ),
     )
     add(

@@ -40,8 +40,9 @@ class Setup:
 
 
 def setup(spark: SparkSession, sf_dir: str, level: str = "p_type", backtest: Backtest = Backtest()) -> Setup:
-    panel = panel_table(spark, sf_dir, level)
-    return Setup(panel, segment_series(panel), rolling_windows(panel, backtest))
+    sparse = weekly_table(spark, sf_dir, level)
+    panel = densify(sparse)
+    return Setup(panel, segment_series(panel), rolling_windows(sparse, backtest))
 
 
 def baseline_rows(

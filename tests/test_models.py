@@ -239,8 +239,9 @@ def test_audit_plan(spark):
     from weekcast.sources.star import star_raw
 
     tables = audit(star_raw(spark, "/root/testdata/sf0.001"), "sku")
-    for name in ("summary", "sku_summary", "sku_concentration_summary", "category_summary"):
-        assert tables[name].count() > 0, name
+    for name, table in tables.items():
+        if name not in ("stationarity_summary", "decomposition"):  # every SKU: slow here, tested apart
+            assert table.count() > 0, name
 
 
 def test_scenario_scoring_needs_only_recent_weeks(spark):

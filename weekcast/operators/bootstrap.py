@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,16 +39,29 @@ def block_sums(predictions: DataFrame, block: Sequence[str] = BLOCK) -> DataFram
     )
 
 
+def poisson_bounds(bits: int = 63) -> list[int]:
+    """A uniform ``bits``-bit number has as weight how many of these it reaches; they go on
+    until the mass beyond is less than the number can tell."""
+    out, k = [], 0
+    tail = Fraction(1)
+    while True:
+        tail -= Fraction(math.exp(-1)) / math.factorial(k)
+        bound = 2**bits - math.ceil(max(tail, 0) * 2**bits)
+        if tail <= 0 or bound >= 2**bits - 1:
+            return out
+        out.append(bound)
+        k += 1
+
+
 def _draws(blocks: DataFrame, n_bootstrap: int, seed: int, method: str) -> DataFrame:
     """Drawn blocks: ``rep``, the models' sums and a weight."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("rep")
     if method == "poisson":
-        # Inverse distribution function of Poisson(1) at a hashed uniform, to weight 12.
+        # Inverse distribution function of Poisson(1) at a hashed uniform.
         slots = blocks.select(reps, "block_id", "models").withColumn(
             "_u", draw63(seed, "rep", "block_id")
         )
-        cumulative = [sum(math.exp(-1) / math.factorial(k) for k in range(j + 1)) for j in range(13)]
-        passed = [F.when(F.col("_u") >= int(c * 2**63), 1).otherwise(0) for c in cumulative[:-1]]
+        passed = [F.when(F.col("_u") >= F.lit(c), 1).otherwise(0) for c in poisson_bounds()]
         # Zero weights stay in; they add nothing to the sums.
         return slots.select("rep", sum(passed[1:], passed[0]).alias("weight"), "models")
     slots = blocks.select(reps, F.col("block_id").alias("i"), "total_rows")

@@ -14,17 +14,27 @@ from weekcast.operators.ranking import at_quantile, running
 BASELINE = "seasonal_naive"
 
 
-def metrics(predictions: DataFrame, by: Sequence[str] = ("model_name",)) -> DataFrame:
-    """All six metrics per group; rows with a null group value are skipped.
-
-    Rows are first summed per distinct absolute error. The exact median is read off
-    the ranked errors and the other metrics from the same sums, so the predictions
-    are scanned once and no group is gathered in one task.
+def metrics(
+    predictions: DataFrame, by: Sequence[str] = ("model_name",), names: Sequence[str] = METRICS
+) -> DataFrame:
+    """The named metrics per group; rows with a null group value are skipped.
+
+    Without the median they are plain sums, added up map-side: one exchange of a row per
+    group and task. With it, rows are first summed per distinct absolute error; the exact
+    median is read off the ranked errors and the other metrics from the same sums, so the
+    predictions are scanned once and no group is gathered in one task.
     """
     by = list(by)
     rows = predictions
     for b in by:
         rows = rows.where(F.col(b).isNotNull())
+    if "MedianAE" not in names:
+        terms = rows.withColumns(error_terms()).groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.col("error") * F.col("error")).alias("sq_error"),
+            *[F.sum(c).alias(c) for c in ("abs_error", "error", "abs_actual", "smape_term")],
+        )
+        return terms.select(*by, *[metric_from_sums(m).alias(m) for m in names])
     cells = (
         rows.withColumns(error_terms())
         .groupBy(*by, "abs_error")
@@ -46,7 +56,7 @@ def metrics(predictions: DataFrame, by: Sequence[str] = ("model_name",)) -> Data
         F.sum("abs_actual").alias("abs_actual"),
         F.sum("smape_term").alias("smape_term"),
     )
-    made = [metric_from_sums(m).alias(m) if m != "MedianAE" else F.col(m) for m in METRICS]
+    made = [metric_from_sums(m).alias(m) if m != "MedianAE" else F.col(m) for m in names]
     return sums.select(*by, *made)
 
 

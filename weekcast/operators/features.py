@@ -21,6 +21,7 @@ FEATURE_SETS = {
     "F5": ("lags", "rolling", "calendar", "categorical", "price_promo"),
     "F6": ("lags", "rolling", "calendar", "categorical", "price_promo"),
 }
+# The calendar columns of the supervised table.
 CALENDAR = ("week_of_year", "month", "quarter", "year", "week_in_month")
 
 
@@ -99,11 +100,11 @@ def encode(panel: DataFrame, segments: DataFrame, keys: Sequence[str]) -> DataFr
     labelled = series.join(segments.select(*keys, "segment_label"), list(keys), "left").withColumn(
         "_label", F.coalesce("segment_label", F.lit("unknown"))
     )
-    out = labelled.join(codes(series, "category", "category_code"), "category").join(
-        _label_codes(labelled), "_label"
-    )
-    if "sku" in statics:
-        out = out.join(codes(series, "sku", "sku_code"), "sku")
+    out = labelled.join(_label_codes(labelled), "_label")
+    for name in statics:
+        # A series without the name keeps its row and gets the code -1.
+        code = f"{name}_code"
+        out = out.join(codes(series, name, code), name, "left").withColumn(code, F.coalesce(code, F.lit(-1)))
     return out.drop("_label", *statics)
 
 

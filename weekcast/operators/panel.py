@@ -33,11 +33,12 @@ def wide_to_long(sales_wide: DataFrame, calendar: DataFrame) -> DataFrame:
     """``d_1 … d_N`` columns to one row per item, store and day."""
     days = [c for c in sales_wide.columns if c.startswith("d_")]
     ids = [c for c in sales_wide.columns if c not in days]
-    long = sales_wide.unpivot(ids, days, "d", "units")
+    # One array per row: thousands of day columns stay one expression each.
+    units = F.array(*[F.col(c).cast("double") for c in days])
+    long = sales_wide.select(*ids, F.posexplode(units).alias("_n", "units"))
+    long = long.select(*ids, F.get(F.lit(days), F.col("_n")).alias("d"), "units")
     # One calendar row per day.
-    return long.join(F.broadcast(calendar.select("d", "date")), "d").select(
-        *ids, "d", "date", F.col("units").cast("double").alias("units")
-    )
+    return long.join(F.broadcast(calendar.select("d", "date")), "d").select(*ids, "d", "date", "units")
 
 
 def weekly_sales(sales: DataFrame, items: DataFrame, level: str) -> DataFrame:
@@ -148,9 +149,12 @@ def resample(panel: DataFrame, unit: str) -> DataFrame:
     return panel.groupBy(stamp.alias("timestamp")).agg(F.sum("sales_units").alias("sales_units"))
 
 
-def pivot_categories(panel: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """Week × category matrix of units, for a given list of categories."""
-    return panel.groupBy("week_start").pivot("category", list(categories)).agg(F.sum("sales_units"))
+def pivot_categories(panel: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+    """Week × category matrix of units with their total; all categories unless a list is given."""
+    rows = panel.groupBy("week_start")
+    named = rows.pivot("category", list(categories)) if categories is not None else rows.pivot("category")
+    total = panel.groupBy("week_start").agg(F.sum("sales_units").alias("total"))
+    return named.agg(F.sum("sales_units")).join(total, "week_start")
 
 
 def raw_counts(sales: DataFrame, items: DataFrame, stores: DataFrame) -> DataFrame:

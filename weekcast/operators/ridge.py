@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.functions.columns import dot, plus_weeks
@@ -241,6 +241,15 @@ def fit(
     )
 
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A saved coefficient table; refused where its arrays don't fit together."""
+    model = spark.read.parquet(path)
+    odd = model.where(F.size("features") != F.size("coefficients"))
+    if not odd.isEmpty():
+        raise ValueError(f"{path} has a model whose coefficients and features differ in number")
+    return model
+
+
 def score(
     model: DataFrame,
     table: DataFrame,

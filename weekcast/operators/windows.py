@@ -21,8 +21,10 @@ class Backtest:
 
 
 def week_list(panel: DataFrame) -> DataFrame:
-    """One row with the sorted array of all weeks; its length is the calendar's, not the data's."""
-    return panel.agg(F.array_sort(F.collect_set("week_start")).alias("weeks"))
+    """One row with the array of all weeks from the first to the last; its length is the
+    calendar's, not the data's. The sparse table gives the same list as the dense panel."""
+    first, last = F.min("week_start").cast("date"), F.max("week_start").cast("date")
+    return panel.agg(F.sequence(first, last, F.expr("interval 7 days")).alias("weeks"))
 
 
 def _at(index: Column) -> Column:

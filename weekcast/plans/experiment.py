@@ -35,7 +35,7 @@ class Experiment:
     backtest: Backtest = Backtest()
     alignment: str = "reference"
     bootstrap_samples: int = 300
-    bootstrap_method: str = "multinomial"
+    bootstrap_method: str = "poisson"
 
 
 def backtest(panel: DataFrame, experiment: Experiment = Experiment()) -> DataFrame:

@@ -59,24 +59,35 @@ def star_raw(spark: SparkSession, sf_dir: str, category: str = "p_type") -> Raw:
     )
 
 
-def star_wide(spark: SparkSession, sf_dir: str, first_day: str, days: int) -> DataFrame:
-    """A wide daily extract of ``days`` days from ``first_day``, zero-filled."""
+def star_wide(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
+    """A wide daily extract of the first ``days`` days, zero-filled, with a row for every
+    item and store that ever sells."""
     raw = star_raw(spark, sf_dir)
-    number = F.datediff(F.col("date"), F.lit(first_day).cast("date")) + 1
     names = [f"d_{n}" for n in range(1, days + 1)]
+    first = raw.sales.agg(F.min("date")).scalar()
+    day = F.datediff(F.col("date"), F.col("_first")) + 1
     return (
-        raw.sales.withColumn("d", F.concat(F.lit("d_"), number))
-        .where(number.between(1, days))
+        raw.sales.withColumn("_first", first)
+        .withColumn("d", F.concat(F.lit("d_"), day))
         .groupBy("item_id", "store_id")
-        .pivot("d", names)
-        .agg(F.sum("units"))
-        .na.fill(0, names)
+        .agg(*[F.coalesce(F.sum(F.when(F.col("d") == n, F.col("units"))), F.lit(0)).alias(n) for n in names])
         .join(raw.items, "item_id")
         .join(raw.stores, "store_id")
         .select("item_id", "dept_id", "cat_id", "store_id", "state_id", *names)
     )
 
 
+def star_wide_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide daily layout of the whole period at category grain, zero-filled."""
+    raw = star_raw(spark, sf_dir)
+    daily = raw.sales.groupBy("item_id", "date").agg(F.sum("units").alias("units")).join(raw.items, "item_id")
+    daily = daily.groupBy("cat_id", "date").agg(F.sum("units").alias("units"))
+    # One column, and one row here, per day of the calendar.
+    names = [r["d"] for r in raw.calendar.orderBy("date").collect()]
+    wide = daily.join(F.broadcast(raw.calendar), "date").groupBy("cat_id").pivot("d", names)
+    return wide.agg(F.sum("units")).na.fill(0, names)
+
+
 def star_scenarios(spark: SparkSession, sf_dir: str, future_weeks: int = 8) -> DataFrame:
     """A dense scenario panel: scenario = return flag, series = brand, category = type.
 
