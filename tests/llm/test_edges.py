@@ -212,6 +212,7 @@ def random_pieces(seed, n=40):
 @pytest.mark.parametrize("seed", range(3))
 def test_repeats_like_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 200)  # long texts are cut into parts
+    monkeypatch.setattr(suffix_dedup, "HOT", (2, 3, 16)[seed])
     rows = random_pieces(seed)
     df = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
     got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(df).collect()}
@@ -223,6 +224,22 @@ def test_repeats_like_brute_force(spark, monkeypatch, seed):
         assert sum(s["end"] - s["first"] for s in r["spans"]) == r["n_removed"]
 
 
+def test_hot_string_in_other_surroundings(spark, monkeypatch):
+    """A 40-byte string in every document, each time between other bytes; some windows of 50
+    around it are the same in two documents."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    random.seed(11)
+    line = "the line that stands in every document."
+    rows = []
+    for d in range(120):
+        edge = "".join(random.choice("abcdefgh") for _ in range(70))
+        rows.append((d, f"{edge} {line}{d % 17}{'z' * (d % 13)} {edge[::-1]}"))
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.without_repeats(df).collect()}
+    want = plain.substrings_removed([(d, t.encode()) for d, t in rows])
+    assert got == want and sum(x[1] > 0 for x in want.values()) > 20
+
+
 def test_cut_texts(spark):
     rows = random_pieces(9)
     df = spark.createDataFrame([(d, t, "en", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, n_chars bigint")

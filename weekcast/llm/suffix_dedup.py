@@ -18,6 +18,12 @@ a name of all the bytes that its windows cover.
 3. What is left is ranked at 50 bytes from pairs at offset 25: a window is a repeat where a
    smaller document has the same.
 
+A string that very many documents have, each in other surroundings, would bring as many rows
+to one task. Where one slice of the input holds ``HOT`` different contents of a rank, the rank
+is hot: its pieces are dealt by content instead, two of them tell the others of that rank, and
+all its windows go straight to round 3, where they are dealt by their 50 bytes. Equal pieces
+and windows of a slice are one row before any shuffle.
+
 Repeats come back to their document as (first window, number of windows) and the covered
 bytes are cut out, as judged on the input. A null text is empty. Texts without a doc_id are
 left whole and are no source of repeats. Repeated rows get the same result; rows that share
@@ -41,6 +47,8 @@ from weekcast.llm.common import map_texts, slices, write_once
 SIZE, ANCHOR = 50, 16
 #: Bytes handled at once inside a task, so the arrays stay in the processor's cache.
 CHUNK = 1 << 18
+#: Contents of one rank in one slice from which the rank is hot.
+HOT = 16
 #: Windows of a piece at most.
 _LONGEST = 50
 _U = np.uint64
@@ -147,12 +155,17 @@ def unpack(data: bytes, types: list) -> tuple[list[np.ndarray], bytes]:
     return out, data[at:]
 
 
-# Of a piece: 40 bits of its rank (the bucket holds more of them), 48 of its content's name,
-# document (difference to the row before), first window, number of windows.
-PIECE = [np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.uint32, np.uint8]
+# Kinds of packed rows: places known to repeat; rows dealt by rank; rows dealt by content.
+KNOWN, BY_RANK, BY_CONTENT = 0, 1, 2
+# Of a piece: 40 bits of its rank (the bucket may hold more of them), 48 of its content's name,
+# document (difference to the row before), first window, number of windows, whether it is hot.
+PIECE = [np.uint32, np.uint8, np.uint32, np.uint16, np.int64, np.uint32, np.uint8, np.uint8]
 # Of windows at 33 bytes: 40 bits of their rank, document, first window, number of windows.
 SPAN = [np.uint32, np.uint8, np.int64, np.uint32, np.uint8]
+# Of a window at 50 bytes: its rank's two halves, document, place.
+WINDOW = [np.uint64, np.uint64, np.int64, np.uint32]
 REPEAT = [np.int64, np.uint32, np.uint8]
+Packed = tuple[int, int, bytes]
 
 
 def high40(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,43 +196,75 @@ def pieces_of(doc: list, text: list) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(empty, *out))
 
 
-def _bucketed(bucket: np.ndarray, make: Callable[[np.ndarray], bytes]) -> Iterator[tuple[int, bytes]]:
+def _bucketed(kind: int, bucket: np.ndarray, make: Callable[[np.ndarray], bytes]) -> Iterator[Packed]:
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else []
     for a, b in zip(edges, [*edges[1:], len(order)]):
-        yield int(bucket[order[a]]), make(order[a:b])
+        yield kind, int(bucket[order[a]]), make(order[a:b])
+
+
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value of the keys begins, in rows sorted by them."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
 
+def not_smallest(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Rows for which a smaller document has the same keys."""
+    order = np.lexsort((doc, *keys))
+    new = heads(*(k[order] for k in keys))
+    out = np.zeros(len(doc), bool)
+    out[order] = doc[order] > doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(doc) else out
+    return out
 
-def _first_pieces(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Round 1, map side. Equal pieces of this slice keep the smallest document's only; the
-    others are repeats already, and go to some bucket below zero."""
+
+def _first_pieces(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[Packed]:
+    """Round 1, map side."""
     turn = 0
     for batch in batches:
         for part in slices(batch):
             rank, content, doc, first, n = pieces_of(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
             if not len(rank):
                 continue
-            order = np.lexsort((doc, content, rank))
-            r, c = rank[order], content[order]
-            head = np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
-            smallest = doc[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
-            repeat = np.zeros(len(rank), bool)
-            repeat[order] = doc[order] > smallest
-            done, left = np.flatnonzero(repeat), np.flatnonzero(~repeat)
-            if len(done):
+            known = not_smallest(doc, content, rank)
+            if known.any():
                 turn += 1
-                yield -1 - (turn + int(doc[0])) % buckets, pack(delta(doc[done]), first[done].astype(np.uint32), n[done].astype(np.uint8))
-            rank, content, doc, first, n = (x[left] for x in (rank, content, doc, first, n))
+                yield KNOWN, (turn + int(doc[0])) % buckets, pack(delta(doc[known]), first[known].astype(np.uint32), n[known].astype(np.uint8))
+            rank, content, doc, first, n = (x[~known] for x in (rank, content, doc, first, n))
+            hot, told = hot_ranks(rank, content, doc)
 
             def block(i: np.ndarray) -> bytes:
-                return pack(*high40(rank[i]), (content[i] >> _U(32)).astype(np.uint32), (content[i] >> _U(16)).astype(np.uint16), delta(doc[i]), first[i].astype(np.uint32), n[i].astype(np.uint8))
-
-            yield from _bucketed((rank % _U(buckets)).astype(np.int64), block)
-
-
-def _meet(rows: list[tuple[int, bytes]], types: list) -> list[np.ndarray]:
-    """All rows of a task; the bucket comes first."""
-    cut = [(b, *unpack(x, types)[0]) for b, x in rows]
+                return pack(
+                    *high40(rank[i]), (content[i] >> _U(32)).astype(np.uint32), (content[i] >> _U(16)).astype(np.uint16),
+                    delta(doc[i]), first[i].astype(np.uint32), n[i].astype(np.uint8), hot[i].astype(np.uint8),
+                )
+
+            for kind, chosen, by in ((BY_RANK, ~hot | told, rank), (BY_CONTENT, hot, content)):
+                rows = np.flatnonzero(chosen)
+                yield from _bucketed(kind, (by[rows] % _U(buckets)).astype(np.int64), lambda i, rows=rows: block(rows[i]))
+
+
+def hot_ranks(rank: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ranks with ``HOT`` contents in several documents; of each such rank the rows of
+    the smallest and the largest document, which differ in content as well."""
+    order = np.lexsort((doc, content, rank))
+    new = heads(rank[order])
+    edges, group = np.flatnonzero(new), np.cumsum(new) - 1
+    contents = np.add.reduceat(heads(rank[order], content[order]).astype(np.int64), edges) if len(edges) else edges
+    low = np.minimum.reduceat(doc[order], edges) if len(edges) else edges
+    high = np.maximum.reduceat(doc[order], edges) if len(edges) else edges
+    hot, told = np.zeros(len(rank), bool), np.zeros(len(rank), bool)
+    hot[order] = ((contents >= HOT) & (low < high))[group]
+    told[order] = (doc[order] == low[group]) | (doc[order] == high[group])
+    return hot, hot & told
+
+
+def _meet(rows: list[Packed], types: list) -> list[np.ndarray]:
+    """All rows of a kind in a task; the bucket comes first. Documents are differences."""
+    cut = [(b, *unpack(x, types)[0]) for _, b, x in rows]
     at = types.index(np.int64)
     columns = [np.concatenate([np.full(len(c[1]), c[0]) for c in cut])]
     for i in range(len(types)):
@@ -227,89 +272,138 @@ def _meet(rows: list[tuple[int, bytes]], types: list) -> list[np.ndarray]:
     return columns
 
 
-def judge_pieces(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Round 1, after the shuffle: document, code and whether the piece goes on."""
-    doc, code, more = [], [], []
-    if done := [x for x in rows if x[0] < 0]:
-        _, d, first, n = _meet(done, REPEAT)
-        doc, code, more = [d], [codes(first, n)], [np.zeros(len(d), bool)]
-    if new := [x for x in rows if x[0] >= 0]:
-        bucket, r0, r1, c0, c1, d, first, n = _meet(new, PIECE)
+def judge_pieces(rows: list[Packed]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Round 1, after the shuffle: document, code, and 0 for a repeat, 1 for a piece that goes
+    on, 2 for one of a hot rank."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+    if known := [x for x in rows if x[0] == KNOWN]:
+        _, d, first, n = _meet(known, REPEAT)
+        out.append((d, codes(first, n), np.zeros(len(d), np.int32)))
+    for kind in (BY_RANK, BY_CONTENT):
+        if not (own := [x for x in rows if x[0] == kind]):
+            continue
+        bucket, r0, r1, c0, c1, d, first, n, hot = _meet(own, PIECE)
         rank = bucket.astype(np.uint64) << _U(40) | r0.astype(np.uint64) << _U(8) | r1
         content = c0.astype(np.uint64) << _U(16) | c1
-        order = np.lexsort((d, content, rank))
-        rank, content, d, first, n = (x[order] for x in (rank, content, d, first, n))
-        new_rank = np.concatenate([[True], rank[1:] != rank[:-1]])
-        head = new_rank | np.concatenate([[True], content[1:] != content[:-1]])
-        by_rank = np.cumsum(new_rank) - 1
-        repeat = d > d[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        edges = np.flatnonzero(new_rank)
-        differ = np.add.reduceat(head.astype(np.int64), edges)[by_rank] > 1
-        several = (np.minimum.reduceat(d, edges) < np.maximum.reduceat(d, edges))[by_rank]
-        on = ~repeat & differ & several
-        kept = repeat | on
-        doc.append(d[kept])
-        code.append(codes(first[kept], n[kept]))
-        more.append(on[kept])
-    if not doc:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(doc), np.concatenate(code), np.concatenate(more)
-
-
-def _spans(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Round 2, map side: windows of the pieces that go on, by their rank at 33 bytes."""
-    beside = (SIZE - ANCHOR) // 2
+        repeat = not_smallest(d, content, rank)
+        if kind == BY_CONTENT:
+            more = np.where(repeat, 0, 2)
+        else:
+            order = np.lexsort((d, content, rank))
+            new = heads(rank[order])
+            edges, group = np.flatnonzero(new), np.cumsum(new) - 1
+            differ = np.add.reduceat(heads(rank[order], content[order]).astype(np.int64), edges) > 1
+            several = np.minimum.reduceat(d[order], edges) < np.maximum.reduceat(d[order], edges)
+            told = np.maximum.reduceat(hot[order], edges) > 0
+            more = np.zeros(len(d), np.int32)
+            more[order] = np.where(differ & several, 1 + told, -1)[group]
+            more[repeat] = 0
+        kept = more >= 0
+        out.append((d[kept], codes(first[kept], n[kept]), more[kept].astype(np.int32)))
+    doc, code, more = (np.concatenate(c) for c in zip(*out))
+    return doc, code, more
+
+
+def _cut_out(doc: list, text: list, found: list[list[int]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The bytes of the coded windows, their document and first place."""
+    cut, owner, place = [], [], []
+    for d, t, coded in zip(doc, text, found):
+        for code in sorted(set(coded)):
+            first, n = code >> 8, code & 255
+            cut.append(t[first : first + n + SIZE - 1])
+            owner.append(d)
+            place.append(first)
+    return cut, np.array(owner, np.int64), np.array(place, np.int64)
+
+
+def _spans(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[Packed]:
+    """Rounds 2 and 3, map side. ``codes``: twice the code, and one more for a hot rank."""
     for batch in batches:
         for part in slices(batch):
-            cut, doc, place = [], [], []
-            for d, text, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "codes"))):
-                for code in sorted(set(found)):
-                    first, n = code >> 8, code & 255
-                    cut.append(text[first : first + n + SIZE - 1])
-                    doc.append(d)
-                    place.append(first)
-            made = []
-            for data, starts, number, _ in chunks(list(enumerate(cut))):
-                sixteen = doubled(eights(data), 8, ANCHOR)
-                anchor = least_at(sixteen, SIZE - ANCHOR + 1)
-                key = np.where(anchor - np.arange(len(anchor)) >= beside, anchor - beside, anchor)
-                rank = pair(sixteen[:-beside], sixteen[beside:])
-                first, n, seg = runs(key, starts)
-                text = data.tobytes()
-                blobs = [text[a : a + b + SIZE - 1] for a, b in zip(first.tolist(), n.tolist())]
-                made.append((rank[key[first]], np.array(doc, np.int64)[number[seg]], np.array(place, np.int64)[number[seg]] + first - starts[seg], n, blobs))
-            if not made:
-                continue
-            rank, doc_, first_, n_ = (np.concatenate([m[i] for m in made]) for i in range(4))
-            blobs = [b for m in made for b in m[4]]
-
-            def block(i: np.ndarray) -> bytes:
-                return pack(*high40(rank[i]), delta(doc_[i]), first_[i].astype(np.uint32), n_[i].astype(np.uint8)) + b"".join([blobs[k] for k in i.tolist()])
-
-            yield from _bucketed((rank % _U(buckets)).astype(np.int64), block)
+            doc, text, found = (part.column(c).to_pylist() for c in ("doc_id", "text", "codes"))
+            plain = [[c >> 1 for c in x if not c & 1] for x in found]
+            hot = [[c >> 1 for c in x if c & 1] for x in found]
+            yield from _by_33_bytes(*_cut_out(doc, text, plain), buckets)
+            yield from _by_50_bytes(*_cut_out(doc, text, hot), buckets)
 
 
-def judge_spans(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _by_33_bytes(cut: list[bytes], doc: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[Packed]:
+    beside, made = (SIZE - ANCHOR) // 2, []
+    for data, starts, number, _ in chunks(list(enumerate(cut))):
+        sixteen = doubled(eights(data), 8, ANCHOR)
+        anchor = least_at(sixteen, SIZE - ANCHOR + 1)
+        key = np.where(anchor - np.arange(len(anchor)) >= beside, anchor - beside, anchor)
+        rank = pair(sixteen[:-beside], sixteen[beside:])
+        first, n, seg = runs(key, starts)
+        text = data.tobytes()
+        blobs = [text[a : a + b + SIZE - 1] for a, b in zip(first.tolist(), n.tolist())]
+        made.append((rank[key[first]], doc[number[seg]], place[number[seg]] + first - starts[seg], n, blobs))
+    if not made:
+        return
+    rank, owner, first, n = (np.concatenate([m[i] for m in made]) for i in range(4))
+    blobs = [b for m in made for b in m[4]]
+
+    def block(i: np.ndarray) -> bytes:
+        head = pack(*high40(rank[i]), delta(owner[i]), first[i].astype(np.uint32), n[i].astype(np.uint8))
+        return head + b"".join([blobs[k] for k in i.tolist()])
+
+    yield from _bucketed(BY_RANK, (rank % _U(buckets)).astype(np.int64), block)
+
+
+def _by_50_bytes(cut: list[bytes], doc: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[Packed]:
+    half, made = -(-SIZE // 2), []
+    for data, starts, number, _ in chunks(list(enumerate(cut))):
+        name = doubled(doubled(eights(data), 8, ANCHOR), ANCHOR, half)
+        seg = np.repeat(np.arange(len(number)), np.diff(starts))
+        at = np.flatnonzero(np.arange(len(data)) + SIZE <= starts[seg + 1])
+        seg = seg[at]
+        made.append((name[at], name[at + SIZE - half], doc[number[seg]], place[number[seg]] + at - starts[seg]))
+    if not made:
+        return
+    a, b, owner, at = (np.concatenate([m[i] for m in made]) for i in range(4))
+    known = not_smallest(owner, b, a)
+    if known.any():
+        d, code = _joined(owner[known], at[known])
+        yield KNOWN, int(d[0]) % buckets, pack(delta(d), (code >> 8).astype(np.uint32), (code & 255).astype(np.uint8))
+    a, b, owner, at = (x[~known] for x in (a, b, owner, at))
+    yield from _bucketed(
+        BY_CONTENT,
+        (a % _U(buckets)).astype(np.int64),
+        lambda i: pack(a[i], b[i], delta(owner[i]), at[i].astype(np.uint32)),
+    )
+
+
+def judge_spans(rows: list[Packed]) -> tuple[np.ndarray, np.ndarray]:
     """Rounds 2 and 3, after the shuffle: document and code of the windows that repeat."""
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not rows:
-        return nothing
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if known := [x for x in rows if x[0] == KNOWN]:
+        _, d, first, n = _meet(known, REPEAT)
+        out.append((d, codes(first, n)))
+    if own := [x for x in rows if x[0] == BY_CONTENT]:
+        _, a, b, d, at = _meet(own, WINDOW)
+        repeat = not_smallest(d, b, a)
+        out.append(_joined(d[repeat], at[repeat].astype(np.int64)))
+    if own := [x for x in rows if x[0] == BY_RANK]:
+        out.append(_judge_33(own))
+    doc, code = (np.concatenate(c) for c in zip(*out))
+    return doc, code
+
+
+def _judge_33(rows: list[Packed]) -> tuple[np.ndarray, np.ndarray]:
     bucket, r0, r1, doc, first, n = _meet(rows, SPAN)
     rank = bucket.astype(np.uint64) << _U(40) | r0.astype(np.uint64) << _U(8) | r1
-    texts = [unpack(x, SPAN)[1] for _, x in rows]
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    data = np.frombuffer(b"".join(unpack(x, SPAN)[1] for _, _, x in rows), np.uint8)
     size = n.astype(np.int64) + SIZE - 1
     begin = np.cumsum(size) - size
     order = np.lexsort((doc, rank))
-    new = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    edges = np.flatnonzero(new)
-    d = doc[order]
+    new = heads(rank[order])
+    edges, d = np.flatnonzero(new), doc[order]
     several = (np.minimum.reduceat(d, edges) < np.maximum.reduceat(d, edges))[np.cumsum(new) - 1]
     left = order[several]
     half, found = -(-SIZE // 2), []
     step = 0
     while step < len(left):  # names of about a chunk of bytes at a time
-        ends = np.cumsum(size[left[step : step + CHUNK // SIZE]])
+        ends = np.cumsum(size[left[step : step + CHUNK // SIZE + 1]])
         block = left[step : step + max(1, int(np.searchsorted(ends, CHUNK)))]
         step += len(block)
         s = size[block]
@@ -320,22 +414,22 @@ def judge_spans(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         at = np.repeat(np.cumsum(s) - s, many) + k
         found.append((name[at], name[at + SIZE - half], np.repeat(doc[block], many), np.repeat(first[block].astype(np.int64), many) + k))
     if not found:
-        return nothing
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b, d, at = (np.concatenate([f[i] for f in found]) for i in range(4))
-    order = np.lexsort((d, b, a))
-    a, b, d, at = a[order], b[order], d[order], at[order]
-    head = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    repeat = d > d[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    d, at = d[repeat], at[repeat]
-    if not len(d):
-        return nothing
-    order = np.lexsort((at, d))
-    d, at = d[order], at[order]
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (at[1:] > at[:-1] + 1)])
+    repeat = not_smallest(d, b, a)
+    return _joined(d[repeat], at[repeat])
+
+
+def _joined(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Single windows to codes of neighbouring ones; a window may be there twice."""
+    if not len(doc):
+        return doc, at
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)])
     edges = np.flatnonzero(new)
-    # A run may hold a window twice; its length is that of the places from first to last.
-    last = np.append(edges[1:], len(d)) - 1
-    return _short(d[edges], at[edges], at[last] - at[edges] + 1)
+    last = np.append(edges[1:], len(doc)) - 1
+    return _short(doc[edges], at[edges], at[last] - at[edges] + 1)
 
 
 def _short(doc: np.ndarray, first: np.ndarray, n: np.ndarray, longest: int = 255) -> tuple[np.ndarray, np.ndarray]:
@@ -357,23 +451,24 @@ def covered(found: list[int], size: int) -> list[tuple[int, int]]:
     return [(x, y) for x, y in zip(a[edges].tolist(), ends.tolist()) if x < y]
 
 
-def _dealt(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch], int], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    """Packed rows from ``work``, dealt to tasks by bucket."""
+def _dealt(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch], int], Iterator[Packed]]) -> DataFrame:
+    """Packed rows from ``work``, dealt to tasks by kind and bucket."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, data in work(batches, 4 * n):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "data": pa.array([data], pa.binary())})
+        for kind, bucket, data in work(batches, 4 * n):
+            columns = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "data"])
 
-    return df.mapInArrow(run, "bucket int, data binary").repartition(n, "bucket")
+    return df.mapInArrow(run, "kind int, bucket int, data binary").repartition(n, "kind", "bucket")
 
 
-def _judged(packed: DataFrame, schema: str, judge: Callable[[list[tuple[int, bytes]]], tuple]) -> DataFrame:
+def _judged(packed: DataFrame, schema: str, judge: Callable[[list[Packed]], tuple]) -> DataFrame:
     """All rows of a task through ``judge``."""
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b, x) for batch in batches for b, x in zip(*(c.to_pylist() for c in batch.columns))]
+        rows = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns))]
         if rows:
             made = judge(rows)
             for k in range(0, len(made[0]), 1 << 16):
@@ -386,11 +481,12 @@ def repeats(texts: DataFrame) -> DataFrame:
     """``texts`` (doc_id bigint, text binary, perhaps more; no nulls among the ids):
     ``doc_id, code``, the windows of each document that a smaller doc_id has."""
     first = _dealt(texts.select("doc_id", "text"), _first_pieces)
-    judged = write_once(_judged(first, "doc_id bigint, code bigint, more boolean", judge_pieces))
-    more = judged.where("more").groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
+    judged = write_once(_judged(first, "doc_id bigint, code bigint, more int", judge_pieces))
+    on = judged.where("more > 0").select("doc_id", F.expr("2 * code + more - 1").alias("code"))
+    more = on.groupBy("doc_id").agg(F.collect_list("code").alias("codes"))
     # All columns of the texts, so that this shuffle of them and the last one are the same.
     spans = _dealt(texts.join(more, "doc_id"), _spans)
-    return judged.where("NOT more").select("doc_id", "code").union(_judged(spans, "doc_id bigint, code bigint", judge_spans))
+    return judged.where("more = 0").select("doc_id", "code").union(_judged(spans, "doc_id bigint, code bigint", judge_spans))
 
 
 def _with_codes(texts: DataFrame) -> DataFrame:
