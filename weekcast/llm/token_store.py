@@ -11,8 +11,9 @@ its own. Slot by slot the index holds a fingerprint of the key, the first id and
 of ids, so a lookup costs a few bit tests and one comparison, whatever the block's size.
 
 A null text has no ids but the end id. Rows with a null key are written but can't be looked
-up. Where a key is repeated, its rows stand side by side and the index names the first and
-their number. An empty table gives empty files.
+up. Where a key is repeated, its rows stand side by side, in one block or in several whose
+ranges share it, and each index names the first and their number. An empty table gives empty
+files.
 """
 
 from __future__ import annotations
@@ -196,8 +197,8 @@ def _block(part: int, number: int, before: int, keys: list, ids: list[bytes]) ->
 
 
 def write_store(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode ``docs`` and write the blocks to ``folder``. One shuffle, of the texts by key
-    range; a range that one repeated key fills is as large as that key's rows."""
+    """Encode ``docs`` and write the blocks to ``folder``. One shuffle, of the texts by range
+    of key and text hash, so that different texts of one key are no hot spot."""
     texts = keyed_texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     out = docs.sparkSession.createDataFrame([], BLOCK).schema
 
@@ -218,7 +219,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, id_col: s
                 made = words.encode_many(t or "" for t in piece.column("text").to_pylist())
                 for key, x in zip(piece.column("doc_id").to_pylist(), made):
                     n = len(x) // 2 + 1
-                    if held and held + n > BLOCK_IDS and keys[-1] != key:
+                    if held and held + n > BLOCK_IDS:
                         yield full()
                         number, before, keys, ids, held = number + 1, before + held, [], [], 0
                     keys.append(key)
@@ -228,9 +229,8 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, id_col: s
             yield full()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = texts.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), "text"
-    )
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = texts.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, out).write.option("compression", "zstd").parquet(folder)
 
 
