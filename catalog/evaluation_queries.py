@@ -42,6 +42,20 @@ def draw_sql(source: str, seed: int, rep: str, index: str) -> str:
     return f"SELECT *, (mb & {0x7FFFFFFF}) * {2**32} + mc AS u FROM ({q})"
 
 
+MIXED = ("sku", "p_brand")
+
+
+def mixed_rows(sp, d):
+    """Predictions at two grains together: SKUs are intermittent, brands are not, so there is
+    more than one segment."""
+    return baseline_rows(sp, d, MIXED[0]).unionByName(baseline_rows(sp, d, MIXED[1]))
+
+
+MIXED_SQL = ["predictions AS (" + " UNION ALL ".join(
+    f"SELECT * FROM ({s.with_(s.predictions(level), 'SELECT * FROM predictions')})" for level in MIXED
+) + ")"]
+
+
 BLOCKS = [
     """numbered_blocks AS (
     SELECT series_id, forecast_origin, horizon,
@@ -112,13 +126,13 @@ def register(q: Registry) -> None:
         "h6_metrics_by_category": "model_name, category",
     }.items():
         keys = by.split(", ")
-        level = "sku" if "segment" in name else "p_type"
+        mixed = "segment" in name
         spec = " ".join(f"{k}:i" if k == "horizon" else k for k in keys)
         add(
             name,
             f"{spec} {SPEC}",
-            lambda sp, d, keys=keys, level=level: ev.metrics(baseline_rows(sp, d, level), keys),
-            s.with_(s.predictions(level), s.metrics(by)),
+            lambda sp, d, keys=keys, rows=mixed_rows if mixed else baseline_rows: ev.metrics(rows(sp, d), keys),
+            s.with_(MIXED_SQL if mixed else s.predictions(), s.metrics(by)),
         )
     for name, metric in {
         "h1_wape": "WAPE:6",
@@ -235,10 +249,10 @@ def register(q: Registry) -> None:
         "h14_best_per_segment",
         "segment_label model_name WAPE:6",
         lambda sp, d: ev.best_per_segment(
-            ev.metrics(baseline_rows(sp, d, "sku"), ["model_name", "segment_label"])
+            ev.metrics(mixed_rows(sp, d), ["model_name", "segment_label"])
         ),
         s.with_(
-            [*s.predictions("sku"), f"scores AS ({s.metrics('model_name, segment_label')})"],
+            [*MIXED_SQL, f"scores AS ({s.metrics('model_name, segment_label')})"],
             """SELECT * FROM (SELECT *, ROW_NUMBER() OVER (
                  PARTITION BY segment_label ORDER BY "WAPE", model_name) AS n FROM scores)
                WHERE n = 1""",
@@ -298,13 +312,13 @@ def register(q: Registry) -> None:
         "v11_wape_segment_model",
         "segment_label " + " ".join(f"model_name_{m}:6" for m in models),
         lambda sp, d: c.wape_matrix(
-            ev.metrics(baseline_rows(sp, d, "sku"), ["model_name", "segment_label"]),
+            ev.metrics(mixed_rows(sp, d), ["model_name", "segment_label"]),
             "segment_label",
             "model_name",
             models,
         ),
         s.with_(
-            [*s.predictions("sku"), f"scores AS ({s.metrics('model_name, segment_label')})"],
+            [*MIXED_SQL, f"scores AS ({s.metrics('model_name, segment_label')})"],
             "SELECT segment_label, "
             + ", ".join(
                 f"""MAX(CASE WHEN model_name = '{m}' THEN "WAPE" END) AS model_name_{m}"""

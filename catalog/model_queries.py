@@ -26,9 +26,11 @@ from weekcast.operators import ridge as r
 from weekcast.operators import scenarios as sc
 from weekcast.operators import trees as t
 from weekcast.operators import windows as w
+from weekcast.operators.panel import densify
 from weekcast.operators.segments import segment_series
 from weekcast.plans.predict import score_baselines, score_ridge
 from weekcast.plans.experiment import Experiment, backtest
+from weekcast.plans.winner import forecast_saved, save_final
 from weekcast.session import cut_lineage, shared_folder
 from weekcast.sources.sinks import write_table
 
@@ -336,6 +338,34 @@ def register(q: Registry) -> None:
            prediction:4""",
         scored,
     )
+    def winner(sp, d):
+        """Backtest, best model, final fit, save, load, forecast from the last week."""
+        sparse = weekly_table(sp, d)
+        panel = cut_lineage(densify(sparse))
+        chosen = Experiment(models={"naive": {}, "seasonal_naive": {}})
+        best = ev.best_model(ev.metrics(backtest(panel, chosen), names=["WAPE"])).first()["model_name"]
+        folder = f"{shared_folder(sp)}/models/{uuid.uuid4().hex}"
+        save_final(panel, chosen, best, folder)
+        return forecast_saved(panel, folder)
+
+    add(
+        "g8_winner_saved_and_scored",
+        "model_name model_family series_id category segment_label forecast_origin target_date horizon:i prediction:3",
+        winner,
+        s.with_(
+            [
+                *s.predictions(),
+                f"""best AS (SELECT model_name FROM ({s.metrics('model_name')}) ORDER BY "WAPE", model_name LIMIT 1)""",
+            ],
+            """SELECT b.model_name, 'baseline' AS model_family, p.series_id, p.category, g.segment_label,
+                 p.week_start AS forecast_origin, h.horizon,
+                 CAST(p.week_start + INTERVAL 7 DAY * h.horizon AS DATE) AS target_date,
+                 CASE WHEN b.model_name = 'naive' THEN p.lag_1 ELSE COALESCE(p.lag_52, p.lag_1) END AS prediction
+               FROM lagged p JOIN segments g ON g.series_id = p.series_id CROSS JOIN best b
+               CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS horizon) h
+               WHERE p.week_start = (SELECT MAX(week_start) FROM panel)""",
+        ),
+    )
     scenario_spec = "scenario_name " + PREDICTION_SPEC
     add(
         "g12_scenario_baselines",
@@ -434,7 +464,8 @@ def register(q: Registry) -> None:
         uncovered,
         """SELECT scenario_name, horizon FROM (
              SELECT DISTINCT l_returnflag AS scenario_name FROM lineitem)
-           CROSS JOIN (SELECT unnest([7, 8]) AS horizon) WHERE scenario_name <> 'A'""",
+           CROSS JOIN (SELECT unnest(generate_series(1, 8)) AS horizon)
+           WHERE NOT (horizon < 7 OR scenario_name = 'A')""",
     )
 
 

@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from weekcast.operators import features as f
 from weekcast.operators import holt as h
@@ -330,3 +331,39 @@ def test_only_the_short_scenario_is_refitted(spark, monkeypatch):
     anew = key(pp.refit(frame, names, 3))
     assert made == {k: (anew if k[0] == "A" else saved)[k] for k in made}
     assert {k[0] for k in made} == {k[0] for k in saved} and len({k[0] for k in made}) == 3
+
+
+def test_any_winner_is_saved_and_scored(panel, tmp_path):
+    """Saved, loaded and scored, each model forecasts what its fit on all weeks says."""
+    from weekcast.plans.winner import forecast_saved, save_final
+
+    small = f.Features(feature_set="F1")
+    chosen = Experiment(
+        models={
+            "naive": {},
+            "seasonal_naive": {"alignment": "target"},
+            "ets": {"alignment": "target"},
+            "ridge": {"alpha": 1.0},
+            "gbt_squared": {"maxIter": 2, "maxDepth": 2, "features": small},
+        },
+        backtest=BACKTEST,
+    )
+    last = panel.agg(F.max("week_start")).first()[0]
+    y = {(x.series_id, x.week_start): x.sales_units for x in panel.collect()}
+    week = datetime.timedelta(weeks=1)
+    made = {}
+    for name in chosen.models:
+        save_final(panel, chosen, name, f"{tmp_path}/{name}")
+        made[name] = forecast_saved(panel, f"{tmp_path}/{name}").collect()
+        assert {(x.horizon, x.forecast_origin, x.target_date) for x in made[name]} == {(h, last, last + h * week) for h in HORIZONS}
+        assert len(made[name]) == 4 * len(HORIZONS) and all(x.prediction is not None for x in made[name])
+    assert all(x.prediction == y[x.series_id, last - week] for x in made["naive"])
+    assert all(x.prediction == y[x.series_id, x.target_date - 52 * week] for x in made["seasonal_naive"])
+    table = cut_lineage(f.supervised(panel, segment_series(panel), horizons=HORIZONS))
+    names = f.feature_names(panel.columns, f.Features())
+    want = {(x.series_id, x.horizon): x.prediction for x in r.score(r.fit(table, names, HORIZONS), table, names).collect()}
+    assert {(x.series_id, x.horizon): pytest.approx(x.prediction) for x in made["ridge"]} == want
+    states = {x.series_id: x for x in h.holt_states(panel).where(F.col("week_start") == F.lit(last)).collect()}
+    for x in made["ets"]:
+        s = states[x.series_id]
+        assert x.prediction == pytest.approx(s.level + x.horizon * s.trend)

@@ -103,6 +103,27 @@ def baselines(
     )
 
 
+def at_last_week(table: DataFrame, segments: DataFrame, horizons: Sequence[int], guesses: Column) -> DataFrame:
+    """``guesses``, an array of one value per horizon, of the last week's rows, one row each."""
+    last = table.agg(F.max("week_start")).scalar()
+    rows = table.withColumn("_guesses", guesses).withColumn("_last", last).where("week_start = _last")
+    named = F.arrays_zip(F.array(*[F.lit(h) for h in horizons]).alias("horizon"), F.col("_guesses").alias("prediction"))
+    return (
+        rows.join(segments.select("series_id", "segment_label"), "series_id", "left")
+        .withColumn("_x", F.explode(named))
+        .select("series_id", "category", "segment_label", F.col("week_start").alias("forecast_origin"), "_x.*")
+    )
+
+
+def latest_baseline(
+    panel: DataFrame, segments: DataFrame, model_name: str, horizons: Sequence[int], alignment: str = "reference"
+) -> DataFrame:
+    """Forecasts of a baseline from the last week; no actuals are needed."""
+    guesses = _forecasts(series_order(), alignment, horizons)[model_name]
+    made = at_last_week(panel.withColumn("_made", guesses), segments, horizons, F.col("_made"))
+    return made.withColumn("model_name", F.lit(model_name)).withColumn("model_family", F.lit("baseline"))
+
+
 def incomplete_predictions(predictions: DataFrame) -> DataFrame:
     """Rows a backtest must not contain; an empty result is a pass."""
     return predictions.where(F.col("actual").isNull() | F.col("prediction").isNull())

@@ -6,10 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.operators.baselines import at_origin
+from weekcast.operators.baselines import at_last_week, at_origin
 from weekcast.operators.features import series_order
 from weekcast.operators.seasonality import spread
 
@@ -97,6 +97,22 @@ def _run_chunk(chunk: pd.DataFrame, keys: list[str], grid: np.ndarray) -> pd.Dat
     return pd.DataFrame(out)
 
 
+def _ahead(h: int, alignment: str, order: Window) -> Column:
+    if alignment == "target":
+        return F.col("level") + h * F.col("trend")
+    return F.lag("level", h).over(order) + h * F.lag("trend", h).over(order)
+
+
+def latest_holt(
+    panel: DataFrame, segments: DataFrame, horizons: Sequence[int], alignment: str = "target"
+) -> DataFrame:
+    """Forecasts from the last week; no actuals are needed."""
+    order = series_order()
+    states = holt_states(panel).withColumn("_made", F.array(*[_ahead(h, alignment, order) for h in horizons]))
+    made = at_last_week(states, segments, horizons, F.col("_made"))
+    return made.withColumn("model_name", F.lit("ets")).withColumn("model_family", F.lit("statistical"))
+
+
 def holt(
     panel: DataFrame,
     segments: DataFrame,
@@ -117,9 +133,7 @@ def holt(
     order = series_order(keys)
 
     def forecast(h: int):
-        if alignment == "target":
-            return F.col("level") + h * F.col("trend")
-        return F.lag("level", h).over(order) + h * F.lag("trend", h).over(order)
+        return _ahead(h, alignment, order)
 
     table = holt_states(panel, keys).withColumns(
         {

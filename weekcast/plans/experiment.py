@@ -23,6 +23,8 @@ BASELINES = ("naive", "seasonal_naive")
 
 @dataclass(frozen=True)
 class Experiment:
+    """``models``: parameters by model; ``features`` among them replaces the common ones."""
+
     models: Mapping[str, dict] = field(
         default_factory=lambda: {
             "naive": {},
@@ -60,15 +62,17 @@ def backtest(panel: DataFrame, experiment: Experiment = Experiment()) -> DataFra
         params = {"alignment": experiment.alignment, **experiment.models["ets"]}
         parts.append(holt(panel, segments, windows, horizons, **params))
     pooled = [m for m in experiment.models if m == "ridge" or m in LOSSES]
-    if pooled:
-        table = cut_lineage(supervised(panel, segments, experiment.features, horizons))
-        names = feature_names(panel.columns, experiment.features)
-        for m in pooled:
-            params = experiment.models[m]
-            if m == "ridge":
-                parts.append(ridge.ridge(table, windows, names, horizons, **params))
-            else:
-                parts.append(trees(table, windows, names, m, **params))
+    tables: dict[Features, DataFrame] = {}
+    for m in pooled:
+        params = dict(experiment.models[m])
+        own = params.pop("features", experiment.features)
+        if own not in tables:
+            tables[own] = cut_lineage(supervised(panel, segments, own, horizons))
+        table, names = tables[own], feature_names(panel.columns, own)
+        if m == "ridge":
+            parts.append(ridge.ridge(table, windows, names, horizons, **params))
+        else:
+            parts.append(trees(table, windows, names, m, **params))
     made = parts[0]
     for part in parts[1:]:
         made = made.unionByName(part)
