@@ -102,4 +102,62 @@ WITH cut AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
 FROM judged""",
+    "op4_decontamination": r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents
+), bench AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS words
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM bench WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS words
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k
+        FROM cut CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT p.doc_id, p.k, p.n, x.item_id FROM places p JOIN windows x ON x.n = p.n AND x.words = p.words
+), counted AS (
+  SELECT doc_id, COUNT(DISTINCT place) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(generate_series(k, k + n - 1)) AS place FROM (SELECT DISTINCT doc_id, k, n FROM hits))
+  GROUP BY 1
+), named AS (
+  SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY 1
+)
+SELECT c.doc_id, len(c.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM cut c LEFT JOIN counted h ON h.doc_id = c.doc_id LEFT JOIN named i ON i.doc_id = c.doc_id""",
+    "op6_suffix_dedup": """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT doc_id, k, substr(h, CAST(2 * k + 1 AS BIGINT), 100) AS bytes
+  FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 2 - 50)) AS k FROM texts WHERE length(h) >= 100)
+), firsts AS (
+  SELECT bytes, MIN(doc_id) AS first_doc FROM windows GROUP BY bytes
+), repeated AS (
+  SELECT w.doc_id, w.k FROM windows w JOIN firsts f ON f.bytes = w.bytes WHERE w.doc_id > f.first_doc
+), begun AS (
+  SELECT doc_id, k, CASE WHEN k <= lag(k) OVER o + 50 THEN 0 ELSE 1 END AS new
+  FROM repeated WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+), spans AS (
+  SELECT doc_id, MIN(k) AS a, MAX(k) + 50 AS b
+  FROM (SELECT *, SUM(new) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM begun) GROUP BY doc_id, run
+), sums AS (
+  SELECT doc_id, SUM(b - a) AS n_removed, COUNT(*) AS n_spans, MAX(b) AS last FROM spans GROUP BY doc_id
+), pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL
+  SELECT t.doc_id, coalesce(s.last, 0), length(t.h) // 2 FROM texts t LEFT JOIN sums s ON s.doc_id = t.doc_id
+), kept AS (
+  SELECT p.doc_id, string_agg(substr(t.h, CAST(2 * p.x + 1 AS BIGINT), CAST(2 * (p.y - p.x) AS BIGINT)), '' ORDER BY p.x, p.y) AS h
+  FROM pieces p JOIN texts t ON t.doc_id = p.doc_id GROUP BY p.doc_id
+)
+SELECT t.doc_id, length(t.h) // 2 AS n_bytes, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(s.n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM texts t JOIN kept k ON k.doc_id = t.doc_id LEFT JOIN sums s ON s.doc_id = t.doc_id""",
 }

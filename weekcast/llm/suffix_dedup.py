@@ -452,25 +452,30 @@ def covered(found: list[int], size: int) -> list[tuple[int, int]]:
 
 
 def _dealt(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch], int], Iterator[Packed]]) -> DataFrame:
-    """Packed rows from ``work``, dealt to tasks by kind and bucket."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Packed rows from ``work``, one bucket to a task. Twice as many buckets as usual, as a
+    task unpacks its rows into arrays."""
+    n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, bucket, data in work(batches, 4 * n):
+        for kind, bucket, data in work(batches, n):
             columns = [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "data"])
 
-    return df.mapInArrow(run, "kind int, bucket int, data binary").repartition(n, "kind", "bucket")
+    return df.mapInArrow(run, "kind int, bucket int, data binary").repartitionById(n, "bucket")
 
 
 def _judged(packed: DataFrame, schema: str, judge: Callable[[list[Packed]], tuple]) -> DataFrame:
-    """All rows of a task through ``judge``."""
+    """All rows of a kind and bucket through ``judge``, one kind after another."""
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns))]
-        if rows:
-            made = judge(rows)
+        held: dict[tuple[int, int], list[Packed]] = {}
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(row[:2], []).append(row)
+            del batch
+        for key in sorted(held):
+            made = judge(held.pop(key))
             for k in range(0, len(made[0]), 1 << 16):
                 yield pa.RecordBatch.from_pydict({c: x[k : k + (1 << 16)] for c, x in zip(names, made)})
 
