@@ -111,3 +111,26 @@ def substrings_removed(docs, size=50):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def shingles(text, n=5):
+    w = split_words(ascii_lower(text or ""))
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def near_copies(texts, least=(4, 5)):
+    """texts: key to text. Smallest key reachable over pairs with a similarity of 0.8 or more."""
+    keys = sorted(texts)
+    sets, root = [shingles(texts[k]) for k in keys], list(range(len(keys)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) * least[1] >= least[0] * len(x | y):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {k: keys[top(i)] for i, k in enumerate(keys)}

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekcast.llm import shingle_sets
 from weekcast.llm.common import map_texts, write_once
 from weekcast.llm.components import components
 
@@ -318,11 +319,12 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of each component the row of its smallest doc_id, columns as they are; of repeated
-    rows one. Rows without a doc_id stay."""
-    found = near_duplicates(docs, radius)
-    losers = write_once(found.where("doc_id <> component_id").select("doc_id").distinct())
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """Of texts that are near copies (``shingle_sets``) the row of the smallest doc_id, columns
+    as they are; of repeated rows one. Rows without a doc_id stay."""
+    found = write_once(shingle_sets.near_copies(docs))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
+    losers = write_once(found.join(least, "component").where("doc_id <> least").select("doc_id").distinct())
     left = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
     again = write_once(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
