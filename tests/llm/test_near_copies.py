@@ -52,3 +52,15 @@ def test_given_tables(spark):
     left = {r["doc_id"] for r in simhash.one_per_group(docs).collect()}
     assert left == set(want.values())
     assert want[177] == 1 and 177 not in left  # 0.83, nine bits
+
+
+def test_rows_that_share_a_key(spark):
+    random.seed(3)
+    text = lambda: " ".join(f"w{random.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(7, a, "x"), (7, b, "x"), (3, b + " more", "x"), (7, c, "z"), (7, c.upper(), "y"), (7, c, "y"), (None, b, "x"), (None, b, "x")]
+    rows += [(9, text(), "x") for _ in range(40)]
+    want = sorted(map(str, [rows[0], rows[2], (7, c.upper(), "y"), rows[6], rows[7], *rows[8:]]))
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, text_key string").repartition(parts)
+        assert sorted(str(tuple(r)) for r in simhash.one_per_group(df).collect()) == want

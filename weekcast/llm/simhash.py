@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.llm import shingle_sets
-from weekcast.llm.common import map_texts, write_once
+from weekcast.llm.common import fresh, map_texts, write_once
 from weekcast.llm.components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -320,14 +320,23 @@ def hex_digits(fp: str = "fp"):
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """Of texts that are near copies (``shingle_sets``) the row of the smallest doc_id, columns
-    as they are; of repeated rows one. Rows without a doc_id stay."""
-    found = write_once(shingle_sets.near_copies(docs))
+    """Of texts that are near copies (``shingle_sets``) one row, the smallest by doc_id and then
+    by its columns in their order. Rows that only share a doc_id stay, and so do rows without one."""
+    found = write_once(shingle_sets.near_copies(docs).where("doc_id IS NOT NULL"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
-    losers = write_once(found.join(least, "component").where("doc_id <> least").select("doc_id").distinct())
-    left = docs.join(losers, "doc_id", "left_anti").select(docs.columns)
-    again = write_once(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return left
-    repeated = left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(repeated)
+    placed = found.join(least, "component")
+    key, group = fresh(docs, "text_key"), fresh(docs, "component")
+    losers = write_once(placed.where("doc_id <> least").select("doc_id", F.col("text_key").alias(key)).distinct())
+    keyed = docs.withColumn(key, shingle_sets.text_key(docs))
+    maybe = shingle_sets.marks(losers, "doc_id", key)
+    left = keyed.where(~maybe).union(keyed.where(maybe).join(losers, ["doc_id", key], "left_anti").select(keyed.columns))
+    first = placed.where("doc_id = least")
+    several = first.groupBy("component").count().where("count > 1")
+    ties = write_once(
+        first.join(several, "component", "left_semi").select("doc_id", F.col("text_key").alias(key), F.col("component").alias(group)).distinct()
+    )
+    if ties.isEmpty():
+        return left.select(docs.columns)
+    tied = left.join(ties, ["doc_id", key]).groupBy(group).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    alone = left.join(ties, ["doc_id", key], "left_anti").select(docs.columns)
+    return alone.union(tied.select([F.col("row").getField(c).alias(c) for c in docs.columns]))
