@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekcast.llm import (
     bpe,
     decontaminate,
+    hard_negatives,
     quality_gam,
     ring,
     simhash,
+    spelling,
     suffix_dedup,
     token_counts,
     token_store,
+    toxicity,
     url_filter,
     weak_rules,
 )
@@ -70,6 +74,22 @@ def op10_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.assign(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the key, the label is another one: those are the planted hard cases."""
+    rows = read(spark, sf_dir, "embeddings")
+    return hard_negatives.mine(rows.withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``evidence``: the doc_ids of the nearest labelled documents, the nearest first."""
+    found = toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.col("evidence.doc_id").alias("evidence"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +101,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_store": op8_token_store,
     "op9_bpe": op9_bpe,
     "op10_ring": op10_ring,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling": op12_spelling,
+    "op13_toxicity": op13_toxicity,
 }
 
 SQL: dict[str, str] = {
@@ -160,4 +183,24 @@ WITH texts AS (
 SELECT t.doc_id, length(t.h) // 2 AS n_bytes, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed,
   coalesce(s.n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
 FROM texts t JOIN kept k ON k.doc_id = t.doc_id LEFT JOIN sums s ON s.doc_id = t.doc_id""",
+    "op11_hard_negatives": """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5""",
 }
