@@ -91,22 +91,59 @@ def sha256_hex(c) -> F.Column:
 
 
 class Remembered:
-    """A bounded table. A full generation becomes the old one and the one before it is
-    forgotten: frequent keys stay, and there are at most ``most`` entries and those of the
-    keys asked for at once, twice."""
-
-    def __init__(self, most: int = 250_000):
-        self.most = most
+    """A bounded table. A full generation becomes the old one and the one before it is forgotten:
+    frequent keys stay. A generation ends at ``most`` entries or ``most_bytes`` of keys and values
+    (as far as they have a length; lists count eight bytes an item); what one call asks for may come
+    on top. Keys of more than ``longest`` characters, such as whole texts without a space, are made
+    every time and never kept."""
+
+    def __init__(self, most: int = 400_000, most_bytes: int = 32 << 20, longest: int = 64):
+        self.most, self.most_bytes, self.longest = most, most_bytes, longest
         self.now: dict = {}
         self.old: dict = {}
+        self.bytes = 0
+
+    def get(self, key):
+        """What is remembered of a key, or None."""
+        found = self.now.get(key)
+        return self.old.get(key) if found is None else found
 
     def lookup(self, keys: set, make: Callable[[list], list]) -> dict:
         """A table that has all of ``keys``; those unknown are made together."""
         missing = keys.difference(self.now)
-        if len(self.now) + len(missing) > self.most:
-            self.old, self.now, missing = self.now, {}, keys
+        if len(self.now) + len(missing) > self.most or self.bytes > self.most_bytes:
+            self.old, self.now, self.bytes, missing = self.now, {}, 0, keys
         known = self.old.keys() & missing
-        self.now.update((k, self.old[k]) for k in known)
+        self._keep((k, self.old[k]) for k in known)
         unknown = list(missing - known)
-        self.now.update(zip(unknown, make(unknown)))
+        made = dict(zip(unknown, make(unknown)))
+        long = {k: v for k, v in made.items() if len(k) > self.longest}
+        if long:
+            self._keep((k, v) for k, v in made.items() if len(k) <= self.longest)
+            return Both(long, self.now)
+        self._keep(made.items())
         return self.now
+
+    def _keep(self, pairs: Iterable[tuple]) -> None:
+        new = dict(pairs)
+        self.now.update(new)
+        self.bytes += sum(map(len, new)) + size(new.values())
+
+
+class Both(dict):
+    """Entries of this call alone, and behind them a table that is kept."""
+
+    def __init__(self, own: dict, kept: dict):
+        super().__init__(own)
+        self.kept = kept
+
+    def __missing__(self, key):
+        return self.kept[key]
+
+
+def size(values: Iterable) -> int:
+    """Bytes of values that are all of one kind: strings, or lists of numbers, or numbers."""
+    values = list(values)
+    if not values or not hasattr(values[0], "__len__"):
+        return 8 * len(values)
+    return sum(map(len, values)) * (1 if isinstance(values[0], (bytes, str)) else 8)

@@ -82,10 +82,11 @@ class WordEncoder:
         """A word is often letters and a stop after them, which are two pieces."""
         heads = [w if w.isalpha() else w.rstrip(".,;:!?") for w in words]
         plain = [h.isalpha() for h in heads]
-        letters = dict.fromkeys(h for h, p in zip(heads, plain) if p)
+        had = {h: x for h, p in zip(heads, plain) if p and (x := self.known.get(h)) is not None}
+        letters = dict.fromkeys(h for h, p in zip(heads, plain) if p and h not in had)
         rest = dict.fromkeys(w for w, p in zip(words, plain) if not p)
         rest |= dict.fromkeys(w[len(h) :] for w, h, p in zip(words, heads, plain) if p and len(h) < len(w))
-        ids = dict(zip(letters, self._letters(list(letters))))
+        ids = had | dict(zip(letters, self._letters(list(letters))))
         others = dict(zip(rest, self._library(list(rest))))
         return [
             (ids[h] + others[w[len(h) :]] if len(h) < len(w) else ids[h]) if p else others[w]
