@@ -80,15 +80,61 @@ METRIC_SUMS = {
 }
 
 
+def splitting_sql() -> list[str]:
+    """``drawn`` (rep, block_id, w): segments of equal cells, the draws of each found by comparing
+    random bits with a fraction, halved down the tree of its cells, and drawn inside a cell."""
+    word, cell = bs.WORD, bs.CELL
+    bits = f"bit_count(u & ((CAST(1 AS BIGINT) << CAST(least({word}, greatest(n_bits - {word} * k, 0)) AS INTEGER)) - 1))"
+    words = lambda n: f"unnest(generate_series(CAST(0 AS BIGINT), greatest(CAST(({n} + {word - 1}) // {word} AS BIGINT), 1) - 1)) AS k"
+    chained = f"""SELECT c.*, c.u AS n_bits, (rep * 64 + least(t, 63)) * 8 + seg AS r, {words("c.u")} FROM chain c"""
+    chained = draw_sql(f"SELECT *, (greatest(t - 63, 0) << 32) + k AS i FROM (SELECT * EXCLUDE (u) FROM ({chained}))", SEED, "r", "i")
+    halved = f"SELECT *, c AS n_bits, rep * 512 + seg AS r, {words('c')} FROM tree WHERE level < depth AND c > 0"
+    halved = draw_sql(f"SELECT *, (CAST(node AS BIGINT) << 32) + k AS i FROM ({halved})", SEED, "r", "i")
+    local = "SELECT *, rep * 8 + seg AS r, unnest(generate_series(CAST(0 AS BIGINT), c - 1)) AS k FROM tree WHERE level = depth AND c > 0"
+    local = draw_sql(f"SELECT *, (CAST(node - (1 << depth) AS BIGINT) << 32) + k AS i FROM ({local})", SEED + 1, "r", "i")
+    depth = f"list_filter(range(0, 40), lambda d: (n >> CAST(d AS INTEGER)) <= {cell})[1]"
+    return [
+        f"""segs AS (
+        SELECT 0 AS seg, CAST(0 AS BIGINT) AS start, n, depth, n >> depth AS size
+        FROM (SELECT n, CAST({depth} AS INTEGER) AS depth FROM (SELECT COUNT(*) AS n FROM numbered_blocks))
+        UNION ALL
+        SELECT seg, start, n, depth, n >> depth FROM (
+          SELECT seg, start, n, CAST({depth} AS INTEGER) AS depth FROM (
+            SELECT seg + 1 AS seg, start + (size << depth) AS start, n - (size << depth) AS n FROM segs
+            WHERE n > (size << depth))))""",
+        f"""chain AS (
+        SELECT CAST(rep AS BIGINT) AS rep, seg, n AS c, n AS u, CAST(0 AS BIGINT) AS got, n - (size << depth) AS rest, n AS whole, 1 AS t
+        FROM segs CROSS JOIN (SELECT unnest(generate_series(0, {REPS - 1})) AS rep) WHERE seg = 0
+        UNION ALL
+        SELECT w.rep, CASE WHEN over THEN w.seg + 1 ELSE w.seg END, CASE WHEN over THEN got ELSE c END,
+          CASE WHEN over THEN got WHEN 2 * rest >= whole THEN ones ELSE n_bits - ones END,
+          CASE WHEN over THEN 0 WHEN 2 * rest >= whole THEN got + n_bits - ones ELSE got END,
+          CASE WHEN over THEN s.n - (s.size << s.depth) WHEN 2 * rest >= whole THEN 2 * rest - whole ELSE 2 * rest END,
+          CASE WHEN over THEN s.n ELSE whole END, CASE WHEN over THEN 1 ELSE t + 1 END
+        FROM (SELECT rep, seg, c, n_bits, got, rest, whole, t, n_bits = 0 OR rest = 0 AS over, CAST(SUM({bits}) AS BIGINT) AS ones
+              FROM ({chained}) GROUP BY rep, seg, c, n_bits, got, rest, whole, t) w
+        LEFT JOIN segs s ON s.seg = w.seg + 1 WHERE NOT over OR s.seg IS NOT NULL)""",
+        f"""tree AS (
+        SELECT c.rep, c.seg, s.depth, 0 AS level, CAST(1 AS BIGINT) AS node, c.c - c.got AS c
+        FROM chain c JOIN segs s ON s.seg = c.seg WHERE c.u = 0 OR c.rest = 0
+        UNION ALL
+        SELECT rep, seg, depth, level + 1, node * 2 + side, CASE WHEN side = 1 THEN ones ELSE c - ones END
+        FROM (SELECT rep, seg, depth, level, node, c, CAST(SUM({bits}) AS BIGINT) AS ones FROM ({halved}) GROUP BY ALL)
+        CROSS JOIN (VALUES (0), (1)) sides(side))""",
+        f"""drawn AS (
+        SELECT rep, start + (node - (1 << l.depth)) * size + u % size AS block_id, COUNT(*) AS w
+        FROM ({local}) l JOIN segs s ON s.seg = l.seg GROUP BY 1, 2)""",
+    ]
+
+
 def bootstrap_sql(metric: str, method: str = "multinomial") -> str:
     slots = f"""SELECT block_id, n, rep FROM numbered_blocks
         CROSS JOIN (SELECT unnest(generate_series(0, {REPS - 1})) AS rep)"""
-    drawn = draw_sql(slots, SEED, "rep", "block_id")
     if method == "multinomial":
-        weights = f"SELECT rep, u % n AS block_id, COUNT(*) AS w FROM ({drawn}) GROUP BY 1, 2"
+        made, weights = splitting_sql(), "SELECT rep, block_id, w FROM drawn"
     else:
         passed = " + ".join(f"CASE WHEN u >= {v} THEN 1 ELSE 0 END" for v in bs.poisson_bounds())
-        weights = f"SELECT rep, block_id, {passed} AS w FROM ({drawn})"
+        made, weights = [], f"SELECT rep, block_id, {passed} AS w FROM ({draw_sql(slots, SEED, 'rep', 'block_id')})"
     if metric == "MedianAE":
         value = f"""SELECT d.rep, p.model_name, QUANTILE_CONT(ABS(p.prediction - p.actual), 0.5) AS value
             FROM (SELECT rep, block_id, unnest(generate_series(1, w)) AS k FROM ({weights})) d
@@ -100,7 +146,7 @@ def bootstrap_sql(metric: str, method: str = "multinomial") -> str:
         value = f"""SELECT d.rep, x.model_name, {METRIC_SUMS[metric]} AS value
             FROM ({weights}) d JOIN block_sums x ON x.block_id = d.block_id GROUP BY 1, 2"""
     return s.with_(
-        [*s.predictions(), *BLOCKS, f"per_model AS ({value})"],
+        [*s.predictions(), *BLOCKS, *made, f"per_model AS ({value})"],
         f"""SELECT a.model_name AS model_a, b.model_name AS model_b, '{metric}' AS metric,
               AVG(a.value - b.value) AS mean_difference,
               QUANTILE_CONT(a.value - b.value, 0.5) AS median_difference,
@@ -109,6 +155,7 @@ def bootstrap_sql(metric: str, method: str = "multinomial") -> str:
               {REPS} AS n_bootstrap, '{bs.UNIT}' AS bootstrap_unit
             FROM per_model a JOIN per_model b ON b.rep = a.rep AND a.model_name < b.model_name
             GROUP BY 1, 2""",
+        recursive=bool(made),
     )
 
 

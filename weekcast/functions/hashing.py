@@ -6,6 +6,7 @@ overflows under ANSI arithmetic.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +48,19 @@ def draw63(seed: int, rep: str, index: str) -> Column:
     c = mix((i.bitwiseAND(mask) + a + F.lit(INCREMENT)).bitwiseAND(mask))
     c = mix(F.shiftright(i, 32).bitwiseXOR(c))
     return b.bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(2**32) + c
+
+
+def _mix_array(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = (((x >> np.uint64(16)) ^ x) * np.uint64(MULTIPLIER)) & np.uint64(MASK)
+    return (x >> np.uint64(16)) ^ x
+
+
+def draw63_array(seed: int, rep: np.ndarray | int, index: np.ndarray) -> np.ndarray:
+    """``draw63`` on arrays of whole numbers."""
+    i, mask = np.asarray(index, np.uint64), np.uint64(MASK)
+    a = _mix_array(np.asarray(rep, np.uint64) ^ np.uint64(mix_int(seed)))
+    b = _mix_array((i & mask) ^ a)
+    c = _mix_array(((i & mask) + a + np.uint64(INCREMENT)) & mask)
+    c = _mix_array((i >> np.uint64(32)) ^ c)
+    return ((b & np.uint64(0x7FFFFFFF)) << np.uint64(32)) | c
