@@ -184,6 +184,58 @@ def histogram_query(ctes: list[str], values: str, bins: int) -> str:
 HIST_SPEC = "measure bin:i bin_start:6 bin_end:6 count:i density:6"
 
 
+def adf_sql(max_lags: int | None = None) -> list[str]:
+    """``adf`` (series_id, adf_stat, adf_pvalue, adf_lags) from one Gram matrix per series: sweeping
+    its columns one by one gives every candidate's residual sum of squares, and a second matrix,
+    with the level's column last, the statistic of the chosen one."""
+    lags = "CAST(least(ceil(12 * pow(n / 100.0, 0.25)), n // 2 - 2{}) AS INTEGER)".format("" if max_lags is None else f", {max_lags}")
+    taken = lambda name, first: f"list_transform(range({first} + 1, n), lambda i: {name}[i])"
+    lagged = lambda first, upto: f"list_transform(range(1, {upto} + 1), lambda j: list_transform(range({first} + 1, n), lambda i: d[i - j]))"
+    gram = "list_transform(cols, lambda a: list_transform(cols, lambda b: list_inner_product(a, b)))"
+    swept = """list_transform(g, lambda r: list_transform(range(1, len(g) + 1),
+        lambda j: r[CAST(j AS INTEGER)] - r[p + 1] * g[p + 1][CAST(j AS INTEGER)] / g[p + 1][p + 1]))"""
+    surface = lambda c: " + ".join(f"{x!r} * pow(adf_stat, {k})" for k, x in enumerate(c))
+    # The normal distribution function as its power series.
+    normal = """0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 121),
+        lambda k: z * exp(2 * k * ln(greatest(abs(z), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1))))"""
+    return [
+        """ys AS (
+        SELECT series_id, n, y, list_transform(y, lambda v: v - list_avg(y)) AS e,
+               list_transform(range(1, n), lambda i: y[i + 1] - y[i]) AS d
+        FROM (SELECT series_id, CAST(COUNT(*) AS INTEGER) AS n, list(CAST(sales_units AS DOUBLE) ORDER BY week_start) AS y
+              FROM panel WHERE sales_units IS NOT NULL GROUP BY 1)
+        WHERE n >= 10 AND list_stddev_pop(y) > 0)""",
+        f"""candidates AS (
+        SELECT series_id, n, top, {gram} AS g FROM (
+          SELECT series_id, n, top, list_concat([list_transform(range(top + 1, n), lambda i: CAST(1 AS DOUBLE)), {taken("e", "top")}],
+            {lagged("top", "top")}, [{taken("d", "top")}]) AS cols
+          FROM (SELECT *, {lags} AS top FROM ys)))""",
+        f"""sweeps AS (
+        SELECT series_id, n, top, 0 AS p, g FROM candidates
+        UNION ALL
+        SELECT series_id, n, top, p + 1, {swept} FROM sweeps WHERE p < top + 2)""",
+        """chosen AS (
+        SELECT series_id, n, p - 2 AS lags FROM sweeps WHERE p >= 2
+        QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY
+          (n - 1 - top) * ln(greatest(g[top + 3][top + 3], 1e-300) / (n - 1 - top)) + 2 * p, p) = 1)""",
+        f"""refits AS (
+        SELECT series_id, n, lags, 0 AS p, {gram} AS g FROM (
+          SELECT c.series_id, c.n, lags, list_concat([list_transform(range(lags + 1, c.n), lambda i: CAST(1 AS DOUBLE))],
+            {lagged("lags", "lags").replace("n)", "c.n)")}, [{taken("e", "lags").replace("n)", "c.n)")}, {taken("d", "lags").replace("n)", "c.n)")}]) AS cols
+          FROM chosen c JOIN ys ON ys.series_id = c.series_id)
+        UNION ALL
+        SELECT series_id, n, lags, p + 1, {swept} FROM refits WHERE p < lags + 1)""",
+        f"""adf AS (
+        SELECT series_id, adf_stat, lags AS adf_lags,
+          CASE WHEN adf_stat > {se.ADF_MAX} THEN 1 WHEN adf_stat < {se.ADF_MIN} THEN 0 ELSE {normal} END AS adf_pvalue
+        FROM (SELECT *, CASE WHEN adf_stat <= {se.ADF_SWITCH} THEN {surface(se.ADF_LOW)} ELSE {surface(se.ADF_HIGH)} END AS z
+          FROM (SELECT series_id, lags, b / sqrt((tt - b * yt) / (n - 1 - lags - lags - 2) / yy) AS adf_stat
+            FROM (SELECT series_id, n, lags, g[lags + 2][lags + 2] AS yy, g[lags + 2][lags + 3] AS yt, g[lags + 3][lags + 3] AS tt,
+                    g[lags + 2][lags + 3] / g[lags + 2][lags + 2] AS b
+                  FROM refits WHERE p = lags + 1))))""",
+    ]
+
+
 def register(q: Registry) -> None:
     add = q.add
     for level, name in (("p_type", "category"), ("sku", "sku")):
@@ -541,15 +593,39 @@ def register(q: Registry) -> None:
                FROM pairs GROUP BY 1 HAVING COUNT(*) >= 9""",
         ),
     )
-    add(
-        "e19_adf_aic_lags",
-        "series_id adf_stat:6 adf_pvalue:6",
-        lambda sp, d: se.adf(panel_table(sp, d, "sku")),
-    )
+    for name, level, most in (("e19_adf_aic_lags", "sku", None), ("e19_adf_one_lag", "p_brand", 1)):
+        add(
+            name,
+            "series_id adf_stat:6 adf_pvalue:6 adf_lags:i",
+            lambda sp, d, level=level, most=most: se.adf(panel_table(sp, d, level), max_lags=most),
+            s.with_(
+                [*s.panel(level), *adf_sql(most)],
+                "SELECT x.series_id, adf_stat, adf_pvalue, adf_lags FROM (SELECT DISTINCT series_id FROM panel) x LEFT JOIN adf ON adf.series_id = x.series_id",
+                recursive=True,
+            ),
+        )
     add(
         "e20_stationarity",
         "series_id adf_stat:6 adf_pvalue:6 kpss_stat:6 kpss_pvalue:6 stationarity_hint",
         lambda sp, d: se.stationarity(panel_table(sp, d, "p_brand")),
+        s.with_(
+            [
+                *s.panel("p_brand"),
+                *RESIDUALS,
+                lag_products(60),
+                AUTO_LAGS,
+                f"stat AS ({KPSS_TAIL})",
+                f"kpss AS (SELECT *, {KPSS_P} FROM stat)",
+                *adf_sql(),
+            ],
+            f"""SELECT k.series_id, adf_stat, adf_pvalue, kpss_stat, kpss_pvalue,
+                  CASE WHEN adf_pvalue IS NULL OR kpss_pvalue IS NULL THEN 'inconclusive'
+                       WHEN adf_pvalue < {se.SIGNIFICANCE} AND kpss_pvalue > {se.SIGNIFICANCE} THEN 'likely_stationary'
+                       WHEN adf_pvalue >= {se.SIGNIFICANCE} AND kpss_pvalue <= {se.SIGNIFICANCE} THEN 'likely_non_stationary'
+                       ELSE 'mixed_signal' END AS stationarity_hint
+                FROM kpss k LEFT JOIN adf ON adf.series_id = k.series_id""",
+            recursive=True,
+        ),
     )
     for name, extend in (("extended", True), ("open_ends", False)):
         add(

@@ -7,6 +7,7 @@ from catalog.model_queries import SCENARIO_PREDICTIONS
 from catalog.registry import Registry
 from catalog.tables import baseline_rows, baseline_table, scenario_table
 from weekcast.functions import hashing
+from weekcast.functions.errors import METRICS
 from weekcast.operators import bootstrap as bs
 from weekcast.operators import charts as c
 from weekcast.operators import evaluate as ev
@@ -42,6 +43,12 @@ def draw_sql(source: str, seed: int, rep: str, index: str) -> str:
     return f"SELECT *, (mb & {0x7FFFFFFF}) * {2**32} + mc AS u FROM ({q})"
 
 
+def stream_sql(source: str, seed: int) -> str:
+    """``source`` plus ``u``: number ``k`` of the stream of (seed, r, name)."""
+    keyed = f"SELECT * EXCLUDE (ma, mb, mc, u), u & {hashing.MASK} AS low, ((u >> 32) << 32) | k AS i FROM ({draw_sql(source, seed, 'r', 'name')})"
+    return draw_sql(keyed, seed, "low", "i")
+
+
 MIXED = ("sku", "p_brand")
 
 
@@ -87,11 +94,10 @@ def splitting_sql() -> list[str]:
     bits = f"bit_count(u & ((CAST(1 AS BIGINT) << CAST(least({word}, greatest(n_bits - {word} * k, 0)) AS INTEGER)) - 1))"
     words = lambda n: f"unnest(generate_series(CAST(0 AS BIGINT), greatest(CAST(({n} + {word - 1}) // {word} AS BIGINT), 1) - 1)) AS k"
     chained = f"""SELECT c.*, c.u AS n_bits, (rep * 64 + least(t, 63)) * 8 + seg AS r, {words("c.u")} FROM chain c"""
-    chained = draw_sql(f"SELECT *, (greatest(t - 63, 0) << 32) + k AS i FROM (SELECT * EXCLUDE (u) FROM ({chained}))", SEED, "r", "i")
-    halved = f"SELECT *, c AS n_bits, rep * 512 + seg AS r, {words('c')} FROM tree WHERE level < depth AND c > 0"
-    halved = draw_sql(f"SELECT *, (CAST(node AS BIGINT) << 32) + k AS i FROM ({halved})", SEED, "r", "i")
-    local = "SELECT *, rep * 8 + seg AS r, unnest(generate_series(CAST(0 AS BIGINT), c - 1)) AS k FROM tree WHERE level = depth AND c > 0"
-    local = draw_sql(f"SELECT *, (CAST(node - (1 << depth) AS BIGINT) << 32) + k AS i FROM ({local})", SEED + 1, "r", "i")
+    chained = stream_sql(f"SELECT *, CAST(greatest(t - 63, 0) AS BIGINT) AS name FROM (SELECT * EXCLUDE (u) FROM ({chained}))", SEED)
+    halved = stream_sql(f"SELECT *, c AS n_bits, rep * 512 + seg AS r, node AS name, {words('c')} FROM tree WHERE level < depth AND c > 0", SEED)
+    local = "SELECT *, rep * 8 + seg AS r, node - (1 << depth) AS name, unnest(generate_series(CAST(0 AS BIGINT), c - 1)) AS k FROM tree WHERE level = depth AND c > 0"
+    local = stream_sql(local, SEED + 1)
     depth = f"list_filter(range(0, 40), lambda d: (n >> CAST(d AS INTEGER)) <= {cell})[1]"
     return [
         f"""segs AS (
@@ -181,6 +187,22 @@ def register(q: Registry) -> None:
             lambda sp, d, keys=keys, rows=mixed_rows if mixed else baseline_rows: ev.metrics(rows(sp, d), keys),
             s.with_(MIXED_SQL if mixed else s.predictions(), s.metrics(by)),
         )
+    every_key = ["model_name", "horizon", "segment_label", "category"]
+    cuts = " UNION ALL ".join(
+        "SELECT '{}' AS cut, {}, {} FROM ({})".format(
+            name,
+            ", ".join(k if k in by else f"NULL AS {k}" for k in every_key),
+            ", ".join(f'"{m}"' for m in METRICS),
+            s.metrics(", ".join(by)),
+        )
+        for name, by in ev.CUTS.items()
+    )
+    add(
+        "h5_metrics_all_cuts",
+        f"cut model_name horizon:i segment_label category {SPEC}",
+        lambda sp, d: ev.metrics_by_cuts(mixed_rows(sp, d)),
+        s.with_(MIXED_SQL, cuts),
+    )
     for name, metric in {
         "h1_wape": "WAPE:6",
         "h2_smape": "sMAPE:4",

@@ -64,3 +64,10 @@ def draw63_array(seed: int, rep: np.ndarray | int, index: np.ndarray) -> np.ndar
     c = _mix_array(((i & mask) + a + np.uint64(INCREMENT)) & mask)
     c = _mix_array((i >> np.uint64(32)) ^ c)
     return ((b & np.uint64(0x7FFFFFFF)) << np.uint64(32)) | c
+
+
+def stream63_array(seed: int, rep: np.ndarray | int, name: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Number ``k`` (below 2**32) of the stream of (seed, rep, name): the stream's own 63-bit number
+    takes the place of ``rep`` and of the index's upper half, so that streams share nothing."""
+    key = draw63_array(seed, rep, name)
+    return draw63_array(seed, key & np.uint64(MASK), ((key >> np.uint64(32)) << np.uint64(32)) | np.asarray(k, np.uint64))

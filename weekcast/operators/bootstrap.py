@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.errors import error_terms, metric_from_sums
-from weekcast.functions.hashing import draw63, draw63_array
+from weekcast.functions.hashing import draw63, draw63_array, stream63_array
 from weekcast.operators.ranking import running
 from weekcast.session import cut_lineage
 
@@ -110,7 +110,7 @@ def _ones(seed: int, rep: int, part: int, bit: int, nodes: np.ndarray, counts: n
             own = words[at:to] if to > at + 1 else np.array([min(1 << 20, int(words[at]) - lo)])
             which = np.repeat(np.arange(len(own)), own)
             k = np.arange(len(which)) - np.repeat(np.cumsum(own) - own, own) + lo
-            drawn = draw63_array(seed, (rep * 64 + bit) * 8 + part, (nodes[at:to][which].astype(np.uint64) << np.uint64(32)) + k.astype(np.uint64))
+            drawn = stream63_array(seed, (rep * 64 + bit) * 8 + part, nodes[at:to][which], k)
             bits = np.clip(counts[at:to][which] - WORD * k, 0, WORD).astype(np.uint64)
             out[at:to] += np.bincount(which, np.bitwise_count(drawn & ((np.uint64(1) << bits) - np.uint64(1))), len(own)).astype(np.int64)
         at = to
@@ -157,7 +157,7 @@ def weights(row: dict, seed: int, method: str) -> tuple[np.ndarray, np.ndarray]:
     counts = np.frombuffer(row["counts"], np.int64)
     which = np.repeat(np.arange(len(reps)), counts)
     j = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-    drawn = draw63_array(seed + 1, (reps[which] * 8 + row["part"]).astype(np.uint64), (row["local"] << 32) + j) % np.uint64(size)
+    drawn = stream63_array(seed + 1, reps[which] * 8 + row["part"], np.full(len(which), row["local"]), j) % np.uint64(size)
     return reps, np.bincount(which * size + drawn.astype(np.int64), minlength=len(reps) * size).reshape(len(reps), size)
 
 

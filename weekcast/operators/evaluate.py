@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +60,58 @@ def metrics(
     return sums.select(*by, *made)
 
 
+# The cuts of a comparison: every table of metrics, by the columns it groups by.
+CUTS = {
+    "overall": ("model_name",),
+    "by_horizon": ("model_name", "horizon"),
+    "by_segment": ("model_name", "segment_label"),
+    "by_category": ("model_name", "category"),
+}
+
+
+def metrics_by_cuts(predictions: DataFrame, cuts: Mapping[str, Sequence[str]] = CUTS) -> DataFrame:
+    """All metrics of several groupings: ``cut``, the columns of all of them (null where a cut
+    doesn't group by one) and the metrics.
+
+    The predictions are scanned and shuffled once, to one row per distinct error within the
+    finest groups; those rows are handed to every cut, and one ranking gives all medians. Rows
+    with a null group value are skipped by the cuts that use it.
+    """
+    keys = list(dict.fromkeys(k for by in cuts.values() for k in by))
+    kinds = dict(predictions.dtypes)
+    sums = ("cnt", "error", "abs_actual", "smape_term")
+    finest = (
+        predictions.withColumns({**error_terms(), "cnt": F.lit(1)})
+        .groupBy(*keys, "abs_error")
+        .agg(*[F.sum(c).alias(c) for c in sums])
+    )
+    handed = []
+    for name, by in cuts.items():
+        own = [(F.col(k) if k in by else F.lit(None).cast(kinds[k])).alias(k) for k in keys]
+        known = F.lit(True)
+        for k in by:
+            known = known & F.col(k).isNotNull()
+        handed.append(F.when(known, F.struct(F.lit(name).alias("cut"), *own)))
+    placed = finest.select(F.explode(F.array_compact(F.array(*handed))).alias("g"), "abs_error", *sums)
+    group = ["cut", *keys]
+    cells = placed.groupBy("g", "abs_error").agg(*[F.sum(c).alias(c) for c in sums]).select("g.*", "abs_error", *sums)
+    ranked = running(cells, [F.col("abs_error")], group, ["cnt"])
+    weighted = F.col("abs_error") * F.col("cnt")
+    summed = ranked.groupBy(*group).agg(
+        at_quantile("cum_cnt", "cnt", "total_cnt", "abs_error", 0.5).alias("MedianAE"),
+        F.sum("cnt").alias("n"),
+        F.sum(weighted).alias("abs_error"),
+        F.sum(weighted * F.col("abs_error")).alias("sq_error"),
+        *[F.sum(c).alias(c) for c in sums[1:]],
+    )
+    return summed.select(*group, *[metric_from_sums(m).alias(m) if m != "MedianAE" else F.col(m) for m in METRICS])
+
+
+def cut_of(table: DataFrame, name: str, cuts: Mapping[str, Sequence[str]] = CUTS) -> DataFrame:
+    """One grouping of a written table of ``metrics_by_cuts``."""
+    return table.where(F.col("cut") == name).select(*cuts[name], *METRICS)
+
+
 def overall(predictions: DataFrame) -> DataFrame:
     return metrics(predictions, ["model_name"]).orderBy("WAPE", "model_name")
 

@@ -25,6 +25,8 @@ ADF_LOW = (2.1659, 1.4412, 0.038269)
 ADF_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
 SIGNIFICANCE = 0.05
 MIN_TEST_WEEKS = 10
+#: Numbers of a stack of regressors.
+STACK = 1 << 21
 PERIOD = 52
 
 
@@ -196,61 +198,82 @@ def adf_p_value(stat: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
-def _adf_statistic(y: np.ndarray) -> float:
-    """t statistic of the level, lagged differences chosen by AIC over a common sample.
+def _design(y: np.ndarray, d: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """Regressors (constant, level, lagged differences) and target of series of one length."""
+    rows = np.arange(lags, d.shape[1])
+    level = y[:, rows] - y.mean(axis=1, keepdims=True)
+    columns = [np.ones_like(level), level, *[d[:, rows - j] for j in range(1, lags + 1)]]
+    return np.stack(columns, axis=2), d[:, rows]
 
-    The candidate models are nested, so one QR factorisation of the largest gives the
-    residual sum of squares of all of them.
+
+def adf_statistics(y: np.ndarray, max_lags: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """t statistics of the level and the lags chosen by AIC over a common sample, for stacked
+    series (one per row); NaN where regressors depend on each other.
+
+    The candidate models are nested, so one stacked QR factorisation of the largest gives the
+    residual sum of squares of all of them; a second one per chosen lag count refits.
     """
-    n = len(y)
-    top = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
-    d = np.diff(y)
-
-    def design(lags: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(lags, len(d))
-        columns = [np.ones(len(rows)), y[rows], *[d[rows - j] for j in range(1, lags + 1)]]
-        return np.column_stack(columns), d[rows]
-
-    x, target = design(top)
-    q, _ = np.linalg.qr(x)
-    explained = np.cumsum((q.T @ target) ** 2)[1:]
-    rss = np.maximum(target @ target - explained, 1e-300)
-    m = len(x)
-    aic = m * np.log(rss / m) + 2 * np.arange(2, top + 3)
-    x, target = design(int(np.argmin(aic)))
-    q, r = np.linalg.qr(x)
-    beta = np.linalg.solve(r, q.T @ target)
-    gap = target - x @ beta
-    inverse = np.linalg.inv(r)
-    variance = (gap @ gap) / (len(x) - x.shape[1]) * (inverse[1] @ inverse[1])
-    return float(beta[1] / math.sqrt(variance))
-
-
-def adf(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """Augmented Dickey–Fuller test with AIC lag choice; one array of weeks per row."""
+    n = y.shape[1]
+    top = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2, n if max_lags is None else max_lags)
+    d = np.diff(y, axis=1)
+    x, target = _design(y, d, top)
+    q = np.linalg.qr(x)[0]
+    explained = np.cumsum((np.swapaxes(q, 1, 2) @ target[:, :, None])[:, :, 0] ** 2, axis=1)[:, 1:]
+    rss = np.maximum((target * target).sum(axis=1)[:, None] - explained, 1e-300)
+    m = x.shape[1]
+    lags = (m * np.log(rss / m) + 2 * np.arange(2, top + 3)).argmin(axis=1)
+    out = np.full(len(y), np.nan)
+    for k in np.unique(lags):
+        own = np.flatnonzero(lags == k)
+        x, target = _design(y[own], d[own], int(k))
+        q, r = np.linalg.qr(x)
+        size = np.abs(np.diagonal(r, axis1=1, axis2=2))
+        sound = size.min(axis=1) > 1e-10 * size.max(axis=1)
+        own, x, target, q, r = own[sound], x[sound], target[sound], q[sound], r[sound]
+        inverse = np.linalg.inv(r)
+        beta = inverse @ (np.swapaxes(q, 1, 2) @ target[:, :, None])
+        gap = target - (x @ beta)[:, :, 0]
+        variance = (gap * gap).sum(axis=1) / (x.shape[1] - x.shape[2]) * (inverse[:, 1] ** 2).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[own] = beta[:, 1, 0] / np.sqrt(variance)
+    return out, lags
+
+
+def adf(panel: DataFrame, keys: Sequence[str] = ("series_id",), max_lags: int | None = None) -> DataFrame:
+    """Augmented Dickey–Fuller test with AIC lag choice; one array of weeks per row. Series of
+    one length go through the factorisations together, at most ``STACK`` numbers of them."""
     series = spread(histories(panel, keys), keys)
+    names = [*keys, "adf_stat", "adf_pvalue", "adf_lags"]
     schema = ", ".join(
-        [*[f"{k} {dict(series.dtypes)[k]}" for k in keys], "adf_stat double", "adf_pvalue double"]
+        [*[f"{k} {dict(series.dtypes)[k]}" for k in keys], "adf_stat double", "adf_pvalue double", "adf_lags int"]
     )
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            stats = []
-            for values in batch["y"]:
-                y = np.asarray(values, dtype=float)
-                usable = len(y) >= MIN_TEST_WEEKS and y.std() > 0
-                stats.append(_adf_statistic(y) if usable else None)
+            size = batch["y"].map(len).to_numpy()
+            stats, lags = np.full(len(batch), np.nan), np.zeros(len(batch), int)
+            for n in np.unique(size[size >= MIN_TEST_WEEKS]):
+                at = np.flatnonzero(size == n)
+                width = int(n) * (math.ceil(12.0 * (n / 100.0) ** 0.25) + 2)
+                for k in range(0, len(at), step := max(1, STACK // width)):
+                    some = at[k : k + step]
+                    y = np.array(batch["y"].iloc[some].tolist(), float)
+                    varies = y.std(axis=1) > 0
+                    if varies.any():
+                        stats[some[varies]], lags[some[varies]] = adf_statistics(y[varies], max_lags)
+            told = np.isfinite(stats)
             out = batch[list(keys)].copy()
-            out["adf_stat"] = pd.Series(stats, index=out.index, dtype="object")
-            out["adf_pvalue"] = [None if s is None else adf_p_value(s) for s in stats]
-            yield out
+            out["adf_stat"] = pd.Series([s if t else None for s, t in zip(stats, told)], index=out.index, dtype="object")
+            out["adf_pvalue"] = pd.Series([adf_p_value(s) if t else None for s, t in zip(stats, told)], index=out.index, dtype="object")
+            out["adf_lags"] = pd.Series([int(x) if t else None for x, t in zip(lags, told)], index=out.index, dtype="object")
+            yield out[names]
 
     return series.mapInPandas(test, schema)
 
 
 def stationarity(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Both tests and the verdict they give together."""
-    both = adf(panel, keys).join(kpss(panel, keys=keys).drop("kpss_lags"), list(keys), "full")
+    both = adf(panel, keys).drop("adf_lags").join(kpss(panel, keys=keys).drop("kpss_lags"), list(keys), "full")
     return both.withColumn("stationarity_hint", hint("adf_pvalue", "kpss_pvalue"))
 
 

@@ -84,13 +84,14 @@ def backtest(panel: DataFrame, experiment: Experiment = Experiment()) -> DataFra
 
 def compare(predictions: DataFrame, experiment: Experiment = Experiment()) -> dict[str, DataFrame]:
     """Comparison tables of a written prediction table."""
-    overall = cut_lineage(ev.overall(predictions))
-    by_segment = ev.metrics(predictions, ["model_name", "segment_label"])
+    cuts = cut_lineage(ev.metrics_by_cuts(predictions))  # one scan for all of them
+    overall = ev.cut_of(cuts, "overall").orderBy("WAPE", "model_name")
+    by_segment = ev.cut_of(cuts, "by_segment")
     return {
         "overall": overall,
-        "by_horizon": ev.by_horizon(predictions),
+        "by_horizon": ev.cut_of(cuts, "by_horizon").orderBy("model_name", "horizon"),
         "by_segment": by_segment,
-        "by_category": ev.metrics(predictions, ["model_name", "category"]),
+        "by_category": ev.cut_of(cuts, "by_category"),
         "bootstrap_ci": bootstrap_ci(
             predictions,
             n_bootstrap=experiment.bootstrap_samples,
