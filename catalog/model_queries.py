@@ -95,6 +95,41 @@ def holt_sql(alignment: str) -> list[str]:
     ]
 
 
+SEASONAL = (0.3, 0.1, 0.2, 0.95)
+
+
+def seasonal_sql() -> list[str]:
+    """The recursion over weeks with the coming 52 seasonal numbers as a list."""
+    alpha, beta, gamma, phi = SEASONAL
+    error = f"(x.y - (h.level + {phi} * h.trend) - h.season[1])"
+    return [
+        """idx AS (
+        SELECT series_id, week_start, CAST(sales_units AS DOUBLE) AS y,
+               ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY week_start) - 1 AS i FROM panel)""",
+        f"""season AS (
+        SELECT series_id, CAST(51 AS BIGINT) AS i, AVG(y) AS level, CAST(0 AS DOUBLE) AS trend,
+               list_transform(list(y ORDER BY i), lambda v: v - list_avg(list(y ORDER BY i))) AS season
+        FROM idx WHERE i < 52 GROUP BY 1
+        UNION ALL
+        SELECT h.series_id, x.i, h.level + {phi} * h.trend + {alpha} * {error},
+               {phi} * h.trend + {alpha * beta!r} * {error},
+               list_append(h.season[2:], h.season[1] + {gamma * (1 - alpha)!r} * {error})
+        FROM season h JOIN idx x ON x.series_id = h.series_id AND x.i = h.i + 1)""",
+        f"""steps AS (
+        SELECT horizon, list_sum(list_transform(range(1, horizon + 1), lambda k: pow({phi}, k))) AS damped
+        FROM (SELECT unnest(generate_series(1, 8)) AS horizon))""",
+        """predictions AS (
+        SELECT 'ets' AS model_name, 'statistical' AS model_family, x.series_id, p.category,
+               g.segment_label, w.forecast_origin, w.test_start AS target_date, w.horizon,
+               p.sales_units AS actual, z.level + d.damped * z.trend + z.season[CAST(w.horizon AS INTEGER)] AS prediction
+        FROM windows w JOIN idx x ON x.week_start = w.forecast_origin
+        JOIN season z ON z.series_id = x.series_id AND z.i = x.i
+        JOIN steps d ON d.horizon = w.horizon
+        JOIN panel p ON p.series_id = x.series_id AND p.week_start = w.test_start
+        LEFT JOIN segments g ON g.series_id = x.series_id)""",
+    ]
+
+
 TWO = ["lag_1", "lag_52"]
 
 
@@ -215,6 +250,21 @@ def register(q: Registry) -> None:
             ),
         )
 
+    def seasonal(weights):
+        def query(sp, d):
+            x = setup(sp, d)
+            return h.holt(x.panel, x.segments, x.windows, seasonal="add", weights=weights)
+
+        return query
+
+    add(
+        "g3_seasonal",
+        PREDICTION_SPEC,
+        seasonal(SEASONAL),
+        s.with_([*s.panel(), s.segments(), *s.windows(), *seasonal_sql()], "SELECT * FROM predictions", recursive=True),
+    )
+    add("g3_seasonal_fitted", PREDICTION_SPEC, seasonal(None))
+
     def ridge(sp, d):
         table = supervised_table(sp, d)
         return r.ridge(table, w.rolling_windows(table), NAMES)

@@ -1,4 +1,5 @@
-"""Holt's linear trend, its two weights chosen per series and week from a grid."""
+"""Holt's linear trend, its two weights chosen per series and week from a grid; with a season on
+request (``smoothing``)."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from weekcast.operators.baselines import at_last_week, at_origin
 from weekcast.operators.features import series_order
 from weekcast.operators.seasonality import spread
+from weekcast.operators.smoothing import seasonal_states
 
 # The grid of level and trend weights, and the shortest fitted history.
 ALPHAS = tuple(k / 10 for k in range(1, 11))
@@ -103,12 +105,28 @@ def _ahead(h: int, alignment: str, order: Window) -> Column:
     return F.lag("level", h).over(order) + h * F.lag("trend", h).over(order)
 
 
+def _with_forecasts(
+    panel: DataFrame, horizons: Sequence[int], alignment: str, keys: Sequence[str], seasonal: str | None, settings: dict
+) -> DataFrame:
+    """The panel's rows with ``_made``, a forecast per horizon."""
+    order = series_order(keys)
+    if seasonal is None:
+        return holt_states(panel, keys).withColumn("_made", F.array(*[_ahead(h, alignment, order) for h in horizons]))
+    if seasonal != "add":
+        raise ValueError(f"unknown season {seasonal!r}")
+    settings = {("periods" if k == "seasonal_periods" else k): v for k, v in settings.items()}
+    states = seasonal_states(panel, horizons, keys, **settings)
+    if alignment == "target":
+        return states.withColumnRenamed("made", "_made")
+    late = [F.lag(F.element_at("made", k + 1), h).over(order) for k, h in enumerate(horizons)]
+    return states.withColumn("_made", F.array(*late))
+
+
 def latest_holt(
-    panel: DataFrame, segments: DataFrame, horizons: Sequence[int], alignment: str = "target"
+    panel: DataFrame, segments: DataFrame, horizons: Sequence[int], alignment: str = "target", seasonal: str | None = None, **settings
 ) -> DataFrame:
     """Forecasts from the last week; no actuals are needed."""
-    order = series_order()
-    states = holt_states(panel).withColumn("_made", F.array(*[_ahead(h, alignment, order) for h in horizons]))
+    states = _with_forecasts(panel, horizons, alignment, ("series_id",), seasonal, settings)
     made = at_last_week(states, segments, horizons, F.col("_made"))
     return made.withColumn("model_name", F.lit("ets")).withColumn("model_family", F.lit("statistical"))
 
@@ -120,8 +138,11 @@ def holt(
     horizons: Sequence[int] = tuple(range(1, 9)),
     alignment: str = "target",
     keys: Sequence[str] = ("series_id",),
+    seasonal: str | None = None,
+    **settings,
 ) -> DataFrame:
-    """Backtest predictions.
+    """Backtest predictions; ``seasonal="add"`` with the settings of ``seasonal_states``
+    (``seasonal_periods``, ``refit_weeks``, ``damped``, ``weights``) adds a season.
 
     ``"target"`` projects the fit at the origin ``h`` weeks ahead, onto the week it is
     scored on. ``"reference"`` projects the fit at the training end, ``h`` weeks before
@@ -132,14 +153,8 @@ def holt(
         raise ValueError(f"unknown alignment {alignment!r}")
     order = series_order(keys)
 
-    def forecast(h: int):
-        return _ahead(h, alignment, order)
-
-    table = holt_states(panel, keys).withColumns(
-        {
-            **{f"target_h{h}": F.lead("sales_units", h).over(order) for h in horizons},
-            "_made": F.array(*[forecast(h) for h in horizons]),
-        }
+    table = _with_forecasts(panel, horizons, alignment, keys, seasonal, settings).withColumns(
+        {f"target_h{h}": F.lead("sales_units", h).over(order) for h in horizons}
     )
     extra = [k for k in keys if k != "series_id"]
     slot = F.array_position(F.array(*[F.lit(h) for h in horizons]), F.col("horizon")).cast("int")

@@ -44,15 +44,18 @@ def wide_to_long(sales_wide: DataFrame, calendar: DataFrame) -> DataFrame:
 def weekly_sales(sales: DataFrame, items: DataFrame, level: str) -> DataFrame:
     """Units per series and Monday week.
 
-    The lines are summed per item and week before the items are joined, so a hot item
-    enters the join with at most one row per week.
+    Category sums are combined where the lines lie and exchanged once; the items are joined
+    before that, by broadcast where the optimiser finds them small and else by shuffle, where
+    adaptive execution splits a hot item. Item sums meet the items as one row per week.
     """
     _level_keys(level)
     week = monday("date").alias("week_start")
     units = F.sum("units").alias("units")
-    summed = sales.groupBy("item_id", week).agg(units).join(items.select("item_id", "cat_id"), "item_id")
+    named = items.select("item_id", "cat_id")
     if level == "category":
-        summed = summed.groupBy("cat_id", "week_start").agg(units)
+        summed = sales.join(named, "item_id").groupBy("cat_id", week).agg(units)
+    else:
+        summed = sales.groupBy("item_id", week).agg(units).join(named, "item_id")
     return summed.select(
         *_level_columns(level), "week_start", F.col("units").cast("double").alias("sales_units")
     )
@@ -71,14 +74,16 @@ def item_store_price(prices: DataFrame, items: DataFrame, calendar: DataFrame) -
     The day counts have two rows per calendar week; joined by shuffle, the price rows
     would land in as many partitions as there are weeks.
     """
-    return (
-        prices.join(items.select("item_id", "cat_id"), "item_id")
-        .join(F.broadcast(day_counts(calendar)), "wm_yr_wk")
-        .groupBy("item_id", "cat_id", "store_id", "week_start")
+    per_store = (
+        prices.join(F.broadcast(day_counts(calendar)), "wm_yr_wk")
+        .groupBy("item_id", "store_id", "week_start")
         .agg(
             ratio(F.sum(F.col("sell_price") * F.col("day_count")), F.sum("day_count")).alias("price")
         )
     )
+    # The category comes last, at one row per item, store and week.
+    named = per_store.join(items.select("item_id", "cat_id"), "item_id")
+    return named.select("item_id", "cat_id", "store_id", "week_start", "price")
 
 
 def weekly_price(prices: DataFrame, items: DataFrame, calendar: DataFrame, level: str) -> DataFrame:

@@ -64,7 +64,8 @@ def forecast_saved(panel: DataFrame, path: str) -> DataFrame:
     if name in BASELINES:
         made = latest_baseline(panel, segments, name, horizons, told["alignment"])
     elif name == "ets":
-        made = latest_holt(panel, segments, horizons, told["alignment"])
+        own = {k: v for k, v in told["params"].items() if k != "alignment"}
+        made = latest_holt(panel, segments, horizons, told["alignment"], **own)
     else:
         kinds = {k: tuple(v) if isinstance(v, list) else v for k, v in told["features"].items()}
         table = supervised(panel, segments, Features(**kinds), ())

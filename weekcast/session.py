@@ -30,9 +30,15 @@ def build_session(app: str = "weekcast", master: str | None = None, **conf: str)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; where that is unset, one in
-    the warehouse, which executors share as well. Never a folder of one machine alone."""
+    the warehouse, which executors share as well. Never a folder of one machine alone: the
+    default warehouse lies below the driver's working directory, so a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    if named:
+        return named
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not local and spark.sparkContext.getConf().get("spark.sql.warehouse.dir") is None:
+        raise ValueError("set spark.checkpoint.dir, or spark.sql.warehouse.dir, to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
