@@ -2,12 +2,14 @@
 
 Texts are normalised byte for byte: A-Z lower-cased, ASCII characters that are no letter or
 digit turned into spaces, so every offset in the normalised text is one of the original.
-Every run of ``WINDOW`` consecutive words of a benchmark item (all words of a shorter item)
-is a pattern; one automaton over all of them scans each text once.
+A run of ``WINDOW`` consecutive words of a benchmark item (all words of a shorter item) is a
+window; one automaton over half windows scans each text once, and what surrounds a find is
+compared, so a text's words are hit just where it holds whole windows.
 
 The automaton is built in the tasks from the benchmark's texts, of which a task never gets
-more than ``PART_BYTES`` and one item at once: a larger benchmark is dealt into parts, and
-the texts are scanned once for each, with the finds so far written between the scans.
+more than ``PART_BYTES`` and one item at once, equal items counted once: a larger benchmark is
+dealt into parts, and the texts are scanned once for each, with the finds so far written
+between the scans.
 
 A null text has no words. A null or repeated item_id: the item's windows count as hits, but
 a null is not listed among the items, and an id is listed once. Repeated documents give one
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import partial
 
 import ahocorasick
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from weekcast.llm.common import map_texts, write_once
 
 WINDOW = 10
-PART_BYTES = 16 << 20
+#: Bytes of different benchmark texts in an automaton; it takes some fifty times as much memory.
+PART_BYTES = 4 << 20
 
 
 def _table() -> bytes:
@@ -46,24 +49,37 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(TABLE).split()
 
 
-def padded(found: list[bytes]) -> str:
+def padded(found: Sequence[bytes]) -> str:
     """Words with one space around each; Latin-1, so a character is a byte."""
     return f" {b' '.join(found).decode('latin-1')} "
 
 
 class Scanner:
-    """The automaton over the windows of (item id or None, text) pairs."""
+    """The automaton over blocks of the items' words, (item id or None, text) pairs.
 
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        owners: dict[str, set[str]] = {}
+    Blocks of half a window stand side by side in an item, so every window holds a whole one: a
+    tenth of the nodes that all windows would take. Where a block is met, the words around it are
+    compared, and if item and text agree on a whole window or more, all of those words are hit. An
+    item shorter than a window is one block."""
+
+    def __init__(self, items: Iterable[tuple[str | None, bytes]], window: int = WINDOW):
+        owners: dict[tuple[bytes, ...], set[str]] = {}
         for item, text in items:
-            found = words(text)
-            for k in range(max(1, len(found) - window + 1) if found else 0):
-                owners.setdefault(padded(found[k : k + window]), set()).update([] if item is None else [item])
+            if found := tuple(words(text)):
+                owners.setdefault(found, set()).update([] if item is None else [item])
+        self.window, self.size = window, (window + 1) // 2
+        self.items = list(owners.items())
+        blocks: dict[str, list[tuple[int, int]]] = {}
+        for i, (found, _) in enumerate(self.items):
+            if len(found) < window:
+                blocks.setdefault(padded(found), []).append((i, -1))
+            else:
+                for at in range(0, len(found) - self.size + 1, self.size):
+                    blocks.setdefault(padded(found[at : at + self.size]), []).append((i, at))
         self.automaton = ahocorasick.Automaton()
-        for pattern, ids in owners.items():
-            self.automaton.add_word(pattern, (pattern.count(" ") - 1, len(pattern), ids))
-        self.empty = not owners
+        for pattern, places in blocks.items():
+            self.automaton.add_word(pattern, (pattern.count(" ") - 1, len(pattern), places))
+        self.empty = not blocks
         if not self.empty:
             self.automaton.make_automaton()
 
@@ -73,15 +89,39 @@ class Scanner:
             return [], set()
         text = padded(found)
         runs: list[tuple[int, int]] = []
-        items: set[str] = set()
+        hit: set[str] = set()
+        done: dict[tuple[int, int], int] = {}
         spaces = None
-        for end, (n, size, ids) in self.automaton.iter(text):
+        for end, (n, size, places) in self.automaton.iter(text):
             if spaces is None:
                 spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32).tolist()
             first = bisect_left(spaces, end + 1 - size)
-            runs.append((first, first + n))
-            items |= ids
-        return joined(runs), items
+            for i, at in places:
+                own, ids = self.items[i]
+                if at < 0:
+                    runs.append((first, first + n))
+                    hit |= ids
+                elif done.get((i, first - at), -1) <= first:
+                    a, b, shift = first, first + n, at - first
+                    while a and a + shift and found[a - 1] == own[a - 1 + shift]:
+                        a -= 1
+                    while b < len(found) and b + shift < len(own) and found[b] == own[b + shift]:
+                        b += 1
+                    done[i, first - at] = b
+                    if b - a >= self.window:
+                        runs.append((a, b))
+                        hit |= ids
+        return joined(runs), hit
+
+
+_known: list = [None, 0, None]
+
+
+def scanner_of(items: list[tuple[str | None, bytes]], window: int) -> Scanner:
+    """The scanner of a broadcast list, made once in a Python worker."""
+    if _known[0] is not items or _known[1] != window:
+        _known[:] = [items, window, Scanner(items, window)]
+    return _known[2]
 
 
 def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -108,7 +148,7 @@ def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[
     """Each part's (item, text) pairs, when called: about ``part_bytes`` and one item at most."""
     bench = benchmark.select(
         benchmark["item_id"].cast("string").alias("item"), benchmark["text"].cast("binary").alias("words")
-    ).where("words IS NOT NULL")
+    ).where("words IS NOT NULL").distinct()
     total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     n = total // part_bytes + 1
 
@@ -138,7 +178,7 @@ def contamination(
         shared, last = docs.sparkSession.sparkContext.broadcast(share()), part == len(shares) - 1
 
         def start(shared=shared, last=last):
-            scanner = Scanner(shared.value, window)
+            scanner = scanner_of(shared.value, window)
 
             def look(batch: dict) -> tuple[list, list, list]:
                 split = [words(t or b"") for t in batch["text"]]
@@ -173,6 +213,7 @@ def contamination(
 
         if not last:
             state = write_once(map_texts(state, f"doc_id {key}, text binary, {runs}", start))
+            shared.destroy()
         else:
             state = map_texts(
                 state,
@@ -186,7 +227,7 @@ def contamination(
 def _hit(shared, window: int):
     @F.pandas_udf("boolean")
     def hit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(shared.value, window)
+        scanner = scanner_of(shared.value, window)
         for texts in parts:
             yield pd.Series([bool(scanner.scan(words(t or b""))[0]) for t in texts], dtype=bool)
 
@@ -198,8 +239,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     lies."""
     shares = benchmark_parts(benchmark, part_bytes)
     for part, share in enumerate(shares):
-        hit = _hit(docs.sparkSession.sparkContext.broadcast(share()), window)
-        docs = docs.where(~hit(docs[text_col].cast("binary")))
+        shared = docs.sparkSession.sparkContext.broadcast(share())
+        docs = docs.where(~_hit(shared, window)(docs[text_col].cast("binary")))
         if part < len(shares) - 1:
             docs = write_once(docs)
+            shared.destroy()
     return docs

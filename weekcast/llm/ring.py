@@ -99,7 +99,9 @@ def assign(docs: DataFrame, shards: int = 40, nodes: int = NODES, id_col: str =
         (F.coalesce(F.octet_length(docs[text_col]), F.lit(0)) + 16).cast("bigint").alias("size"),
         F.crc32(F.coalesce(docs[text_col], F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(key).alias("_hash"),
-        F.pmod(F.xxhash64(key, F.lit(1)), F.lit(SUBS)).cast("int").alias("_sub"),
+    ).withColumn(
+        # Different texts under one key, or under none, lie in different cells of their arc.
+        "_sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SUBS)).cast("int")
     ).withColumn("_cell", arc_of("_hash") * SUBS + F.col("_sub"))
     counts = np.zeros(len(place) * SUBS, np.int64)
     for r in rows.groupBy("_cell").count().collect():

@@ -56,6 +56,8 @@ class _Node:
     segments: dict[str, _Node] = field(default_factory=dict)
     #: Rules that end here, by the beginning of the next segment that they ask for.
     ends: dict[str, Rule] = field(default_factory=dict)
+    #: The lengths of those beginnings, the longest first.
+    sizes: list[int] = field(default_factory=list)
 
 
 class Trie:
@@ -71,6 +73,8 @@ class Trie:
             known = node.ends.get(begun)
             if known is None or (known.verdict, r.verdict) == ("allow", "block"):
                 node.ends[begun] = r  # of two equal entries the block stays
+                if len(begun) not in node.sizes:
+                    node.sizes = sorted([*node.sizes, len(begun)], reverse=True)
 
     def find(self, host: str, path: str) -> Rule | None:
         best: Rule | None = None
@@ -82,9 +86,12 @@ class Trie:
                 break
             below = node
             for segment in parts:
-                for begun, r in below.ends.items():
-                    if segment.startswith(begun) and (best is None or len(r.text) >= len(best.text)):
-                        best = r
+                # The longest beginning of the segment that is an entry; one lookup per length.
+                for size in below.sizes:
+                    r = below.ends.get(segment[:size]) if size <= len(segment) else None
+                    if r is not None:
+                        best = r if best is None or len(r.text) >= len(best.text) else best
+                        break
                 below = below.segments.get(segment)
                 if below is None:
                     break
