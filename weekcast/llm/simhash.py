@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from weekcast.llm import near_sets, shingle_sets
 from weekcast.llm.common import fresh, map_texts, write_once
 from weekcast.llm.components import components
+from weekcast.llm.forest import Forest
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SAMPLE, HEAVY = 2048, 4096
@@ -171,31 +172,6 @@ def part_rows(fps: np.ndarray, docs: np.ndarray, partition: Partition) -> dict[s
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
 
 
-class Forest:
-    """Links among the documents of one task; each document's smallest one reachable."""
-
-    def __init__(self, docs: np.ndarray):
-        self.docs, self.at = np.unique(docs, return_inverse=True)
-        self.root = np.arange(len(self.docs))
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Rows (positions in the input) that are linked."""
-        a, b = self.at[a], self.at[b]
-        while True:
-            x, y = self.root[a], self.root[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            while (self.root[self.root] != self.root).any():
-                self.root = self.root[self.root]
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        moved = np.flatnonzero(self.root != np.arange(len(self.root)))
-        return self.docs[moved], self.docs[self.root[moved]]
-
-
 def verify(value: np.ndarray, fp: np.ndarray, doc: np.ndarray, probe: np.ndarray, radius: int) -> Forest:
     """Of rows with the same part value, every row with every earlier one that isn't a probe."""
     order = np.lexsort((probe, value))
