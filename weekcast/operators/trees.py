@@ -88,13 +88,18 @@ def binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)], axis=1).astype(np.uint8)
 
 
+def _matrix(t: pa.Table | pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
+    """Rows of numbers; a null is NaN."""
+    return np.stack([t.column(c).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy() for c in names], axis=1).astype(np.float64)
+
+
 def blocks_of(table: DataFrame, features: Sequence[str], horizons: Sequence[int], cuts: Sequence[np.ndarray], groups: int | None = None) -> DataFrame:
     """Rows packed by week: ``group, weeks, bins, targets``. Few blocks get several groups of
     windows, so that all cores have work."""
     spark = table.sparkSession
     names = [f"target_h{h}" for h in horizons]
     day = F.datediff(F.col("week_start"), F.lit("1970-01-01").cast("date")).alias("week")
-    rows = table.dropna(subset=list(features)).select(
+    rows = table.select(
         day, *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], *[F.col(c).cast("double").alias(c) for c in names]
     )
 
@@ -103,9 +108,10 @@ def blocks_of(table: DataFrame, features: Sequence[str], horizons: Sequence[int]
 
         def full(t: pa.Table) -> pa.RecordBatch:
             t = t.sort_by("week")
-            x = np.stack([t.column(f"x{k}").to_numpy() for k in range(len(features))], axis=1)
-            y = np.stack([t.column(c).to_numpy() for c in names], axis=1)  # null: NaN
-            data = [t.column("week").to_numpy().astype(np.int64), binned(x, cuts), y.astype(np.float64)]
+            x = _matrix(t, [f"x{k}" for k in range(len(features))])
+            y = _matrix(t, names)
+            there = ~np.isnan(x).any(axis=1)
+            data = [t.column("week").to_numpy().astype(np.int64)[there], binned(x[there], cuts), y[there]]
             return pa.RecordBatch.from_arrays([pa.array([d.tobytes()]) for d in data], names=["weeks", "bins", "targets"])
 
         for batch in batches:
@@ -257,7 +263,9 @@ def _forecasts(rows: DataFrame, features: Sequence[str], model_name: str, forest
     kept = ["series_id", "category", "segment_label", "week_start"]
     horizons = sorted({int(h) for h in forest.horizon})
     actual = [F.col(f"target_h{h}") if f"target_h{h}" in rows.columns else F.lit(None) for h in horizons]
-    picked = rows.dropna(subset=list(features)).select(
+    # Rows lacking a feature are left out in the task: a filter over so many columns, each under
+    # a new name, keeps the optimiser busy for minutes.
+    picked = rows.select(
         *kept, *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)], *[a.cast("double").alias(f"y{h}") for a, h in zip(actual, horizons)]
     )
     no_number = F.lit(None).cast("double")
@@ -272,9 +280,10 @@ def _forecasts(rows: DataFrame, features: Sequence[str], model_name: str, forest
             if not batch.num_rows:
                 continue
             week = np.array(batch.column("week_start").cast(pa.date32()).cast(pa.int32()))
-            bins = binned(np.stack([batch.column(f"x{k}").to_numpy() for k in range(len(features))], axis=1), cuts)
-            for w in np.flatnonzero(np.isin(origin, np.unique(week))):
-                some = np.flatnonzero(week == origin[w])
+            x = _matrix(batch, [f"x{k}" for k in range(len(features))])
+            there, bins = ~np.isnan(x).any(axis=1), binned(x, cuts)
+            for w in np.flatnonzero(np.isin(origin, np.unique(week[there]))):
+                some = np.flatnonzero((week == origin[w]) & there)
                 h = int(forest.horizon[w])
                 at = pa.array(some)
                 made = [batch.column(c).take(at) for c in kept]
