@@ -103,6 +103,8 @@ def test_op8(rows, docs):
         want[d] = (start, len(ids), plain.crc(ids))
         start += len(ids)
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in rows("op8_token_store")} == want
+    found = {r["doc_id"]: (r["n_tokens"], plain.crc(r["ids"])) for r in rows("token_store_lookup")}
+    assert found == {d: x[1:] for d, x in want.items() if d % 20 == 0}
 
 
 def test_op9(rows, docs):

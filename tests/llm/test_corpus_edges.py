@@ -323,6 +323,30 @@ def test_store_blocks(spark, monkeypatch):
     assert sorted(x[1] for x in got)[1:] == np.cumsum([x[2] for x in sorted(got, key=lambda x: x[1])]).tolist()[:-1]
 
 
+def test_store_lookup_across_blocks(spark, monkeypatch):
+    """Key 50 fills several blocks and parts; asked keys are cut into lists of three."""
+    monkeypatch.setattr(token_store, "BLOCK_IDS", 60)
+    monkeypatch.setattr(token_store, "ASKED", 3)
+    texts = [(50 if k % 3 == 0 else k if k % 7 else None, f"some text {k} " * (k % 5)) for k in range(300)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    folder = new_folder(spark)
+    token_store.write_store(df, folder)
+    assert spark.read.parquet(folder).where("low_key <= 50 AND high_key >= 50").count() > 3
+    asked = spark.range(-20, 400).select(F.col("id").alias("doc_id")).unionByName(spark.createDataFrame([(None,), (2**62,)], "doc_id bigint"))
+    got = sorted((r["doc_id"], list(r["ids"])) for r in token_store.lookup(spark, folder, asked).collect())
+    words = token_store.encoder(token_store.tokenizer_path())
+    ids = [np.frombuffer(x, "<u2").tolist() + [1] for x in words.encode_many([t for _, t in texts])]
+    assert got == sorted((k, x) for (k, _), x in zip(texts, ids) if k is not None)
+    none = token_store.lookup(spark, folder, spark.createDataFrame([(-5,), (None,)], "doc_id bigint"))
+    assert none.count() == 0 and none.columns == ["doc_id", "ids"]
+
+
+def test_store_lookup_in_an_empty_store(spark):
+    folder = new_folder(spark)
+    token_store.write_store(spark.createDataFrame([], "doc_id bigint, text string"), folder)
+    assert token_store.lookup(spark, folder, spark.range(3).withColumnRenamed("id", "doc_id")).count() == 0
+
+
 def test_perfect_hash_rejects_strangers():
     keys = np.arange(0, 200_000, 2)
     index = token_store.PerfectHash.build(keys)
@@ -331,7 +355,8 @@ def test_perfect_hash_rejects_strangers():
     marks = np.zeros(len(keys), np.uint32)
     marks[index.slots(keys)] = token_store.fingerprints(keys)
     wrong = (slots >= 0) & (marks[slots] == token_store.fingerprints(keys + 1))
-    assert wrong.sum() <= 2 and index.bits.size < 3.5 * len(keys)
+    assert wrong.sum() <= 2 and 8 * index.bits.size < 3.5 * len(keys)
+    assert (index.ranks == [np.unpackbits(index.bits[: 64 * k]).sum() for k in range(len(index.ranks))]).all()
 
 
 def test_ring_moves_little(spark):

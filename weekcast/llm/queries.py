@@ -22,7 +22,7 @@ from weekcast.llm import (
     url_filter,
     weak_rules,
 )
-from weekcast.llm.common import read
+from weekcast.llm.common import new_folder, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,15 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(read(spark, sf_dir, "documents"))
 
 
+def token_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document whose key 20 divides, read from a store of all documents."""
+    docs = read(spark, sf_dir, "documents")
+    folder = new_folder(spark)
+    token_store.write_store(docs, folder)
+    found = token_store.lookup(spark, folder, docs.where("doc_id % 20 = 0"))
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -99,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_weak_rules": op7_weak_rules,
     "op8_token_store": op8_token_store,
+    "token_store_lookup": token_store_lookup,
     "op9_bpe": op9_bpe,
     "op10_ring": op10_ring,
     "op11_hard_negatives": op11_hard_negatives,

@@ -7,8 +7,9 @@ Spark writes to will do, and a reader asks for a block by its key range.
 
 The index is a minimal perfect hash: on every level each remaining key hashes to a bit, and
 keys that are alone on their bit stop there; a key's slot is the number of set bits before
-its own. Slot by slot the index holds a fingerprint of the key, the first id and the number
-of ids, so a lookup costs a few bit tests and one comparison, whatever the block's size.
+its own, for which counts are stored every 512 bits. Slot by slot the index holds a
+fingerprint of the key, its first row and the number of its rows, and row by row the place of
+the ids, so a lookup costs a few bit tests and one comparison, whatever the block's size.
 
 A null text has no ids but the end id. Rows with a null key are written but can't be looked
 up. Where a key is repeated, its rows stand side by side, in one block or in several whose
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import Remembered, keyed_texts, new_folder, slices
+from weekcast.llm.common import Remembered, keyed_texts, new_folder, slices, write_once
 
 FILE = "word_bpe_49k.json"
 END_ID = 1
@@ -119,12 +120,21 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys.astype(np.int64).view(np.uint64), 1_000_000) >> np.uint64(32)).astype(np.uint32)
 
 
+#: Bits between two stored rank counts, and the bytes that hold them.
+_STRIDE = 512
+_STRIDE_BYTES = _STRIDE // 8
+_AT_ONCE = 1 << 14
+_ONES = np.array([x.bit_count() for x in range(256)], np.uint8)
+
+
 @dataclass
 class PerfectHash:
-    """Bits of all levels one after another, and the length of each level."""
+    """Packed bits of all levels one after another, the length of each level, and the number
+    of set bits before every ``_STRIDE``-th bit: a key costs one stride per level at most."""
 
     bits: np.ndarray
     sizes: list[int]
+    ranks: np.ndarray
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
@@ -137,34 +147,44 @@ class PerfectHash:
             levels.append(alone)
             sizes.append(size)
             left = left[~alone[at]]
-        return cls(np.concatenate(levels) if levels else np.zeros(0, bool), sizes)
+        bits = np.packbits(np.concatenate(levels)) if levels else np.zeros(0, np.uint8)
+        bits = np.concatenate([bits, np.zeros(-len(bits) % _STRIDE_BYTES, np.uint8)])
+        per_stride = _ONES[bits].reshape(-1, _STRIDE_BYTES).sum(axis=1, dtype=np.int64)
+        return cls(bits, sizes, np.cumsum(per_stride) - per_stride)
+
+    def _rank(self, at: np.ndarray) -> np.ndarray:
+        """Set bits before the places ``at``."""
+        stride = at // _STRIDE
+        window = self.bits[(stride * _STRIDE_BYTES)[:, None] + np.arange(_STRIDE_BYTES)]
+        inside = at % _STRIDE
+        whole = np.arange(_STRIDE_BYTES) < (inside // 8)[:, None]
+        last = window[np.arange(len(at)), inside // 8] >> (8 - inside % 8).astype(np.uint8)
+        return self.ranks[stride] + (_ONES[window] * whole).sum(axis=1, dtype=np.int64) + _ONES[last]
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key; -1 for some keys that were not built in."""
-        rank = np.cumsum(self.bits) - 1
-        out = np.full(len(keys), -1)
-        rows, left, base = np.arange(len(keys)), keys.astype(np.int64).view(np.uint64), 0
+        keys = keys.astype(np.int64).view(np.uint64)
+        pieces = [self._slots(keys[k : k + _AT_ONCE]) for k in range(0, len(keys), _AT_ONCE)]
+        return np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+
+    def _slots(self, left: np.ndarray) -> np.ndarray:
+        out = np.full(len(left), -1, np.int64)
+        rows, base = np.arange(len(left)), 0
         for level, size in enumerate(self.sizes):
             at = base + (_mix(left, level) % np.uint64(size)).astype(np.int64)
-            hit = self.bits[at]
-            out[rows[hit]] = rank[at[hit]]
+            hit = (self.bits[at // 8] >> (7 - at % 8).astype(np.uint8)) & 1 == 1
+            out[rows[hit]] = self._rank(at[hit])
             rows, left, base = rows[~hit], left[~hit], base + size
         return out
 
-    def pack(self) -> bytes:
-        return np.packbits(self.bits).tobytes()
-
-    @classmethod
-    def unpack(cls, data: bytes, sizes: list[int]) -> PerfectHash:
-        return cls(np.unpackbits(np.frombuffer(data, np.uint8), count=sum(sizes)).astype(bool), sizes)
-
 
 # part: place of the range in key order; before: ids of earlier blocks of the same part;
-# keys: the keys of the rows in order; marks, firsts, lengths, copies: by slot of the index.
+# keys: the keys of the rows in order; starts: of the rows' ids in the block, and their end;
+# ranks: set bits before every stride; marks, slot_rows, slot_copies: by slot of the index.
 BLOCK = (
     "part int, block int, before bigint, n_ids bigint, n_rows bigint, n_null_keys bigint, low_key bigint,"
-    " high_key bigint, ids binary, keys binary, lengths binary, level_sizes array<bigint>, bits binary,"
-    " marks binary, slot_rows binary, slot_copies binary"
+    " high_key bigint, ids binary, keys binary, starts binary, level_sizes array<bigint>, bits binary,"
+    " ranks binary, marks binary, slot_rows binary, slot_copies binary"
 )
 
 
@@ -188,9 +208,10 @@ def _block(part: int, number: int, before: int, keys: list, ids: list[bytes]) ->
         "high_key": int(distinct[-1]) if len(distinct) else None,
         "ids": b"".join(ids),
         "keys": known.tobytes(),
-        "lengths": lengths.tobytes(),
+        "starts": np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64).tobytes(),
         "level_sizes": index.sizes,
-        "bits": index.pack(),
+        "bits": index.bits.tobytes(),
+        "ranks": index.ranks.tobytes(),
         "marks": marks.tobytes(),
         "slot_rows": rows.tobytes(),
         "slot_copies": many.tobytes(),
@@ -236,17 +257,22 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, id_col: s
 
 
 class Block:
-    """A block read back."""
-
-    def __init__(self, row: dict):
-        self.row = row
-        self.index = PerfectHash.unpack(row["bits"], row["level_sizes"])
-        self.ids = np.frombuffer(row["ids"], "<u2")
-        self.lengths = np.frombuffer(row["lengths"], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
-        self.marks = np.frombuffer(row["marks"], np.uint32)
-        self.rows = np.frombuffer(row["slot_rows"], np.int64)
-        self.copies = np.frombuffer(row["slot_copies"], np.int64)
+    """A block read back. Its arrays are views of the batch's bytes; nothing is unpacked."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.batch, self.row = batch, row
+        self.index = PerfectHash(self.array("bits", np.uint8), self.value("level_sizes"), self.array("ranks", np.int64))
+        self.ids = self.array("ids", "<u2")
+        self.starts = self.array("starts", np.int64)
+        self.marks = self.array("marks", np.uint32)
+        self.rows = self.array("slot_rows", np.int64)
+        self.copies = self.array("slot_copies", np.int64)
+
+    def value(self, name: str):
+        return self.batch.column(name)[self.row].as_py()
+
+    def array(self, name: str, kind) -> np.ndarray:
+        return np.frombuffer(self.batch.column(name)[self.row].as_buffer(), kind)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row of each key and the number of its rows; -1 and 0 for keys not stored
@@ -265,13 +291,13 @@ class Block:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield Block(batch.slice(k, 1).to_pylist()[0])
+            yield Block(batch, k)
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files alone: ``doc_id, start, n_tokens, ids_crc32``. Every key
     is looked up through the index of its block."""
-    blocks = spark.read.parquet(folder)
+    blocks = spark.read.parquet(folder).drop("low_key", "high_key", "block")
     out = spark.createDataFrame([], "doc_id bigint, part int, place bigint, n_tokens bigint, ids_crc32 bigint").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,40 +305,76 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
         arrow = to_arrow_schema(out)
         for b in _blocks(batches):
-            keys = np.unique(np.frombuffer(b.row["keys"], np.int64))
+            keys = np.unique(b.array("keys", np.int64))
             first, many = b.find(keys)
-            rows = [(None, i) for i in range(b.row["n_null_keys"])]
+            rows = [(None, i) for i in range(b.value("n_null_keys"))]
             rows += [(k, f + j) for k, f, n in zip(keys.tolist(), first.tolist(), many.tolist()) for j in range(n)]
+            part, before = b.value("part"), b.value("before")
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": [k for k, _ in rows],
-                    "part": [b.row["part"]] * len(rows),
-                    "place": [b.row["before"] + int(b.starts[i]) for _, i in rows],
-                    "n_tokens": [int(b.lengths[i]) for _, i in rows],
+                    "part": [part] * len(rows),
+                    "place": [before + int(b.starts[i]) for _, i in rows],
+                    "n_tokens": [int(b.starts[i + 1] - b.starts[i]) for _, i in rows],
                     "ids_crc32": [zlib.crc32(b.of_row(i).astype("<u4").tobytes()) for _, i in rows],
                 },
                 schema=arrow,
             )
 
     # One total per range: as many rows as there are partitions, not documents.
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    totals = spark.read.parquet(folder).groupBy("part").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     rows = blocks.mapInArrow(run, out).join(bases, "part")
     return rows.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
+#: Keys that one copy of a block is asked for.
+ASKED = 1 << 16
+
+
+def _asked(blocks: DataFrame, keys: DataFrame) -> DataFrame:
+    """``part, block, asked``: the blocks that may hold each key, in lists of at most ``ASKED``
+    keys. A binary search over the ranges of the parts, as many as there were tasks when the
+    store was written, gives the part; there, the number of blocks that begin at or before the
+    key, and of those that end before it, bound its blocks (several where a repeated key
+    spans them)."""
+    ranges = blocks.groupBy("part").agg(F.min("low_key").alias("low"), F.max("high_key").alias("high")).orderBy("low", "part").collect()
+    parts, lows, highs = (np.array([r[c] for r in ranges], np.int64) for c in ("part", "low", "high"))
+
+    def between(batches):
+        for batch in batches:
+            x = batch["key"].to_numpy()
+            first, end = np.searchsorted(highs, x, "left"), np.searchsorted(lows, x, "right")
+            many = np.maximum(end - first, 0)
+            at = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            yield batch.iloc[np.repeat(np.arange(len(x)), many)].assign(part=parts[at].astype(np.int32))
+
+    wanted = keys.mapInPandas(between, "key bigint, part int")
+    edges = blocks.select("part", "block", F.inline(F.expr("array(struct(low_key AS key, 0 AS kind), struct(high_key AS key, 2 AS kind))")))
+    # At equal keys a block begins before, and ends after, the key that is asked for.
+    so_far = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    events = wanted.withColumns({"block": F.lit(None).cast("int"), "kind": F.lit(1)}).unionByName(edges)
+    placed = events.select(
+        "part",
+        "key",
+        "kind",
+        F.max(F.when(F.col("kind") == 0, F.col("block"))).over(so_far).alias("latest"),
+        F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(so_far).alias("begun"),
+        F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).over(so_far).alias("ended"),
+        F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).over(so_far).alias("n"),
+    ).where("kind = 1 AND begun > ended")
+    each = placed.select("part", "key", "n", F.explode(F.expr("sequence(CAST(latest - begun + ended + 1 AS INT), latest)")).alias("block"))
+    return each.groupBy("part", "block", F.floor(F.col("n") / ASKED)).agg(F.collect_list("key").alias("asked")).select("part", "block", "asked")
+
+
 def lookup(spark: SparkSession, folder: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """``doc_id, ids`` of the given keys, whose number a block's range bounds: keys are joined
-    to the blocks whose range they lie in, and each is found through the index."""
+    """``doc_id, ids`` of the given keys, a row per stored row: each key is led to its block and
+    found there through the index. Null keys and keys that are not stored give no row."""
     blocks = spark.read.parquet(folder).where("low_key IS NOT NULL")
-    ranges = blocks.select("part", "block", "low_key", "high_key")
-    wanted = keys.select(keys[key_col].cast("bigint").alias("wanted")).where("wanted IS NOT NULL").distinct()
-    per_block = (
-        wanted.join(ranges, wanted["wanted"].between(ranges["low_key"], ranges["high_key"]))
-        .groupBy("part", "block")
-        .agg(F.collect_list("wanted").alias("asked"))
-    )
+    wanted = keys.select(keys[key_col].cast("bigint").alias("key")).where("key IS NOT NULL").distinct()
+    asked = write_once(_asked(blocks.select("part", "block", "low_key", "high_key"), wanted))
+    parts = [r["part"] for r in asked.select("part").distinct().collect()]  # no more than tasks wrote the store
     out = spark.createDataFrame([], "doc_id bigint, ids array<int>").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,14 +382,15 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame, key_col: str = "do
 
         arrow = to_arrow_schema(out)
         for b in _blocks(batches):
-            asked = np.array(b.row["asked"], np.int64)
-            first, many = b.find(asked)
-            found = [(k, b.of_row(f + j)) for k, f, n in zip(asked.tolist(), first.tolist(), many.tolist()) for j in range(n)]
+            keys = np.array(b.value("asked"), np.int64)
+            first, many = b.find(keys)
+            found = [(k, b.of_row(f + j)) for k, f, n in zip(keys.tolist(), first.tolist(), many.tolist()) for j in range(n)]
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": [k for k, _ in found], "ids": [x.astype(np.int32) for _, x in found]}, schema=arrow
             )
 
-    return blocks.join(per_block, ["part", "block"]).mapInArrow(run, out)
+    held = blocks.drop("keys", "before", "n_ids", "n_rows", "n_null_keys", "low_key", "high_key")
+    return held.where(F.col("part").isin(parts)).join(asked, ["part", "block"]).mapInArrow(run, out)
 
 
 def store_and_read(docs: DataFrame, path: str | None = None) -> DataFrame:
