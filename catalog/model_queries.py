@@ -32,7 +32,7 @@ from weekcast.plans.predict import score_baselines, score_ridge
 from weekcast.plans.experiment import Experiment, backtest
 from weekcast.plans.winner import forecast_saved, save_final
 from weekcast.session import cut_lineage, shared_folder
-from weekcast.sources.sinks import write_table
+from weekcast.sources.sinks import complete_runs, read_run, write_table, write_tables
 
 PREDICTION_SPEC = """model_name model_family series_id category segment_label forecast_origin
     target_date horizon:i actual:2 prediction:4"""
@@ -354,6 +354,28 @@ def register(q: Registry) -> None:
                FROM weekly CROSS JOIN (SELECT unnest(['first', 'second']) AS run) GROUP BY run""",
         ),
     )
+    def complete(sp, d):
+        """One whole run of two tables, and one that broke off after its first table."""
+        root, weekly = f"{shared_folder(sp)}/tables/{uuid.uuid4().hex}", weekly_table(sp, d)
+        write_table(weekly, root, "broken", "weekly")
+        write_tables({"weekly": weekly, "predictions": baseline_rows(sp, d)}, root, "whole")
+        read = [
+            table.agg(F.count(F.lit(1)).alias("rows_read")).withColumn("name", F.lit(name))
+            for name, table in read_run(sp, root, "whole").items()
+        ]
+        return complete_runs(sp, root).join(read[0].unionByName(read[1]), "name")
+
+    add(
+        "a5_complete_runs",
+        "run_id name rows:i rows_read:i",
+        complete,
+        s.with_(
+            s.predictions(),
+            """SELECT 'whole' AS run_id, name, rows, rows AS rows_read FROM (
+                 SELECT 'weekly' AS name, COUNT(*) AS rows FROM weekly
+                 UNION ALL SELECT 'predictions', COUNT(*) FROM predictions)""",
+        ),
+    )
     add(
         "g8_best_model",
         "model_name WAPE:6",

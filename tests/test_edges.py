@@ -15,7 +15,7 @@ from weekcast.operators import panel as p
 from weekcast.operators import ranking as rk
 from weekcast.operators import scenarios as sc
 from weekcast.operators.segments import segment_series
-from weekcast.sources.sinks import write_table
+from weekcast.sources.sinks import complete_runs, read_run, write_table, write_tables
 
 
 def by_series(df):
@@ -281,3 +281,21 @@ def test_wide_csv_round_trip(spark, tmp_path):
     assert raw.calendar.count() == 3
     days = {str(r.week_start): r.day_count for r in p.day_counts(raw.calendar).collect()}
     assert days == {"2011-01-24": 2, "2011-01-31": 1}
+
+
+def test_only_complete_runs_are_read(spark, make_panel, tmp_path):
+    panel, root = make_panel({"a": [1, 2, 3]}), str(tmp_path)
+    assert complete_runs(spark, root).count() == 0
+    broken = panel.withColumn("bad", F.assert_true(F.col("sales_units") < 3))
+    with pytest.raises(Exception, match="sales_units"):
+        write_tables({"first": panel, "second": broken}, root, "2026-01-05")
+    with pytest.raises(ValueError, match="no complete run"):
+        read_run(spark, root, "2026-01-05")
+    empty = panel.where("sales_units > 9")
+    write_tables({"first": panel, "none": empty}, root, "2026-01-06")
+    runs = sorted(tuple(r) for r in complete_runs(spark, root).collect())
+    assert runs == [("2026-01-06", "first", 3), ("2026-01-06", "none", 0)]
+    tables = read_run(spark, root, "2026-01-06")
+    assert tables["first"].count() == 3 and tables["none"].columns == panel.columns
+    with pytest.raises(ValueError, match="manifest"):
+        write_tables({"manifest": panel}, root, "2026-01-07")
