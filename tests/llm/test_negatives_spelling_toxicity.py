@@ -223,3 +223,10 @@ def test_corpus_frequencies_cover_all_documents(spark):
     k = model.names.index("=zonkhead")
     assert model.idf[k] == pytest.approx(math.log(301 / 61) + 1)
     assert counts.where(F.size("terms") > 0).count() == 60
+
+
+def test_every_significant_term_is_in_the_model(spark):
+    bad = [f"zonk{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    rows = [(k, " ".join(bad[j % 200] for j in range(k, k + 40)) if k < 200 else f"quiet words about the weather {k}") for k in range(400)]
+    examples = spark.createDataFrame([(k, t, k < 200) for k, t in rows], "doc_id bigint, text string, toxic boolean")
+    assert {"=" + w for w in bad} <= set(toxicity.choose_terms(examples))

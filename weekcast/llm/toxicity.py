@@ -1,8 +1,8 @@
 """13. Toxicity from the nearest labelled examples.
 
 Terms are words (lower-cased) and their first and last four to six letters. The model's terms are
-those that toxic examples have significantly more often (log-likelihood ratio), the ``MOST_TERMS``
-strongest. A text's vector holds ``(1 + ln tf) * idf`` of these terms at length one; document
+all those that toxic examples have significantly more often (log-likelihood ratio); their number is
+bounded by the examples' words. A text's vector holds ``(1 + ln tf) * idf`` of these terms at length one; document
 frequencies come from all documents.
 
 The examples lie in an inverted index in blocks: per term and block the postings and their largest
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from weekcast.llm.common import keyed_texts, map_texts, slices, write_once
 
-MOST_ROWS, MOST_TERMS, LEAST_G2, LEAST_TEXTS = 20_000, 128, 30.0, 5
+MOST_ROWS, LEAST_G2, LEAST_TEXTS = 20_000, 30.0, 5
 K, PRIOR_WEIGHT, BLOCK = 15, 0.5, 64
 ENDS = (4, 5, 6)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -88,8 +88,8 @@ def draw(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Data
     return write_once(one.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("toxic") != 0).alias("toxic")))
 
 
-def choose_terms(examples: DataFrame, most_terms: int = MOST_TERMS) -> list[str]:
-    """Terms of toxic examples, by the log-likelihood ratio of being in a text of either kind."""
+def choose_terms(examples: DataFrame) -> list[str]:
+    """All significant terms of toxic examples, the strongest first by the log-likelihood ratio of being in a text of either kind."""
     out = examples.sparkSession.createDataFrame([], "term string, bad bigint, good bigint").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def choose_terms(examples: DataFrame, most_terms: int = MOST_TERMS) -> list[str]
     part = lambda seen, rows, of: F.when(seen > 0, seen * F.log(seen * n / (rows * of))).otherwise(0.0)
     g2 = 2 * (part(a, a + b, n_bad) + part(b, a + b, n_good) + part(n_bad - a, n - a - b, n_bad) + part(n_good - b, n - a - b, n_good))
     strong = counted.where((a >= LEAST_TEXTS) & (a * n_good > b * n_bad)).select("term", g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
-    return [r["term"] for r in strong.orderBy(F.desc("g2"), "term").limit(most_terms).collect()]
+    return [r["term"] for r in strong.orderBy(F.desc("g2"), "term").collect()]
 
 
 def term_counts(texts: DataFrame, names: list[str]) -> DataFrame:
@@ -180,16 +180,28 @@ class Index:
             bound[self.block[x:y]] += q * self.largest[x:y]
         order = np.argsort(-bound, kind="stable")
         best, near, least, scored = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
+        # Few postings are added up at once, in the same order as block by block.
+        whole = None
+        if sum(int(self.cuts[y] - self.cuts[x]) for x, y in spans) <= 16 * self.n:
+            whole = np.zeros((self.n // BLOCK + 1) * BLOCK)
+            for (x, y), q in zip(spans, w):
+                p = slice(self.cuts[x], self.cuts[y])
+                whole[self.ids[p]] += q * self.weights[p]
         for at in order:
             if bound[at] <= 0 or (len(best) == k and bound[at] < least - _ROUNDING):
                 break
             scored += 1
-            found = np.zeros(BLOCK)
-            for (x, y), q in zip(spans, w):
-                e = x + int(np.searchsorted(self.block[x:y], at))
-                if e < y and self.block[e] == at:
-                    p = slice(self.cuts[e], self.cuts[e + 1])
-                    found[self.ids[p] - at * BLOCK] += q * self.weights[p]
+            if whole is not None:
+                found = whole[at * BLOCK : (at + 1) * BLOCK]
+            else:
+                found = np.zeros(BLOCK)
+                for (x, y), q in zip(spans, w):
+                    e = x + int(np.searchsorted(self.block[x:y], at))
+                    if e < y and self.block[e] == at:
+                        p = slice(self.cuts[e], self.cuts[e + 1])
+                        found[self.ids[p] - at * BLOCK] += q * self.weights[p]
+            if len(best) == k and found.max() < least - _ROUNDING:
+                continue
             own = np.flatnonzero(found > 0)
             if leave >= 0:
                 own = own[own + at * BLOCK != leave]
