@@ -6,7 +6,7 @@ import numpy as np
 import plain
 import pytest
 
-from weekcast.llm import shingle_sets, simhash
+from weekcast.llm import near_sets, shingle_sets, simhash
 from weekcast.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +64,15 @@ def test_rows_that_share_a_key(spark):
     for parts in (1, 5):
         df = spark.createDataFrame(rows, "doc_id bigint, text string, text_key string").repartition(parts)
         assert sorted(str(tuple(r)) for r in simhash.one_per_group(df).collect()) == want
+
+
+def test_search_after_candidates_misses_none(spark, monkeypatch):
+    # One part of the wide fingerprint finds few pairs; all others have to be found as well.
+    texts = edited(120)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    whole = near_sets.partition
+    monkeypatch.setattr(near_sets, "partition", lambda bits, n, budget: whole(bits, n, budget)[:1])
+    want = set(plain.near_copies(texts).values())
+    components = {r["component"] for r in near_sets.near_copies(df).collect()}
+    assert len(components) > len(want)
+    assert {r["doc_id"] for r in simhash.one_per_group(df).collect()} == want

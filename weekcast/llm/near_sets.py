@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from weekcast.llm.common import map_texts, write_once
 from weekcast.llm.components import components
 from weekcast.llm.forest import Forest
-from weekcast.llm.shingle_sets import LEAST, marks, node, shingles, text_key
+from weekcast.llm.shingle_sets import LEAST, apart, marks, node, shingles, text_key
 
 WIDTH, SKETCH = 768, 16
 #: Sketch bits that may differ: the mean of pairs at the least similarity and four deviations.
@@ -430,18 +430,10 @@ def similar(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     return write_once(map_texts(both.select("a", "b", "x", "y"), "a bigint, b bigint, near boolean", start))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    a, b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def near_copies(
+def linked(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, heavy: int = HEAVY, before: int = BEFORE, block: int = BLOCK
-) -> DataFrame:
-    """``doc_id, text_key, component`` of every row: rows have the same component if a chain of
-    pairs that were found and verified joins theirs."""
+) -> tuple[DataFrame, DataFrame]:
+    """The keyed sets of every row, and ``node, root`` of the sets that found and verified pairs join."""
     made = write_once(keyed_sets(docs, id_col, text_col))
     nodes = write_once(made.where("fp IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
     sample = nodes.select("fp").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
@@ -454,7 +446,14 @@ def near_copies(
     best = found.where("apart IS NOT NULL").groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     links = similar(write_once(best.select("a", "b")), whole, made).where("near").select("a", "b")
     roots = components(links)
-    forest = write_once(_apart(found, roots).union(across(full, roots, heavy)))
+    forest = write_once(apart(found, roots).union(across(full, roots, heavy)))
     if not forest.isEmpty():
         roots = components(links.union(write_once(verified_blocks(forest, roots, nodes, whole, made, block))))
+    return made, roots
+
+
+def near_copies(docs: DataFrame, *columns: str, **bounds: int) -> DataFrame:
+    """``doc_id, text_key, component`` of every row: rows have the same component if a chain of
+    pairs that were found and verified joins theirs."""
+    made, roots = linked(docs, *columns, **bounds)
     return made.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("component"))

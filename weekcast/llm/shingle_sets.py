@@ -275,18 +275,32 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return write_once(found.where("near").select("a", "b"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    a, b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+    joined = pairs.join(a, "a", "left").join(b, "b", "left")
+    return joined.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, known: DataFrame | None = None
+) -> DataFrame:
     """``doc_id, text_key, component`` of every row: rows have the same component if a chain
-    of sufficiently similar texts joins theirs."""
+    of sufficiently similar texts joins theirs. ``known`` (node, root): components of verified
+    links that were found before; pairs within them need no verification."""
     made = write_once(keyed_sets(docs, id_col, text_col))
     posts = made.where("rare IS NOT NULL").select("node", "n", F.posexplode("rare").alias("place", "shingle"))
     met = write_once(_map(posts.select("shingle", "node", "n", "place"), MET, _meet(heavy)))
-    pairs = met.where("place IS NULL").select("a", "b")
+    pairs = met.where("place IS NULL").select("a", "b").distinct()
+    if known is not None:
+        pairs = write_once(apart(pairs, known))
     full = met.where("place IS NOT NULL").select("shingle", F.col("a").alias("node"), F.col("b").cast("int").alias("n"), "place")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(full.select("node"))
     whole = docs.select(text_key(docs, text_col).alias("text_key"), docs[text_col].cast("binary").alias("text"))
     texts = node_texts(nodes, whole, made)
     links = similar(pairs, texts)
+    if known is not None:
+        links = links.union(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(links)
     if not full.isEmpty():
         rooted = full.join(roots, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root"))

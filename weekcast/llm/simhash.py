@@ -295,13 +295,14 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def one_per_group(docs: DataFrame, exact: bool = False) -> DataFrame:
+def one_per_group(docs: DataFrame) -> DataFrame:
     """Of texts that are near copies one row, the smallest by doc_id and then by its columns in
-    their order. Near copies come from SimHash candidates (``near_sets``), or from a search that
-    misses none (``exact``, ``shingle_sets``); both verify the similarity of the whole sets. Rows
-    that only share a doc_id stay, and so do rows without one."""
-    search = shingle_sets.near_copies if exact else near_sets.near_copies
-    found = write_once(search(docs).where("doc_id IS NOT NULL"))
+    their order. SimHash candidates (``near_sets``) connect most near copies; a search that misses
+    none (``shingle_sets``) then finds every link between texts that are still apart. Both verify
+    the similarity of the whole sets. Rows that only share a doc_id stay, and so do rows without
+    one."""
+    _, roots = near_sets.linked(docs)
+    found = write_once(shingle_sets.near_copies(docs, known=roots).where("doc_id IS NOT NULL"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
     placed = found.join(least, "component")
     key, group = fresh(docs, "text_key"), fresh(docs, "component")
