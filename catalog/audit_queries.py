@@ -7,7 +7,7 @@ from __future__ import annotations
 from catalog import sqlbase as s
 from catalog.feature_queries import SUMMARY_SQL
 from catalog.registry import Registry
-from catalog.tables import baseline_table, panel_table, weekly_table
+from catalog.tables import baseline_table, history_table, panel_table, weekly_table
 from weekcast.operators import audit as a
 from weekcast.operators import charts as c
 from weekcast.operators import evaluate as ev
@@ -33,7 +33,7 @@ def summary_sql(level: str) -> list[str]:
 
 def summary_table(sp, d, level="sku"):
     """Written once: rankings and totals read it more than once."""
-    return cut_lineage(a.series_summary(panel_table(sp, d, level)))
+    return cut_lineage(a.series_summary(history_table(sp, d, level)))
 
 
 def metric_sql(pairs: list[tuple[str, str]], source: str, name: str = "metric") -> str:
@@ -242,7 +242,7 @@ def register(q: Registry) -> None:
         add(
             f"e1_series_summary_{name}",
             SUMMARY_SPEC,
-            lambda sp, d, level=level: a.series_summary(panel_table(sp, d, level)),
+            lambda sp, d, level=level: a.series_summary(history_table(sp, d, level)),
             s.with_(summary_sql(level), "SELECT * FROM summary"),
         )
     add(
@@ -344,9 +344,9 @@ def register(q: Registry) -> None:
     )
 
     def categories(sp, d):
-        panel = panel_table(sp, d, "sku")
+        sparse = weekly_table(sp, d, "sku")
         counts = p.items_per_category(star_raw(sp, d).items)
-        return a.category_summary(panel, a.series_summary(panel), counts)
+        return a.category_summary(p.densify(sparse), a.series_summary(p.dense_histories(sparse)), counts)
 
     add(
         "e8_category_summary",
@@ -401,7 +401,7 @@ def register(q: Registry) -> None:
         add(
             f"e12_autocorrelation_{name}",
             ACF_SPEC,
-            lambda sp, d, level=level: a.autocorrelations(panel_table(sp, d, level)),
+            lambda sp, d, level=level: a.autocorrelations(history_table(sp, d, level)),
             s.with_([*s.panel(level), *acf_sql()], "SELECT * FROM acf"),
         )
     add(
@@ -509,8 +509,8 @@ def register(q: Registry) -> None:
     )
 
     def diagnostics(sp, d):
-        panel = panel_table(sp, d, "sku")
-        return a.diagnostic_summary(a.series_summary(panel), a.autocorrelations(panel))
+        histories = cut_lineage(history_table(sp, d, "sku").drop("runs"))
+        return a.diagnostic_summary(a.series_summary(histories), a.autocorrelations(histories))
 
     add(
         "e17_diagnostic_summary",
@@ -578,7 +578,7 @@ def register(q: Registry) -> None:
     add(
         "e19_adf_no_lags",
         "series_id adf_stat:6",
-        lambda sp, d: se.adf_no_lags(panel_table(sp, d, "sku")),
+        lambda sp, d: se.adf_no_lags(history_table(sp, d, "sku")),
         s.with_(
             [
                 *s.panel("sku"),
@@ -597,7 +597,7 @@ def register(q: Registry) -> None:
         add(
             name,
             "series_id adf_stat:6 adf_pvalue:6 adf_lags:i",
-            lambda sp, d, level=level, most=most: se.adf(panel_table(sp, d, level), max_lags=most),
+            lambda sp, d, level=level, most=most: se.adf(history_table(sp, d, level), max_lags=most),
             s.with_(
                 [*s.panel(level), *adf_sql(most)],
                 "SELECT x.series_id, adf_stat, adf_pvalue, adf_lags FROM (SELECT DISTINCT series_id FROM panel) x LEFT JOIN adf ON adf.series_id = x.series_id",
@@ -727,7 +727,7 @@ def register(q: Registry) -> None:
     add(
         "v7_acf_profile",
         "lag:i mean_acf:6",
-        lambda sp, d: c.acf_profile(a.autocorrelations(panel_table(sp, d, "sku"))),
+        lambda sp, d: c.acf_profile(a.autocorrelations(history_table(sp, d, "sku"))),
         s.with_(
             [*s.panel("sku"), *acf_sql()],
             " UNION ALL ".join(
@@ -738,7 +738,7 @@ def register(q: Registry) -> None:
     add(
         "v8_top_skus",
         "series_id category total_sales_units:2",
-        lambda sp, d: c.top_skus(a.series_summary(panel_table(sp, d, "sku"))),
+        lambda sp, d: c.top_skus(a.series_summary(history_table(sp, d, "sku"))),
         s.with_(
             [*summary_sql("sku"), RANKED], "SELECT * FROM ranked WHERE sales_rank <= 20"
         ),

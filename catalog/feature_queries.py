@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from catalog import sqlbase as s
 from catalog.panel_queries import PRICED_SQL, priced_panel
 from catalog.registry import Registry
-from catalog.tables import panel_table, scenario_table, setup, weekly_table
+from catalog.tables import history_table, panel_table, scenario_table, setup, weekly_table
 from weekcast.operators import features as f
 from weekcast.operators import scenarios as sc
 from weekcast.operators import windows as w
 from weekcast.operators.audit import series_summary
+from weekcast.operators.panel import dense_histories, densify
 from weekcast.operators.segments import segment_series, segment_summary
+from weekcast.session import cut_lineage
 
 KEY = "series_id week_start"
 
@@ -97,8 +99,8 @@ def register(q: Registry) -> None:
     )
 
     def coded(sp, d):
-        panel = panel_table(sp, d, "sku").withColumn("sku", F.col("series_id"))
-        return f.encode(panel, segment_series(panel), ["series_id"])
+        histories = cut_lineage(history_table(sp, d, "sku").drop("runs")).withColumn("sku", F.col("series_id"))
+        return f.encode(histories, segment_series(histories), ["series_id"])
 
     add(
         "c9_codes_sku",
@@ -207,8 +209,9 @@ def register(q: Registry) -> None:
     )
 
     def snapshot(sp, d):
-        panel = panel_table(sp, d, "sku")
-        return f.feature_snapshot(panel, segment_series(panel))
+        sparse = weekly_table(sp, d, "sku")
+        histories = cut_lineage(dense_histories(sparse).drop("runs"))
+        return f.feature_snapshot(densify(sparse), segment_series(histories), histories=histories)
 
     kept = [c for c in f.SNAPSHOT_COLUMNS if c not in (*KEY.split(), "category", "segment_label")]
     add(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import sqlbase as s
 from catalog.registry import Registry
-from catalog.tables import baseline_table, panel_table, scenario_table, weekly_table
+from catalog.tables import baseline_table, history_table, panel_table, scenario_table, weekly_table
 from weekcast.functions.columns import monday
 from weekcast.operators import panel as p
 from weekcast.operators import scenarios as sc
@@ -134,7 +134,7 @@ def register(q: Registry) -> None:
     add(
         "a3_panel_ok",
         "violation rows_affected:i",
-        lambda sp, d: p.check_panel(panel_table(sp, d, "sku")),
+        lambda sp, d: p.check_histories(history_table(sp, d, "sku")),
         s.with_(
             s.panel("sku"),
             """SELECT 'duplicate_key' AS violation, n AS rows_affected FROM (

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from weekcast.operators.baselines import baselines
-from weekcast.operators.panel import densify, weekly_sales
+from weekcast.operators.panel import dense_histories, densify, weekly_sales
 from weekcast.operators.segments import segment_series
 from weekcast.operators.windows import Backtest, rolling_windows
 from weekcast.session import cut_lineage
@@ -28,6 +28,11 @@ def panel_table(spark: SparkSession, sf_dir: str, level: str = "p_type") -> Data
     return densify(weekly_table(spark, sf_dir, level))
 
 
+def history_table(spark: SparkSession, sf_dir: str, level: str = "p_type") -> DataFrame:
+    """The dense panel with one row per series."""
+    return dense_histories(weekly_table(spark, sf_dir, level))
+
+
 def scenario_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(star_scenarios(spark, sf_dir))
 
@@ -42,7 +47,7 @@ class Setup:
 def setup(spark: SparkSession, sf_dir: str, level: str = "p_type", backtest: Backtest = Backtest()) -> Setup:
     sparse = weekly_table(spark, sf_dir, level)
     panel = densify(sparse)
-    return Setup(panel, segment_series(panel), rolling_windows(sparse, backtest))
+    return Setup(panel, segment_series(dense_histories(sparse)), rolling_windows(sparse, backtest))
 
 
 def baseline_rows(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.functions.columns import correlation_of, ratio, share
+from weekcast.functions.columns import correlation_of, ratio, share, total
 from weekcast.operators import segments as seg
 from weekcast.operators.features import calendar_columns, series_order
 from weekcast.operators.panel import resample
@@ -31,12 +31,10 @@ def _outlier_share() -> Column:
     return F.when(usable, F.size(far) / F.size("_values")).otherwise(0.0)
 
 
-def series_summary(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """One row per series: period, level, spread, zeros, outliers, trend, grid, segment."""
+def _stats(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
     y = F.col("sales_units")
     indexed = panel.withColumn("_i", (F.row_number().over(series_order(keys)) - 1).cast("double"))
-    n = F.col("history_weeks")
-    stats = indexed.groupBy(*keys).agg(
+    return indexed.groupBy(*keys).agg(
         F.min("week_start").alias("start_date"),
         F.max("week_start").alias("end_date"),
         F.sum(y).alias("total_sales_units"),
@@ -48,6 +46,37 @@ def series_summary(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> Da
         F.regr_slope(y, F.col("_i")).alias("_slope"),
         *seg.spread(),
     )
+
+
+def _history_stats(histories: DataFrame) -> DataFrame:
+    """The same figures within the row of a series."""
+    n = F.col("history_weeks")
+    middle = (n - 1) / 2
+    ranked = F.col("_ranked")
+    low = F.get(ranked, F.floor(middle).cast("int"))
+    high = F.get(ranked, F.ceil(middle).cast("int"))
+    gaps = F.transform("y", lambda v, i: (v - F.col("_mean")) * (i - middle))
+    return seg.with_each(
+        histories,
+        {
+            **seg.history_spread(),
+            "_ranked": F.sort_array("y"),
+            "total_sales_units": total(F.col("y")),
+            "mean_sales_units": F.col("_mean"),
+            "median_sales_units": (low + high) / 2,
+            "missing_share": F.lit(0.0),
+            "_values": F.col("y"),
+            # The squares of n positions around their mean add up to n (n^2 - 1) / 12.
+            "_slope": ratio(total(gaps), n * (n * n - 1) / 12),
+        },
+    )
+
+
+def series_summary(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """One row per series: period, level, spread, zeros, outliers, trend, grid, segment. ``panel``
+    has a row per week, or a row per series with its values ``y`` (``dense_histories``)."""
+    stats = _history_stats(panel) if "y" in panel.columns else _stats(panel, keys)
+    n = F.col("history_weeks")
     expected = F.floor(F.datediff("end_date", "start_date") / 7) + 1
     return (
         stats.withColumns(seg.rules())
@@ -342,9 +371,16 @@ def share_stability(panel: DataFrame, top_n: int = 50) -> DataFrame:
 def autocorrelations(
     panel: DataFrame, lags: Sequence[int] = ACF_LAGS, keys: Sequence[str] = ("series_id",)
 ) -> DataFrame:
-    """Lagged correlations per series, one column per lag."""
-    order = series_order(keys)
-    shifted = panel.withColumns({f"_lag_{k}": F.lag("sales_units", k).over(order) for k in lags})
+    """Lagged correlations per series, one column per lag. ``panel`` has a row per week, or a row
+    per series with its values ``y`` (``dense_histories``)."""
+    if "y" in panel.columns:
+        # Weeks leave their row in order, so no sort of the dense rows is needed for the lags.
+        at = panel.select(*keys, "y", F.posexplode("y").alias("_i", "sales_units"))
+        before = {f"_lag_{k}": F.get("y", F.col("_i") - k) for k in lags}
+        shifted = at.select(*keys, "sales_units", *[c.alias(name) for name, c in before.items()])
+    else:
+        order = series_order(keys)
+        shifted = panel.withColumns({f"_lag_{k}": F.lag("sales_units", k).over(order) for k in lags})
     return shifted.groupBy(*keys).agg(
         *[_autocorrelation(f"_lag_{k}", k).alias(f"acf_lag_{k}") for k in lags]
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.columns import clean, ratio
+from weekcast.functions.columns import total as array_total
 from weekcast.operators.ranking import codes
 
 # The groups each feature set turns on.
@@ -173,7 +174,10 @@ def supervised(
 
 def example_series(panel: DataFrame) -> DataFrame:
     """The highest-volume series of each category, ties by ``series_id``."""
-    totals = panel.groupBy("category", "series_id").agg(F.sum("sales_units").alias("total"))
+    if "y" in panel.columns:
+        totals = panel.select("category", "series_id", array_total(F.col("y")).alias("total"))
+    else:
+        totals = panel.groupBy("category", "series_id").agg(F.sum("sales_units").alias("total"))
     best = F.min(F.struct((-F.col("total")).alias("minus"), "series_id"))
     return (
         totals.groupBy("category")
@@ -182,9 +186,12 @@ def example_series(panel: DataFrame) -> DataFrame:
     )
 
 
-def feature_snapshot(panel: DataFrame, segments: DataFrame, rows: int = 20) -> DataFrame:
-    """Last ``rows`` rows, with ``lag_52`` where any exist, of each category's example series."""
-    chosen = example_series(panel).select("series_id")
+def feature_snapshot(
+    panel: DataFrame, segments: DataFrame, rows: int = 20, histories: DataFrame | None = None
+) -> DataFrame:
+    """Last ``rows`` rows, with ``lag_52`` where any exist, of each category's example series,
+    which are found in the ``histories`` of the panel, if given."""
+    chosen = example_series(panel if histories is None else histories).select("series_id")
     table = supervised(
         panel.join(chosen, "series_id", "left_semi"),
         segments.join(chosen, "series_id", "left_semi"),

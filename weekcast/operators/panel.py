@@ -103,6 +103,50 @@ def attach_price(panel: DataFrame, price: DataFrame) -> DataFrame:
     )
 
 
+def _spans(panel: DataFrame, keys: Sequence[str], week: str) -> DataFrame:
+    """Every row with the weeks it is stretched over, ``_start`` to ``_end``."""
+    bounds = panel.agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
+    w = Window.partitionBy(*keys).orderBy(week)
+    start = F.when(F.lag(week).over(w).isNull(), F.col("_lo")).otherwise(F.col(week))
+    end = F.coalesce(plus_weeks(F.lead(week).over(w), -1), F.col("_hi"))
+    return panel.withColumns(
+        {"_lo": bounds.select("lo").scalar(), "_hi": bounds.select("hi").scalar()}
+    ).withColumns({"_start": start, "_end": end})
+
+
+def dense_histories(
+    panel: DataFrame, keys: Sequence[str] = ("series_id",), week: str = "week_start"
+) -> DataFrame:
+    """The rows of ``densify``, one row per series: the smallest of its other columns, first
+    and last week, and the units ``y`` in week order, gaps zero.
+
+    Only the sparse rows are shuffled, sorted and grouped; the dense weeks exist within a row.
+    """
+    spans = _spans(panel, keys, week).where(F.col("_start").isNotNull() & F.col("_end").isNotNull())
+    statics = [c for c in panel.columns if c not in (*keys, week, "sales_units")]
+    value = F.coalesce(F.col("sales_units").cast("double"), F.lit(0.0)).alias("units")
+    run = F.struct("_start", "_end", F.col(week).alias("seen"), value)
+
+    def stretched(r: Column) -> Column:
+        last = F.floor(F.datediff(r["_end"], r["_start"]) / 7).cast("int")
+        seen = F.datediff(r["seen"], r["_start"])
+        return F.transform(
+            F.sequence(F.lit(0), last, F.lit(1)),
+            lambda k: F.when(k * 7 == seen, r["units"]).otherwise(F.lit(0.0)),
+        )
+
+    return (
+        spans.groupBy(*keys)
+        .agg(
+            *[F.min(c).alias(c) for c in statics],
+            F.min("_start").alias("start_date"),
+            F.max("_end").alias("end_date"),
+            F.sort_array(F.collect_list(run)).alias("runs"),
+        )
+        .withColumn("y", F.flatten(F.transform("runs", stretched)))
+    )
+
+
 def densify(
     panel: DataFrame,
     keys: Sequence[str] = ("series_id",),
@@ -116,16 +160,8 @@ def densify(
     same one the feature windows use afterwards.
     """
     fill = {"sales_units": 0.0} if fill is None else fill
-    bounds = panel.agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
-    w = Window.partitionBy(*keys).orderBy(week)
-    start = F.when(F.lag(week).over(w).isNull(), F.col("_lo")).otherwise(F.col(week))
-    end = F.coalesce(plus_weeks(F.lead(week).over(w), -1), F.col("_hi"))
-    spans = (
-        panel.withColumns(
-            {"_lo": bounds.select("lo").scalar(), "_hi": bounds.select("hi").scalar()}
-        )
-        .withColumns({"_start": start, "_end": end})
-        .withColumn("_week", F.explode(F.sequence("_start", "_end", F.expr("interval 7 days"))))
+    spans = _spans(panel, keys, week).withColumn(
+        "_week", F.explode(F.sequence("_start", "_end", F.expr("interval 7 days")))
     )
     observed = F.col("_week") == F.col(week)
     values = {
@@ -201,11 +237,32 @@ def check_panel(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataF
         ),
         F.sum(F.when(F.col("week_start").isNull(), 1).otherwise(0)).alias("null_week"),
     )
-    return found.unpivot([], found.columns, "violation", "rows_affected").where(
+    return _found(found)
+
+
+def _found(counts: DataFrame) -> DataFrame:
+    return counts.unpivot([], counts.columns, "violation", "rows_affected").where(
         "rows_affected > 0"
     )
 
 
+def check_histories(histories: DataFrame) -> DataFrame:
+    """``check_panel`` of the dense weeks of ``dense_histories``: every week of every series is
+    compared with the others of its row."""
+    runs = F.transform(
+        "runs", lambda r: F.sequence(r["_start"], r["_end"], F.expr("interval 7 days"))
+    )
+    checked = histories.select(F.flatten(runs).alias("weeks")).select(
+        "weeks", F.array_distinct("weeks").alias("distinct")
+    )
+    counts = checked.agg(
+        F.sum(F.size("weeks") - F.size("distinct")).alias("duplicate_key"),
+        F.sum(F.size(F.filter("distinct", lambda w: w != monday(w)))).alias("not_a_monday"),
+        F.sum(F.size(F.filter("distinct", lambda w: w.isNull()))).alias("null_week"),
+    )
+    return _found(counts)
+
+
 def require_panel(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Return the panel, or raise when ``check_panel`` finds anything."""
     found = check_panel(panel, keys).collect()  # at most three rows

@@ -32,6 +32,8 @@ PERIOD = 52
 
 def histories(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """One row per series with its known values in week order."""
+    if "y" in panel.columns:
+        return panel.select(*keys, "y")
     known = panel.where(F.col("sales_units").isNotNull())
     pairs = F.array_sort(F.collect_list(F.struct("week_start", "sales_units")))
     return known.groupBy(*keys).agg(
@@ -168,11 +170,14 @@ def kpss(panel: DataFrame, lags: int | None = None, keys: Sequence[str] = ("seri
 
 def adf_no_lags(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Dickey–Fuller t statistic without lagged differences, by built-in regression."""
-    order = series_order(keys)
-    before = F.lag("sales_units").over(order)
-    pairs = panel.withColumns({"_x": before, "_d": F.col("sales_units") - before}).where(
-        F.col("_d").isNotNull()
-    )
+    if "y" in panel.columns:
+        at = panel.select(*keys, "y", F.posexplode("y").alias("_i", "sales_units"))
+        before = F.get("y", F.col("_i") - 1)
+        pairs = at.select(*keys, before.alias("_x"), (F.col("sales_units") - before).alias("_d"))
+    else:
+        before = F.lag("sales_units").over(series_order(keys))
+        pairs = panel.withColumns({"_x": before, "_d": F.col("sales_units") - before})
+    pairs = pairs.where(F.col("_d").isNotNull())
     x, d = F.col("_x"), F.col("_d")
     fit = pairs.groupBy(*keys).agg(
         F.regr_slope(d, x).alias("_b"),

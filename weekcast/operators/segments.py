@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.functions.columns import ratio, share
+from weekcast.functions.columns import ratio, share, total
 
 # Thresholds of the segment rules.
 MIN_WEEKS = 26
@@ -29,6 +29,28 @@ def spread() -> list[Column]:
     ]
 
 
+def history_spread() -> dict[str, Column]:
+    """The same figures from the values ``y`` of a series' row."""
+    n, mean = F.size("y"), total(F.col("y")) / F.size("y")
+    squares = F.aggregate("y", F.lit(0.0), lambda s, v: s + (v - F.col("_mean")) * (v - F.col("_mean")))
+    # Equal values have no spread, whatever their mean rounds to.
+    varies = F.array_max("y") > F.array_min("y")
+    return {
+        "history_weeks": n.cast("bigint"),
+        "zero_share": F.size(F.filter("y", lambda v: v == 0)) / n,
+        "_mean": mean,
+        "variance": F.when(varies, squares / n).otherwise(F.lit(0.0)),
+        "_std": F.sqrt("variance"),
+    }
+
+
+def with_each(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Columns of which later ones use earlier ones."""
+    for name, made in columns.items():
+        df = df.withColumn(name, made)
+    return df
+
+
 def rules() -> dict[str, Column]:
     cv = ratio("_std", "_mean")
     sparse = F.col("zero_share") >= ZERO_SHARE
@@ -44,11 +66,11 @@ def rules() -> dict[str, Column]:
 
 
 def segment_series(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """One row per series: label, flags and the figures behind them."""
+    """One row per series: label, flags and the figures behind them. ``panel`` has a row per
+    week, or a row per series with its values ``y`` (``dense_histories``)."""
+    stats = with_each(panel, history_spread()) if "y" in panel.columns else panel.groupBy(*keys).agg(*spread())
     return (
-        panel.groupBy(*keys)
-        .agg(*spread())
-        .withColumns(rules())
+        stats.withColumns(rules())
         .select(
             *keys,
             "segment_label",
