@@ -5,7 +5,7 @@ from __future__ import annotations
 from catalog import sqlbase as s
 from catalog.model_queries import SCENARIO_PREDICTIONS
 from catalog.registry import Registry
-from catalog.tables import baseline_rows, baseline_table, scenario_table
+from catalog.tables import baseline_counted, baseline_rows, baseline_table, scenario_table
 from weekcast.functions import hashing
 from weekcast.functions.errors import METRICS
 from weekcast.operators import bootstrap as bs
@@ -52,10 +52,10 @@ def stream_sql(source: str, seed: int) -> str:
 MIXED = ("sku", "p_brand")
 
 
-def mixed_rows(sp, d):
-    """Predictions at two grains together: SKUs are intermittent, brands are not, so there is
-    more than one segment."""
-    return baseline_rows(sp, d, MIXED[0]).unionByName(baseline_rows(sp, d, MIXED[1]))
+def mixed_rows(sp, d, by=("segment_label",)):
+    """Counted predictions at two grains together: SKUs are intermittent, brands are not, so
+    there is more than one segment."""
+    return baseline_counted(sp, d, MIXED[0], by).unionByName(baseline_counted(sp, d, MIXED[1], by))
 
 
 MIXED_SQL = ["predictions AS (" + " UNION ALL ".join(
@@ -200,7 +200,7 @@ def register(q: Registry) -> None:
     add(
         "h5_metrics_all_cuts",
         f"cut model_name horizon:i segment_label category {SPEC}",
-        lambda sp, d: ev.metrics_by_cuts(mixed_rows(sp, d)),
+        lambda sp, d: ev.metrics_by_cuts(mixed_rows(sp, d, every_key[1:])),
         s.with_(MIXED_SQL, cuts),
     )
     for name, metric in {

@@ -99,7 +99,7 @@ def register(q: Registry) -> None:
     )
 
     def coded(sp, d):
-        histories = cut_lineage(history_table(sp, d, "sku").drop("runs")).withColumn("sku", F.col("series_id"))
+        histories = cut_lineage(history_table(sp, d, "sku").drop("runs", "y")).withColumn("sku", F.col("series_id"))
         return f.encode(histories, segment_series(histories), ["series_id"])
 
     add(
@@ -210,7 +210,7 @@ def register(q: Registry) -> None:
 
     def snapshot(sp, d):
         sparse = weekly_table(sp, d, "sku")
-        histories = cut_lineage(dense_histories(sparse).drop("runs"))
+        histories = cut_lineage(dense_histories(sparse).drop("runs", "y"))
         return f.feature_snapshot(densify(sparse), segment_series(histories), histories=histories)
 
     kept = [c for c in f.SNAPSHOT_COLUMNS if c not in (*KEY.split(), "category", "segment_label")]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekcast.operators.baselines import baselines
+from weekcast.operators.baselines import baseline_counts, baselines
 from weekcast.operators.panel import dense_histories, densify, weekly_sales
-from weekcast.operators.segments import segment_series
+from weekcast.operators.segments import labelled, segment_series
 from weekcast.operators.windows import Backtest, rolling_windows
 from weekcast.session import cut_lineage
 from weekcast.sources.star import star_raw, star_scenarios
@@ -58,6 +59,12 @@ def baseline_rows(
     return baselines(s.panel, s.segments, s.windows, alignment=alignment)
 
 
+def baseline_counted(spark: SparkSession, sf_dir: str, level: str, by: Sequence[str]) -> DataFrame:
+    """Predictions of both baselines, equal ones within the groups ``by`` counted."""
+    sparse = weekly_table(spark, sf_dir, level)
+    return baseline_counts(labelled(dense_histories(sparse)), rolling_windows(sparse), by)
+
+
 def baseline_table(
     spark: SparkSession, sf_dir: str, level: str = "p_type", alignment: str = "reference"
 ) -> DataFrame:

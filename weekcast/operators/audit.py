@@ -24,11 +24,13 @@ def _outlier_share() -> Column:
     """Share of known values further than three deviations from the median.
 
     A series has at most one value per week, so its values fit an array and the
-    second pass over them stays inside the aggregate's row.
+    second pass over them stays inside the aggregate's row; ``_zeros`` further values are zero.
     """
     far = F.filter("_values", lambda y: F.abs(y - F.col("median_sales_units")) > 3 * F.col("_std"))
-    usable = (F.size("_values") > 1) & (F.col("_std") > 0)
-    return F.when(usable, F.size(far) / F.size("_values")).otherwise(0.0)
+    far_zeros = F.when(F.abs("median_sales_units") > 3 * F.col("_std"), F.col("_zeros")).otherwise(0)
+    known = F.size("_values") + F.col("_zeros")
+    usable = (known > 1) & (F.col("_std") > 0)
+    return F.when(usable, (F.size(far) + far_zeros) / known).otherwise(0.0)
 
 
 def _stats(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,29 +45,37 @@ def _stats(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
         share(y.isNull()).alias("missing_share"),
         F.min("category").alias("category"),
         F.collect_list(y).alias("_values"),
+        F.lit(0).alias("_zeros"),
         F.regr_slope(y, F.col("_i")).alias("_slope"),
         *seg.spread(),
     )
 
 
 def _history_stats(histories: DataFrame) -> DataFrame:
-    """The same figures within the row of a series."""
-    n = F.col("history_weeks")
+    """The same figures within the row of a series, from its weeks of other units than zero."""
+    n, zeros = F.col("history_weeks"), F.col("_zeros")
     middle = (n - 1) / 2
-    ranked = F.col("_ranked")
-    low = F.get(ranked, F.floor(middle).cast("int"))
-    high = F.get(ranked, F.ceil(middle).cast("int"))
-    gaps = F.transform("y", lambda v, i: (v - F.col("_mean")) * (i - middle))
+    ranked, below = F.col("_ranked"), F.col("_below")
+
+    def value(rank: Column) -> Column:
+        after = F.get(ranked, (rank - zeros).cast("int"))
+        return F.when(rank < below, F.get(ranked, rank.cast("int"))).when(rank < below + zeros, 0.0).otherwise(after)
+
+    # Repeated weeks come first. Positions around their mean add up to zero, so zeros add nothing.
+    repeated = n - 1 - F.floor(F.datediff("end_date", "start_date") / 7)
+    gaps = F.transform("seen", lambda s: s["units"] * (s["at"] + F.col("_repeated") - middle))
     return seg.with_each(
         histories,
         {
             **seg.history_spread(),
-            "_ranked": F.sort_array("y"),
-            "total_sales_units": total(F.col("y")),
+            "_ranked": F.sort_array("_units"),
+            "_below": F.size(F.filter("_units", lambda v: v < 0)),
+            "_repeated": repeated,
+            "total_sales_units": total(F.col("_units")),
             "mean_sales_units": F.col("_mean"),
-            "median_sales_units": (low + high) / 2,
+            "median_sales_units": (value(F.floor(middle)) + value(F.ceil(middle))) / 2,
             "missing_share": F.lit(0.0),
-            "_values": F.col("y"),
+            "_values": F.col("_units"),
             # The squares of n positions around their mean add up to n (n^2 - 1) / 12.
             "_slope": ratio(total(gaps), n * (n * n - 1) / 12),
         },
@@ -74,8 +84,8 @@ def _history_stats(histories: DataFrame) -> DataFrame:
 
 def series_summary(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """One row per series: period, level, spread, zeros, outliers, trend, grid, segment. ``panel``
-    has a row per week, or a row per series with its values ``y`` (``dense_histories``)."""
-    stats = _history_stats(panel) if "y" in panel.columns else _stats(panel, keys)
+    has a row per week, or a row per series with its weeks ``seen`` (``dense_histories``)."""
+    stats = _history_stats(panel) if "seen" in panel.columns else _stats(panel, keys)
     n = F.col("history_weeks")
     expected = F.floor(F.datediff("end_date", "start_date") / 7) + 1
     return (

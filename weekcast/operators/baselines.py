@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from weekcast.functions.columns import plus_weeks
 from weekcast.operators.features import series_order
 
 SEASON = 52
+_VALUES = 1 << 21  # weeks of a batch that are counted at once
 
 
 def at_origin(
@@ -103,6 +106,108 @@ def baselines(
     )
 
 
+def baseline_counts(
+    histories: DataFrame,
+    windows: DataFrame,
+    by: Sequence[str] = ("segment_label",),
+    models: Sequence[str] = ("naive", "seasonal_naive"),
+    alignment: str = "reference",
+) -> DataFrame:
+    """The rows of ``baselines`` with equal ones counted: ``model_name``, the columns ``by`` (of the
+    series, or ``horizon``), ``actual``, ``prediction`` and their number ``rows``.
+
+    ``histories`` has a row per series (``dense_histories``) with the columns ``by``. A task fills
+    the weeks of some series into a matrix, of which the targets and forecasts of a window are
+    columns; a row leaves it per pair of values, so the predictions never become rows.
+    """
+    if alignment not in ("reference", "target"):
+        raise ValueError(f"unknown alignment {alignment!r}")
+    named = [c for c in by if c != "horizon"]
+    origins: dict[int, list[int]] = {}
+    # One row per week of the calendar and horizon.
+    for r in windows.select("horizon", F.unix_date("forecast_origin").alias("day")).collect():
+        origins.setdefault(r["horizon"], []).append(r["day"])
+    kinds = {"horizon": "int", **dict(histories.dtypes)}
+    schema = ", ".join(["model_name string", *[f"{c} {kinds[c]}" for c in by], "actual double", "prediction double", "rows bigint"])
+    series = histories.select(
+        *named,
+        F.unix_date("start_date").alias("_start"),
+        (F.floor(F.datediff("end_date", "start_date") / 7) + 1).cast("int").alias("_weeks"),
+        F.col("seen.at").alias("_at"),
+        F.col("seen.units").alias("_units"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _count_pairs(batch, named, "horizon" in by, origins, models, alignment, list(by))
+
+    return series.mapInArrow(run, schema)
+
+
+def _count_pairs(batch, named, keep_horizon, origins, models, alignment, by) -> Iterator[pa.RecordBatch]:
+    """Counted pairs of the series of a batch; value numbers stand for values until they leave."""
+    places: dict[tuple, int] = {}
+    owners = zip(*[batch[c].to_pylist() for c in named]) if named else [()] * batch.num_rows
+    group = np.array([places.setdefault(x, len(places)) for x in owners], np.int64)
+    spans, which = np.unique(
+        np.stack([batch["_start"].to_numpy(), batch["_weeks"].to_numpy()]), axis=1, return_inverse=True
+    )
+    at, bounds = batch["_at"].flatten().to_numpy(), batch["_at"].offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    values, number = np.unique(np.append(batch["_units"].flatten().to_numpy(), 0.0), return_inverse=True)
+    zero, none, k = number[-1], len(values), len(values) + 1
+    found: dict[tuple, list] = {}
+    for span, (start, weeks) in enumerate(spans.T):
+        members = np.flatnonzero(which.ravel() == span)
+        for some in np.array_split(members, max(1, -(-len(members) * int(weeks) // _VALUES))):
+            lengths = bounds[some + 1] - bounds[some]
+            cells = np.repeat(bounds[some] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            y = np.full((len(some), weeks), zero, np.int64)
+            y[np.repeat(np.arange(len(some)), lengths), at[cells]] = number[cells]
+            for h, days in origins.items():
+                days = np.asarray(days) - start
+                o = days[(days % 7 == 0) & (days >= 0) & (days < 7 * (weeks - h))] // 7
+                if len(some) and len(o):
+                    pairs = (group[some, None] * k + y[:, o + h]) * k
+                    for m in models:
+                        keys = pairs + _forecast_numbers(y, o, h, m, alignment, none)
+                        found.setdefault((m, h if keep_horizon else None), []).append(_tally(keys, len(places) * k * k))
+    known = np.append(values, np.nan)
+    for (m, h), parts in found.items():
+        keys, where = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, where.ravel(), np.concatenate([x for _, x in parts]))
+        pair, missing = keys % (k * k), keys % k == none
+        owner = pa.array(keys // (k * k))
+        columns = {
+            "model_name": pa.array([m] * len(keys), pa.string()),
+            "horizon": pa.array([h] * len(keys), pa.int32()),
+            **{c: pa.array([x[i] for x in places], batch.schema.field(c).type).take(owner) for i, c in enumerate(named)},
+            "actual": pa.array(known[pair // k]),
+            "prediction": pa.array(known[pair % k], mask=missing),
+            "rows": pa.array(n),
+        }
+        yield pa.RecordBatch.from_pydict({c: columns[c] for c in ["model_name", *by, "actual", "prediction", "rows"]})
+
+
+def _forecast_numbers(y, o, h, model, alignment, none) -> np.ndarray:
+    """Value numbers of the forecasts from the weeks ``o``; ``none`` where there is no value."""
+    before = 1 if alignment == "reference" else 0
+    last = y[:, np.maximum(o - before, 0)]
+    last[:, o < before] = none
+    back = o - SEASON + (0 if alignment == "reference" else h)
+    if model == "seasonal_naive":
+        last[:, back >= 0] = y[:, back[back >= 0]]
+    return last
+
+
+def _tally(keys: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    if bins > 2 * keys.size:
+        return np.unique(keys, return_counts=True)
+    counts = np.bincount(keys.ravel(), minlength=bins)
+    return np.flatnonzero(counts), counts[counts > 0]
+
+
 def at_last_week(table: DataFrame, segments: DataFrame, horizons: Sequence[int], guesses: Column) -> DataFrame:
     """``guesses``, an array of one value per horizon, of the last week's rows, one row each."""
     last = table.agg(F.max("week_start")).scalar()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.functions.columns import ratio
@@ -17,7 +17,8 @@ BASELINE = "seasonal_naive"
 def metrics(
     predictions: DataFrame, by: Sequence[str] = ("model_name",), names: Sequence[str] = METRICS
 ) -> DataFrame:
-    """The named metrics per group; rows with a null group value are skipped.
+    """The named metrics per group; rows with a null group value are skipped. A column ``rows``
+    (``baseline_counts``) says how many predictions a row stands for.
 
     Without the median they are plain sums, added up map-side: one exchange of a row per
     group and task. With it, rows are first summed per distinct absolute error; the exact
@@ -30,19 +31,19 @@ def metrics(
         rows = rows.where(F.col(b).isNotNull())
     if "MedianAE" not in names:
         terms = rows.withColumns(error_terms()).groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.col("error") * F.col("error")).alias("sq_error"),
-            *[F.sum(c).alias(c) for c in ("abs_error", "error", "abs_actual", "smape_term")],
+            F.sum(_weight(rows)).alias("n"),
+            _sum(rows, F.col("error") * F.col("error")).alias("sq_error"),
+            *[_sum(rows, c).alias(c) for c in ("abs_error", "error", "abs_actual", "smape_term")],
         )
         return terms.select(*by, *[metric_from_sums(m).alias(m) for m in names])
     cells = (
         rows.withColumns(error_terms())
         .groupBy(*by, "abs_error")
         .agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.sum("error").alias("error"),
-            F.sum("abs_actual").alias("abs_actual"),
-            F.sum("smape_term").alias("smape_term"),
+            F.sum(_weight(rows)).alias("cnt"),
+            _sum(rows, "error").alias("error"),
+            _sum(rows, "abs_actual").alias("abs_actual"),
+            _sum(rows, "smape_term").alias("smape_term"),
         )
     )
     ranked = running(cells, [F.col("abs_error")], by, ["cnt"])
@@ -60,6 +61,15 @@ def metrics(
     return sums.select(*by, *made)
 
 
+def _weight(predictions: DataFrame) -> Column:
+    return F.col("rows") if "rows" in predictions.columns else F.lit(1)
+
+
+def _sum(predictions: DataFrame, term: str | Column) -> Column:
+    value = F.col(term) if isinstance(term, str) else term
+    return F.sum(value * F.col("rows") if "rows" in predictions.columns else value)
+
+
 # The cuts of a comparison: every table of metrics, by the columns it groups by.
 CUTS = {
     "overall": ("model_name",),
@@ -75,15 +85,16 @@ def metrics_by_cuts(predictions: DataFrame, cuts: Mapping[str, Sequence[str]] =
 
     The predictions are scanned and shuffled once, to one row per distinct error within the
     finest groups; those rows are handed to every cut, and one ranking gives all medians. Rows
-    with a null group value are skipped by the cuts that use it.
+    with a null group value are skipped by the cuts that use it. Counted predictions (``rows``)
+    count as often.
     """
     keys = list(dict.fromkeys(k for by in cuts.values() for k in by))
     kinds = dict(predictions.dtypes)
     sums = ("cnt", "error", "abs_actual", "smape_term")
     finest = (
-        predictions.withColumns({**error_terms(), "cnt": F.lit(1)})
+        predictions.withColumns(error_terms())
         .groupBy(*keys, "abs_error")
-        .agg(*[F.sum(c).alias(c) for c in sums])
+        .agg(F.sum(_weight(predictions)).alias("cnt"), *[_sum(predictions, c).alias(c) for c in sums[1:]])
     )
     handed = []
     for name, by in cuts.items():

@@ -174,8 +174,8 @@ def supervised(
 
 def example_series(panel: DataFrame) -> DataFrame:
     """The highest-volume series of each category, ties by ``series_id``."""
-    if "y" in panel.columns:
-        totals = panel.select("category", "series_id", array_total(F.col("y")).alias("total"))
+    if "seen" in panel.columns:
+        totals = panel.select("category", "series_id", array_total(F.col("seen.units")).alias("total"))
     else:
         totals = panel.groupBy("category", "series_id").agg(F.sum("sales_units").alias("total"))
     best = F.min(F.struct((-F.col("total")).alias("minus"), "series_id"))

@@ -118,14 +118,21 @@ def dense_histories(
     panel: DataFrame, keys: Sequence[str] = ("series_id",), week: str = "week_start"
 ) -> DataFrame:
     """The rows of ``densify``, one row per series: the smallest of its other columns, first
-    and last week, and the units ``y`` in week order, gaps zero.
+    and last week, their number, ``seen`` with the weeks of other units than zero (``at``, weeks
+    after the first) and the units ``y`` in week order, gaps zero.
 
-    Only the sparse rows are shuffled, sorted and grouped; the dense weeks exist within a row.
+    Only the sparse rows are shuffled, sorted and grouped; the dense weeks exist within a row, and
+    only where ``y`` is read. A null week repeats the weeks before the first known one: then there
+    are more weeks than from the first to the last.
     """
     spans = _spans(panel, keys, week).where(F.col("_start").isNotNull() & F.col("_end").isNotNull())
     statics = [c for c in panel.columns if c not in (*keys, week, "sales_units")]
     value = F.coalesce(F.col("sales_units").cast("double"), F.lit(0.0)).alias("units")
     run = F.struct("_start", "_end", F.col(week).alias("seen"), value)
+    stretch = F.floor(F.datediff("_end", "_start") / 7).cast("int")
+    inside = (F.col(week) <= F.col("_end")) & (F.datediff(F.col(week), F.col("_start")) % 7 == 0)
+    at = F.floor(F.datediff(F.col(week), F.col("_lo")) / 7).cast("int").alias("at")
+    units = F.col("sales_units").cast("double")
 
     def stretched(r: Column) -> Column:
         last = F.floor(F.datediff(r["_end"], r["_start"]) / 7).cast("int")
@@ -141,6 +148,10 @@ def dense_histories(
             *[F.min(c).alias(c) for c in statics],
             F.min("_start").alias("start_date"),
             F.max("_end").alias("end_date"),
+            F.sum(stretch + 1).alias("history_weeks"),
+            F.sort_array(
+                F.collect_list(F.when(inside & (units != 0), F.struct(at, units.alias("units"))))
+            ).alias("seen"),
             F.sort_array(F.collect_list(run)).alias("runs"),
         )
         .withColumn("y", F.flatten(F.transform("runs", stretched)))

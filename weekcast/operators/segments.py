@@ -30,15 +30,17 @@ def spread() -> list[Column]:
 
 
 def history_spread() -> dict[str, Column]:
-    """The same figures from the values ``y`` of a series' row."""
-    n, mean = F.size("y"), total(F.col("y")) / F.size("y")
-    squares = F.aggregate("y", F.lit(0.0), lambda s, v: s + (v - F.col("_mean")) * (v - F.col("_mean")))
+    """The same figures from the weeks ``seen`` of a series' row; all others are zero."""
+    n, zeros, mean = F.col("history_weeks"), F.col("_zeros"), F.col("_mean")
+    squares = F.aggregate("_units", zeros * mean * mean, lambda s, v: s + (v - mean) * (v - mean))
     # Equal values have no spread, whatever their mean rounds to.
-    varies = F.array_max("y") > F.array_min("y")
+    differ = F.coalesce(F.array_max("_units") > F.array_min("_units"), F.lit(False))
+    varies = differ | ((zeros > 0) & (zeros < n))
     return {
-        "history_weeks": n.cast("bigint"),
-        "zero_share": F.size(F.filter("y", lambda v: v == 0)) / n,
-        "_mean": mean,
+        "_units": F.col("seen.units"),
+        "_zeros": n - F.size("_units"),
+        "zero_share": zeros / n,
+        "_mean": total(F.col("_units")) / n,
         "variance": F.when(varies, squares / n).otherwise(F.lit(0.0)),
         "_std": F.sqrt("variance"),
     }
@@ -65,10 +67,16 @@ def rules() -> dict[str, Column]:
     }
 
 
+def labelled(histories: DataFrame) -> DataFrame:
+    """Histories with the ``segment_label`` of their series, without a join; none without a key."""
+    label = F.when(F.col("series_id").isNotNull(), rules()["segment_label"]).alias("segment_label")
+    return with_each(histories, history_spread()).select(*histories.columns, label)
+
+
 def segment_series(panel: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """One row per series: label, flags and the figures behind them. ``panel`` has a row per
-    week, or a row per series with its values ``y`` (``dense_histories``)."""
-    stats = with_each(panel, history_spread()) if "y" in panel.columns else panel.groupBy(*keys).agg(*spread())
+    week, or a row per series with its weeks ``seen`` (``dense_histories``)."""
+    stats = with_each(panel, history_spread()) if "seen" in panel.columns else panel.groupBy(*keys).agg(*spread())
     return (
         stats.withColumns(rules())
         .select(
