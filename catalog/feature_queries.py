@@ -211,7 +211,10 @@ def register(q: Registry) -> None:
     def snapshot(sp, d):
         sparse = weekly_table(sp, d, "sku")
         histories = cut_lineage(dense_histories(sparse).drop("runs", "y"))
-        return f.feature_snapshot(densify(sparse), segment_series(histories), histories=histories)
+        # Only the example series are made dense.
+        chosen = f.example_series(histories).select("series_id")
+        panel = densify(sparse.join(chosen, "series_id", "left_semi"), period=sparse)
+        return f.feature_snapshot(panel, segment_series(histories), histories=histories)
 
     kept = [c for c in f.SNAPSHOT_COLUMNS if c not in (*KEY.split(), "category", "segment_label")]
     add(

@@ -76,3 +76,23 @@ def test_no_rows_per_prediction(spark):
         assert "target_h1" not in plan and "sequence(_start" not in plan, name
     plan = REGISTRY.queries["e1_series_summary_sku"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "flatten(" not in plan
+
+
+def test_dense_rows_of_some_series(sparse):
+    some = sparse.where("series_id in ('a', 'd')")
+    assert rows(p.densify(some, period=sparse)) == rows(p.densify(sparse).where("series_id in ('a', 'd')"))
+
+
+def test_snapshot_makes_few_series_dense(spark):
+    from catalog.all import REGISTRY
+
+    plan = REGISTRY.queries["c16_feature_snapshot"](spark, "/root/testdata/sf0.001")
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = [x for i, x in enumerate(lines) if any("Generate explode(sequence(_start" in y for y in lines[:i])]
+    assert any("Join LeftSemi" in x for x in below[:12])
+
+
+def test_repeated_weeks_are_refused(make_panel):
+    twice = make_panel({"a": {0: 1.0, 3: 2.0}})
+    with pytest.raises(Exception, match="repeats"):
+        a.series_summary(p.dense_histories(twice.unionByName(twice))).collect()

@@ -103,9 +103,9 @@ def attach_price(panel: DataFrame, price: DataFrame) -> DataFrame:
     )
 
 
-def _spans(panel: DataFrame, keys: Sequence[str], week: str) -> DataFrame:
+def _spans(panel: DataFrame, keys: Sequence[str], week: str, period: DataFrame | None = None) -> DataFrame:
     """Every row with the weeks it is stretched over, ``_start`` to ``_end``."""
-    bounds = panel.agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
+    bounds = (panel if period is None else period).agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
     w = Window.partitionBy(*keys).orderBy(week)
     start = F.when(F.lag(week).over(w).isNull(), F.col("_lo")).otherwise(F.col(week))
     end = F.coalesce(plus_weeks(F.lead(week).over(w), -1), F.col("_hi"))
@@ -129,7 +129,9 @@ def dense_histories(
     statics = [c for c in panel.columns if c not in (*keys, week, "sales_units")]
     value = F.coalesce(F.col("sales_units").cast("double"), F.lit(0.0)).alias("units")
     run = F.struct("_start", "_end", F.col(week).alias("seen"), value)
-    stretch = F.floor(F.datediff("_end", "_start") / 7).cast("int")
+    days = F.datediff("_end", "_start")
+    broken = F.raise_error(F.lit("a week of a series repeats, or a null week stands before the first one"))
+    stretch = F.when(days < 0, broken.cast("int")).otherwise(F.floor(days / 7).cast("int"))
     inside = (F.col(week) <= F.col("_end")) & (F.datediff(F.col(week), F.col("_start")) % 7 == 0)
     at = F.floor(F.datediff(F.col(week), F.col("_lo")) / 7).cast("int").alias("at")
     units = F.col("sales_units").cast("double")
@@ -163,15 +165,17 @@ def densify(
     keys: Sequence[str] = ("series_id",),
     week: str = "week_start",
     fill: dict[str, float] | None = None,
+    period: DataFrame | None = None,
 ) -> DataFrame:
     """One row per series and week of the whole period; gaps take ``fill`` (sales 0).
 
     Every row is stretched up to the week before its successor, so the grid needs
     neither a series × weeks product nor a join: one shuffle on the series key, the
-    same one the feature windows use afterwards.
+    same one the feature windows use afterwards. ``period`` is the table whose first and last
+    week bound the grid, where ``panel`` holds only some of its series.
     """
     fill = {"sales_units": 0.0} if fill is None else fill
-    spans = _spans(panel, keys, week).withColumn(
+    spans = _spans(panel, keys, week, period).withColumn(
         "_week", F.explode(F.sequence("_start", "_end", F.expr("interval 7 days")))
     )
     observed = F.col("_week") == F.col(week)
