@@ -26,6 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ class WordEncoder:
         out: list[bytes] = []
         for k in range(0, len(words), 2000):
             block = words[k : k + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, "<u2")
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u2")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(block):
                 out += self._library(block)
@@ -94,10 +96,23 @@ class WordEncoder:
             for w, h, p in zip(words, heads, plain)
         ]
 
-    def encode_many(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = self.known.lookup(set().union(*cut), self._make)
-        return [b"".join(map(ids.__getitem__, words)) for words in cut]
+    def encode_many(self, texts: pa.Array | Iterable[str]) -> list[bytes]:
+        """Ids of each text. Arrow cuts the texts into words and numbers the different ones; their
+        ids, taken by number, lie side by side as the texts' ids."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        named = cut.flatten().dictionary_encode()
+        words = named.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self.known.lookup(set(words), self._make)
+        raw = pa.array([ids[w] for w in words], pa.large_binary()).take(named.indices)
+        _, at, data = raw.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        ends = np.frombuffer(at, np.int64)[raw.offset + first].tolist()
+        held = memoryview(data)
+        return [bytes(held[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 @cache
@@ -237,8 +252,8 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, id_col: s
             return pa.RecordBatch.from_pylist([_block(part, number, before, keys, ids)], schema=arrow)
 
         for batch in batches:
-            for piece in slices(batch, 4 << 20):
-                made = words.encode_many(t or "" for t in piece.column("text").to_pylist())
+            for piece in slices(batch, 16 << 20):
+                made = words.encode_many(piece.column("text"))
                 for key, x in zip(piece.column("doc_id").to_pylist(), made):
                     n = len(x) // 2 + 1
                     if held and held + n > BLOCK_IDS:
