@@ -15,17 +15,19 @@ import hashlib
 import json
 import re
 from array import array
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from weekcast.llm.common import Remembered, keyed_texts, map_texts
+from weekcast.llm.common import Remembered, held_model, keyed_texts, map_texts
 
 FILE = "byte_bpe_50k.json"
 _NONE = 1 << 62
 #: Trees of up to so many leaves are rows of one array.
 _WIDEST = 128
+#: Pre-tokens and parts that a worker remembers, and those of a task that shares its executor with
+#: large shuffles; an entry takes some 200 bytes.
+REMEMBERED, FEW = (400_000, 400_000), (100_000, 50_000)
 _MORE_THAN_A_SPACE = re.compile(r"\A |\s | \s| \Z")
 
 
@@ -70,7 +72,7 @@ class PairTree:
 class Bpe:
     """A byte-level BPE file of the tokenizers format, without normaliser."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int, parts: int):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -95,7 +97,7 @@ class Bpe:
         self.pairs = np.array(order, np.int64)
         self.pair_ranks = np.array([self.rank[k] for k in order], np.int64)
         self.made_ids, self.byte_ids = np.array(self.made, np.int64), np.array(self.byte_id, np.int64)
-        self.known, self.parts, self.cuts = Remembered(), Remembered(), Remembered()
+        self.known, self.parts, self.cuts = Remembered(known), Remembered(parts), Remembered(parts)
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
@@ -266,10 +268,9 @@ def _pattern() -> str:
     )
 
 
-@cache
 def load(path: str) -> Bpe:
     """One per Python worker: tasks of the same worker share it."""
-    return Bpe(path)
+    return held_model(("bpe", path), lambda: Bpe(path, *REMEMBERED))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,12 +289,15 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     return map_texts(keyed_texts(docs, id_col, text_col), f"doc_id {key}, ids binary, decoded string", start)
 
 
-def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(
+    docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", brief: bool = False
+) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the digest is taken where the ids
-    are made, so ids and texts don't leave the task."""
+    are made, so ids and texts don't leave the task. ``brief``: the model remembers ``FEW``
+    and ends with its task, which takes less memory and more time; the rows are the same."""
 
     def start():
-        bpe = load(path or tokenizer_path())
+        bpe = Bpe(path or tokenizer_path(), *FEW) if brief else load(path or tokenizer_path())
 
         def work(batch: dict) -> dict:
             out: dict[str, list] = {"doc_id": batch["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
@@ -306,4 +310,4 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         return work
 
     texts = keyed_texts(docs, id_col, text_col)
-    return map_texts(texts, f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", start)
+    return map_texts(texts, f"doc_id {dict(texts.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", start, 2 << 20 if brief else 4 << 20)

@@ -20,12 +20,26 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def write_once(df: DataFrame) -> DataFrame:
+#: Rows of an Arrow batch of whole texts, which JVM and Python both hold.
+TEXT_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def write_once(df: DataFrame, text_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: later readers don't repeat the
-    work, and a lost executor costs a re-read."""
+    work, and a lost executor costs a re-read. While it is written, Arrow batches have
+    ``text_rows`` rows at most, where that is given."""
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.parquet(path)
+    usual = spark.conf.get(_BATCH)
+    fewer = text_rows is not None and not 0 < int(usual) <= text_rows
+    try:
+        if fewer:
+            spark.conf.set(_BATCH, str(text_rows))
+        df.write.parquet(path)
+    finally:
+        if fewer:
+            spark.conf.set(_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,22 +64,46 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 
+_models: dict = {}
+_asked: set = set()
+
+
+def held_model(name, make: Callable):
+    """The worker's model of that name: tasks of one operator share what it remembers."""
+    _asked.add(name)
+    if name not in _models:
+        _models[name] = make()
+    return _models[name]
+
+
+def started(start: Callable):
+    """``start()``. A worker serves tasks of all operators one after another, so the models that
+    this one doesn't ask for are let go."""
+    _asked.clear()
+    made = start()
+    for name in _models.keys() - _asked:
+        del _models[name]
+    return made
+
+
 def map_texts(
     df: DataFrame,
     schema: str,
     start: Callable[[], Callable[[dict], dict]],
+    most_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Arrow batches through ``start()(columns)``: a dict of input lists to a dict of
-    output lists. ``start`` runs once per task, so models load there."""
+    output lists. ``start`` runs once per task, so models load there. Some ``most_bytes`` of
+    input are Python objects at a time."""
     out = df.sparkSession.createDataFrame([], schema).schema
     names = out.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, work = to_arrow_schema(out), start()
+        arrow, work = to_arrow_schema(out), started(start)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most_bytes):
                 made = work(dict(zip(part.schema.names, (c.to_pylist() for c in part.columns))))
                 columns = [pa.array(made[n], arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import map_texts, write_once
+from weekcast.llm.common import TEXT_ROWS, map_texts, write_once
 from weekcast.llm.components import components
 from weekcast.llm.forest import Forest
 from weekcast.llm.shingle_sets import LEAST, apart, marks, node, shingles, text_key
@@ -434,7 +434,7 @@ def linked(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, heavy: int = HEAVY, before: int = BEFORE, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """The keyed sets of every row, and ``node, root`` of the sets that found and verified pairs join."""
-    made = write_once(keyed_sets(docs, id_col, text_col))
+    made = write_once(keyed_sets(docs, id_col, text_col), TEXT_ROWS)
     nodes = write_once(made.where("fp IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp")))
     sample = nodes.select("fp").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
     bits = _bits([bytes(r["fp"]) for r in sample]) if sample else np.zeros((0, WIDTH), np.uint8)

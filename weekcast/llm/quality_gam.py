@@ -21,11 +21,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import map_texts, write_once
+from weekcast.llm.common import map_texts, started, write_once
 from weekcast.llm.weak_rules import measure
 
 MOST_ROWS = 20_000
@@ -249,9 +249,10 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     drawn = wanted.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
     model = train(feature_table(docs.join(F.broadcast(drawn), "doc_id", "left_semi")), labels)
 
-    @F.pandas_udf("double")
-    def score_of(text: pd.Series) -> pd.Series:
-        x = np.array([features(t or b"") for t in text], float).reshape(-1, len(FEATURES))
-        return pd.Series(model.score(x))
+    @F.arrow_udf("double")
+    def score_of(text: pa.Array) -> pa.Array:
+        started(lambda: None)
+        x = np.array([features(t.as_py() or b"") for t in text], float).reshape(-1, len(FEATURES))
+        return pa.array(model.score(x))
 
     return docs.where(score_of(docs["text"].cast("binary")) >= threshold)

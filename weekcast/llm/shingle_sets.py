@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import map_texts, write_once
+from weekcast.llm.common import TEXT_ROWS, map_texts, write_once
 from weekcast.llm.components import components
 
 WORDS, SEED = 5, 42
@@ -288,7 +288,7 @@ def near_copies(
     """``doc_id, text_key, component`` of every row: rows have the same component if a chain
     of sufficiently similar texts joins theirs. ``known`` (node, root): components of verified
     links that were found before; pairs within them need no verification."""
-    made = write_once(keyed_sets(docs, id_col, text_col))
+    made = write_once(keyed_sets(docs, id_col, text_col), TEXT_ROWS)
     posts = made.where("rare IS NOT NULL").select("node", "n", F.posexplode("rare").alias("place", "shingle"))
     met = write_once(_map(posts.select("shingle", "node", "n", "place"), MET, _meet(heavy)))
     pairs = met.where("place IS NULL").select("a", "b").distinct()
