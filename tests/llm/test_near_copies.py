@@ -1,13 +1,14 @@
 """The near-copy stage against all pairs in plain Python, and rows that share a doc_id."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import plain
 import pytest
 
 from weekcast.llm import near_sets, shingle_sets, simhash
-from weekcast.llm.common import read
+from weekcast.llm.common import new_folder, read
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +77,45 @@ def test_search_after_candidates_misses_none(spark, monkeypatch):
     components = {r["component"] for r in near_sets.near_copies(df).collect()}
     assert len(components) > len(want)
     assert {r["doc_id"] for r in simhash.one_per_group(df).collect()} == want
+
+
+def test_bitmaps_never_say_too_much():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(-(2**62), 2**62, k)) for k in (0, 1, 2, 63, 64, 65, 300, 520, 3000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(-(2**62), 2**62, 1 + len(s) // 10)])) for s in sets]
+    bits = np.array([shingle_sets.parities(s) for s in sets] + [None], object)[:-1]
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    least = shingle_sets.differing(bits, a, b)
+    assert (least <= apart).all() and (least[a == b] == 0).all()
+    assert shingle_sets.differing(bits, a[:0], b[:0]).tolist() == []
+    alike = shingle_sets._alike(bits, np.array([len(s) for s in sets]), a, b)
+    assert alike[apart * 9 <= [len(sets[i]) + len(sets[j]) for i, j in zip(a, b)]].all() and not alike.all()
+
+
+@pytest.mark.parametrize("heavy", (64, 3))
+def test_only_likely_pairs_meet_their_texts(spark, monkeypatch, heavy):
+    # Forty texts share a passage that makes them candidates, and two pairs are near copies.
+    random.seed(21)
+    words = lambda n: [f"w{random.randrange(10**6)}" for _ in range(n)]
+    passage = words(80)
+    texts = [words(60) + passage + words(60) for _ in range(40)]
+    texts += [["new", *t[1:]] for t in texts[:2]]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    met, whole = [], shingle_sets.node_texts
+    monkeypatch.setattr(shingle_sets, "node_texts", lambda nodes, *more: met.append(nodes.distinct().count()) or whole(nodes, *more))
+    groups = {}
+    for r in shingle_sets.near_copies(df, heavy=heavy).collect():
+        groups.setdefault(r["component"], []).append(r["doc_id"])
+    assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == [[0, 40], [1, 41]] and len(groups) == 40
+    assert met and max(met) <= 4
+
+
+def test_near_copies_leave_few_files(spark):
+    # What the searches wrote for themselves goes with them; names, sizes and shingles were kept before.
+    df = spark.createDataFrame([(d, " ".join(f"w{d * 1000 + k}" for k in range(400))) for d in range(60)], "doc_id bigint, text string")
+    folder = Path(new_folder(spark).removeprefix("file:")).parent
+    before = set(folder.glob("*"))
+    assert simhash.one_per_group(df).count() == 60
+    kinds = [set(spark.read.parquet(str(f)).columns) for f in set(folder.glob("*")) - before]
+    assert not any(k & {"rare", "fp", "text", "shingle", "bits"} for k in kinds)

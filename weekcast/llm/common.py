@@ -23,21 +23,25 @@ def new_folder(spark: SparkSession) -> str:
 #: Rows of an Arrow batch of whole texts, which JVM and Python both hold.
 TEXT_ROWS = 2_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files go when the write that made them has ended, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def write_once(df: DataFrame, text_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: later readers don't repeat the
-    work, and a lost executor costs a re-read. While it is written, Arrow batches have
-    ``text_rows`` rows at most, where that is given."""
+    work, and a lost executor costs a re-read. Its shuffles are removed after that. While it is
+    written, Arrow batches have ``text_rows`` rows at most, where that is given."""
     spark = df.sparkSession
     path = new_folder(spark)
-    usual = spark.conf.get(_BATCH)
+    usual, cleanup = spark.conf.get(_BATCH), spark.conf.get(_CLEANUP, "false")
     fewer = text_rows is not None and not 0 < int(usual) <= text_rows
     try:
+        spark.conf.set(_CLEANUP, "true")
         if fewer:
             spark.conf.set(_BATCH, str(text_rows))
         df.write.parquet(path)
     finally:
+        spark.conf.set(_CLEANUP, cleanup)
         if fewer:
             spark.conf.set(_BATCH, usual)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import TEXT_ROWS, map_texts, write_once
+from weekcast.llm.common import TEXT_ROWS, forget, map_texts, write_once
 from weekcast.llm.components import components
 from weekcast.llm.forest import Forest
 from weekcast.llm.shingle_sets import LEAST, apart, marks, node, shingles, text_key
@@ -351,8 +351,10 @@ def verified_blocks(forest: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
     trees = components(forest).withColumnRenamed("root", "block")
     ends = trees.union(trees.select(F.col("block").alias("node"), "block").distinct())
     rooted = ends.join(roots, "node", "left").select("node", "block", F.coalesce("root", "node").alias("root"))
-    members = _dealt(write_once(rooted.join(nodes, "node")), "block", block)
-    rows = members.join(_texts_of(ends.select("node"), docs, made), "node")
+    placed = write_once(rooted.join(nodes, "node"))
+    members = _dealt(placed, "block", block)
+    texts = _texts_of(ends.select("node"), docs, made)
+    rows = members.join(texts, "node")
 
     def far_enough(n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return np.where(np.minimum(n, m) < SMALL, FAR_SMALL, FAR)
@@ -392,13 +394,18 @@ def verified_blocks(forest: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
         return np.array(a, np.int64), np.array(b, np.int64)
 
     rows = rows.select("block", "share", "node", "n", "fp", "root", "own", "main", "text")
-    return _groups(rows, "block", "a bigint, b bigint", work, 256)
+    links = write_once(_groups(rows, "block", "a bigint, b bigint", work, 256))
+    forget(placed)
+    forget(texts)
+    return links
 
 
 def _texts_of(nodes: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     """``node, text``: one text of each of ``nodes``."""
     named = write_once(made.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")))
-    return write_once(docs.where(marks(named, "text_key")).join(named, "text_key").groupBy("node").agg(F.first("text").alias("text")))
+    texts = write_once(docs.where(marks(named, "text_key")).join(named, "text_key").groupBy("node").agg(F.first("text").alias("text")))
+    forget(named)
+    return texts
 
 
 def similar(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
@@ -427,7 +434,9 @@ def similar(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
 
         return work
 
-    return write_once(map_texts(both.select("a", "b", "x", "y"), "a bigint, b bigint, near boolean", start))
+    found = write_once(map_texts(both.select("a", "b", "x", "y"), "a bigint, b bigint, near boolean", start))
+    forget(texts)
+    return found
 
 
 def linked(
@@ -448,7 +457,9 @@ def linked(
     roots = components(links)
     forest = write_once(apart(found, roots).union(across(full, roots, heavy)))
     if not forest.isEmpty():
-        roots = components(links.union(write_once(verified_blocks(forest, roots, nodes, whole, made, block))))
+        roots = components(links.union(verified_blocks(forest, roots, nodes, whole, made, block)))
+    for table in (nodes, met, found, forest):
+        forget(table)
     return made, roots
 
 

@@ -7,9 +7,14 @@ share one among their first ``n - ceil(0.8 n) + 1``. Rare shingles come first; h
 is used is counted on a bounded sample, which steers the cost and never the result.
 
 Equal sets are one node before any search. Nodes that share a shingle meet in a task, which
-leaves out pairs whose sizes or places rule them out, and every other pair is verified on the
-whole sets. A shingle that more than ``heavy`` nodes share links them first to the node before
-and to the first one; only pairs that are in different components after that are compared.
+leaves out pairs whose sizes or places rule them out. A shingle that more than ``heavy`` nodes
+share links them first to the node before and to the first one; only pairs that are in different
+components after that are compared.
+
+Most of the other pairs share a passage and little else. Each set has a bitmap of the parities of
+its hashes, of at least a bit per shingle: sets differ in as many shingles as their bitmaps in
+bits, or more. Pairs that this rules out never meet their texts, which go only to those that are
+left; these are verified on the whole sets.
 
 Words are lower-cased (ASCII) and parted at white space; a shorter text is one shingle, and
 texts without words are equal. Shingles and sets go by 64-bit hashes.
@@ -24,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import TEXT_ROWS, map_texts, write_once
+from weekcast.llm.common import TEXT_ROWS, forget, map_texts, write_once
 from weekcast.llm.components import components
 
 WORDS, SEED = 5, 42
 #: Least similarity as a fraction.
 LEAST = (4, 5)
 SAMPLE, FREQUENT, HEAVY, MARKS = 5_000, 1 << 16, 64, 1 << 23
+#: Bytes of bitmaps that are compared at a time.
+COMPARED = 8 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 POSTS = "shingle bigint, node bigint, n int, place int"
 MET = "shingle bigint, a bigint, b bigint, place int"
@@ -71,6 +78,35 @@ def first_shingles(found: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> n
     return found[np.lexsort((found, count))[: n - -(-num * n // den) + 1]]
 
 
+def parities(found: np.ndarray) -> bytes:
+    """A bitmap of the set: whether the shingles of a place are odd in number."""
+    places = max(64, 1 << (max(1, len(found)) - 1).bit_length())
+    return np.packbits(np.bincount(found & np.int64(places - 1), minlength=places) & 1).tobytes()
+
+
+def differing(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows ``a`` and ``b`` of ``bits``: in how many shingles their sets differ at least. The
+    larger bitmap is folded to the size of the smaller one."""
+    size = np.array([len(x) for x in bits], np.int64)
+    least, out = np.minimum(size[a], size[b]), np.zeros(len(a), np.int64)
+    for k in np.unique(least).tolist():
+        at = np.flatnonzero(least == k)
+        rows, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[r], np.uint64).reshape(-1, k // 8), axis=0) for r in rows])
+        x, y, step = place[: len(at)], place[len(at) :], max(1, COMPARED // k)
+        for n in range(0, len(at), step):
+            other = folded[x[n : n + step]] ^ folded[y[n : n + step]]
+            out[at[n : n + step]] = np.bitwise_count(other).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _alike(bits: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the bitmaps leave it open that the sets are similar enough."""
+    num, den = LEAST
+    both = n[a] + n[b]
+    return (both - differing(bits, a, b)) * (num + den) >= 2 * num * both
+
+
 def text_key(docs: DataFrame, text_col: str = "text") -> F.Column:
     return F.unhex(F.sha2(F.coalesce(docs[text_col].cast("binary"), F.lit(b"")), 256))
 
@@ -99,8 +135,8 @@ def frequent(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndar
 
 
 def keyed_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, node, n, rare`` of every row: its set's name, size and first shingles,
-    which are null where the task has had them."""
+    """``doc_id, text_key, node, n, rare, bits`` of every row: its set's name, size, first shingles
+    and bitmap, which are null where the task has had them."""
     texts = docs.select(
         docs[id_col].alias("doc_id"), text_key(docs, text_col).alias("text_key"), docs[text_col].cast("binary").alias("text")
     )
@@ -109,29 +145,31 @@ def keyed_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def start():
         had: set[int] = set()
 
-        def rare(name: int, found: np.ndarray) -> np.ndarray | None:
+        def once(name: int, found: np.ndarray) -> tuple[np.ndarray | None, bytes | None]:
             if name in had:
-                return None
+                return None, None
             if len(had) >= 1 << 20:
                 had.clear()
             had.add(name)
-            return first_shingles(found, often.value)
+            return first_shingles(found, often.value), parities(found)
 
         def work(batch: dict) -> dict:
             made = [shingles(t or b"") for t in batch["text"]]
             names = [node(s) for s in made]
+            rare, bits = zip(*(once(k, s) for k, s in zip(names, made))) if made else ((), ())
             return {
                 "doc_id": batch["doc_id"],
                 "text_key": batch["text_key"],
                 "node": names,
                 "n": [len(s) for s in made],
-                "rare": [rare(k, s) for k, s in zip(names, made)],
+                "rare": list(rare),
+                "bits": list(bits),
             }
 
         return work
 
     kind = dict(texts.dtypes)["doc_id"]
-    return map_texts(texts, f"doc_id {kind}, text_key binary, node bigint, n int, rare array<bigint>", start)
+    return map_texts(texts, f"doc_id {kind}, text_key binary, node bigint, n int, rare array<bigint>, bits binary", start)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,15 +246,18 @@ def _as_pairs(a: np.ndarray, b: np.ndarray) -> tuple:
     return none, np.minimum(a, b), np.maximum(a, b), pa.nulls(len(a), pa.int32())
 
 
-def _across(shingle, name, n, place, root):
-    """Pairs of a heavy shingle whose nodes aren't in the same component."""
+def _across(shingle, name, n, place, root, bits):
+    """Pairs of a heavy shingle whose nodes aren't in the same component, but for those that their
+    bitmaps rule out."""
     order = np.lexsort((name, n, shingle))
-    shingle, name, root = shingle[order], name[order], root[order]
+    shingle, name, root, bits = shingle[order], name[order], root[order], bits[order]
     n, place = n[order].astype(np.int64), place[order].astype(np.int64)
     for x, y in zip(*_runs(shingle)):
         if (root[x:y] != root[x]).any():
             for a, b in _pairs_of(np.array([x]), np.array([y - x])):
                 good = (root[a] != root[b]) & _possible(n, place, a, b)
+                a, b = a[good], b[good]
+                good = _alike(bits, n, a, b)
                 yield np.minimum(name[a[good]], name[b[good]]), np.maximum(name[a[good]], name[b[good]])
 
 
@@ -241,14 +282,44 @@ def node_texts(nodes: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     named = made.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
     named = write_once(named)
     some = docs.where(marks(named, "text_key")).join(named, "text_key")
-    return write_once(some.groupBy("node").agg(F.first("text").alias("text")))
+    texts = write_once(some.groupBy("node").agg(F.first("text").alias("text")))
+    forget(named)
+    return texts
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def bitmaps(nodes: DataFrame, made: DataFrame) -> DataFrame:
+    """``node, n, bits`` of ``nodes``."""
+    some = made.where("bits IS NOT NULL").join(nodes.distinct(), "node", "left_semi")
+    return write_once(some.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+
+
+def alike(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the bitmaps of ``signs`` (node, n, bits) leave open."""
+    both = pairs.join(signs.toDF("a", "n", "x"), "a").join(signs.toDF("b", "m", "y"), "b")
+    out = pairs.sparkSession.createDataFrame([], "a bigint, b bigint").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.num_rows
+            bits = np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for c in "xy"])
+            n = np.concatenate([batch.column(c).to_numpy() for c in "nm"]).astype(np.int64)
+            good = pa.array(_alike(bits, n, np.arange(k), np.arange(k, 2 * k)))
+            yield batch.select(["a", "b"]).filter(good)
+
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, out)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, made: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
-    pairs = write_once(pairs.distinct())
-    some = texts.where(marks(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node"))
-    both = pairs.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b")
+    pairs = write_once(pairs.distinct(), TEXT_ROWS)
+    if pairs.isEmpty():
+        return pairs
+    texts = node_texts(_ends(pairs), docs, made)
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
     num, den = LEAST
 
     def start():
@@ -272,7 +343,10 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return work
 
     found = map_texts(both.select("a", "b", "x", "y"), "a bigint, b bigint, near boolean", start)
-    return write_once(found.where("near").select("a", "b"))
+    links = write_once(found.where("near").select("a", "b"), TEXT_ROWS)
+    forget(pairs)
+    forget(texts)
+    return links
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -292,19 +366,22 @@ def near_copies(
     posts = made.where("rare IS NOT NULL").select("node", "n", F.posexplode("rare").alias("place", "shingle"))
     met = write_once(_map(posts.select("shingle", "node", "n", "place"), MET, _meet(heavy)))
     pairs = met.where("place IS NULL").select("a", "b").distinct()
-    if known is not None:
-        pairs = write_once(apart(pairs, known))
+    pairs = write_once(pairs if known is None else apart(pairs, known))
     full = met.where("place IS NOT NULL").select("shingle", F.col("a").alias("node"), F.col("b").cast("int").alias("n"), "place")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(full.select("node"))
     whole = docs.select(text_key(docs, text_col).alias("text_key"), docs[text_col].cast("binary").alias("text"))
-    texts = node_texts(nodes, whole, made)
-    links = similar(pairs, texts)
+    signs = bitmaps(_ends(pairs).union(full.select("node")), made)
+    links = similar(alike(pairs, signs), whole, made)
+    forget(pairs)
     if known is not None:
         links = links.union(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
     roots = components(links)
     if not full.isEmpty():
-        rooted = full.join(roots, "node", "left").select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-        more = similar(_map(rooted, "a bigint, b bigint", _across), texts)
+        rooted = full.join(roots, "node", "left").join(signs.select("node", "bits"), "node")
+        rooted = rooted.select("shingle", "node", "n", "place", F.coalesce("root", "node").alias("root"), "bits")
+        more = similar(_map(rooted, "a bigint, b bigint", _across), whole, made)
         if not more.isEmpty():
             roots = components(links.union(more))
-    return made.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("component"))
+    rows = write_once(made.select("doc_id", "text_key", "node"))
+    for table in (made, met, signs):
+        forget(table)
+    return rows.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("component"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.llm import near_sets, shingle_sets
-from weekcast.llm.common import fresh, map_texts, write_once
+from weekcast.llm.common import forget, fresh, map_texts, write_once
 from weekcast.llm.components import components
 from weekcast.llm.forest import Forest
 
@@ -301,7 +301,8 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     none (``shingle_sets``) then finds every link between texts that are still apart. Both verify
     the similarity of the whole sets. Rows that only share a doc_id stay, and so do rows without
     one."""
-    _, roots = near_sets.linked(docs)
+    made, roots = near_sets.linked(docs)
+    forget(made)
     found = write_once(shingle_sets.near_copies(docs, known=roots).where("doc_id IS NOT NULL"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("least"))
     placed = found.join(least, "component")
