@@ -78,6 +78,34 @@ def test_negatives_on_edges(spark, size):
     assert hard_negatives.mine(df.where("false")).count() == 0
 
 
+def test_anchors_are_not_broadcast(spark, monkeypatch):
+    # Copies of the anchors are as many as cells; a plan that broadcasts them holds all in the driver.
+    plans, whole = [], hard_negatives.write_once
+    monkeypatch.setattr(hard_negatives, "write_once", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, *more))
+    df = spark.createDataFrame([r[:3] for r in vectors()], "vec_id bigint, label int, embedding array<double>").repartition(5)
+    hard_negatives.mine(df, every=20, rows=16, anchors=4).collect()
+    assert len(plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("band", (200, 1 << 25))
+def test_bands_and_large_components(spark, band):
+    rng = random.Random(9)
+    size = lambda i: 10.0 ** rng.choice((0, 1, 3) if i % 2 else (0, 0, 6))
+    rows = [(i, i % 4, [rng.uniform(-1, 2) * k for _ in range(3)]) for i in range(260) for k in [size(i)]]
+    rows += [(1000 + i, 0, [1.0, 0.5, 0.5]) for i in range(60)] + [(2000, 2**63 - 1, [1.0] * 3), (2001, 2**63 - 1, [1.5] * 3), (2002, -(2**63), [1.25] * 3)]
+    df = spark.createDataFrame(rows, "vec_id bigint, label bigint, embedding array<double>").repartition(4)
+    got = collected(hard_negatives.mine(df, every=20, rows=16, anchors=4, band=band))
+    want = mined(rows, every=20)
+    assert got == want and len(want) > 100
+
+
+def test_blocks_are_numbered_without_gaps(spark):
+    df = spark.createDataFrame([(t, b) for t, n in ((1, 3), (4, 1), (6, 5)) for b in range(n)], "task int, block int")
+    numbered, n = hard_negatives._numbered(df)
+    assert n == 9 and sorted(r["number"] for r in numbered.collect()) == list(range(9))
+    assert hard_negatives._numbered(df.where("false"))[1] == 0
+
+
 def test_large_scores_are_exact():
     a, cross = np.array([[2.0**40, 3.0], [2.0**20 + 1, 2.0**31 - 1]]), 2**40 * (2**20 + 1) + 3 * (2**31 - 1)
     assert hard_negatives.scores(a, a).tolist() == [[2**63 - 1, cross], [cross, (2**20 + 1) ** 2 + (2**31 - 1) ** 2]]
